@@ -1,22 +1,21 @@
 """Problem 5: duplicates of new batches against everything accepted so far, without reprocessing the history.
 
-The history is an append-only index: one row per accepted signature with its distances to PIVOTS fixed pivots, and one
-row per key under which it can be found. Two signatures of WIDTH numbers with at most RADIUS differing positions share a
-number among the first RADIUS + 1 of any fixed order of their (position, number) pairs; the order is fixed when batch 0
-arrives: rare pairs first, so keys are selective. Pairs that later batches bring for the first time count as rare.
+The history is an append-only index: per accepted signature its distances to PIVOTS fixed pivots, a sketch, and one row
+per key under which it can be found. Two signatures of WIDTH numbers that differ in at most RADIUS positions are equal on
+one of RADIUS + 1 blocks of positions, so these blocks are the keys, and none of the partners is missed.
 
-The position-wise difference is a metric, so a partner x of y has |d(x, p) - d(y, p)| <= RADIUS for every pivot p. The
-stored pivot distances prune key partners before signatures are compared, and the band of the first pivot distance is
-part of the join key (range partitions RADIUS + 1 wide, a new row looks into three). Pivots alone prune too little here:
-see the README.
+The position-wise difference is a metric: a partner x of y has |d(x, p) - d(y, p)| <= RADIUS for every pivot p. The band
+of the first pivot distance is part of the join key (ranges RADIUS + 1 wide, a new row looks into three), the other
+stored distances and the sketch (one bit of each number, whose difference never exceeds the true one) prune key
+partners, and what is left is verified on the signatures. Pivots alone prune too little here: see the README.
 
 A new row is checked against one leader per key first, which settles hot groups of near-copies in linear work, then, if
-still open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a row
-that is the earliest under all its keys is accepted and rows close to a newly accepted one are cases; then the verified
-pairs of the small keys are resolved, earliest first. Equal hashes are keys of their own.
+still open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a
+row that is the earliest under all its keys is accepted and rows close to a newly accepted one are cases; then the
+verified pairs of the small keys are resolved, earliest first. Equal hashes are keys of their own.
 
-Signatures that are null, unreadable or of another length only take part by hash; rows without sample_id take no part; a
-sample_id counts once, with its earliest (batch_no, pos).
+Signatures that are null, unreadable or of another length only take part by hash; rows without sample_id or batch_no take
+no part; a sample_id counts once, with its earliest (batch_no, pos).
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ RADIUS = WIDTH - AGREE
 #: Fixed pivots, taken from the earliest distinct signatures of batch 0.
 PIVOTS = 6
 #: Open rows under one key of a batch up to which all its pairs are compared; beyond, its leader decides first.
-GROUP = 32
+GROUP = 512
 
 
 def parse_signature(sig: Column) -> Column:
@@ -60,8 +59,24 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, d: n + d)
 
 
-def _pair(position: Column, number: Column) -> Column:
-    return F.xxhash64(position, number)
+def block_keys(sig: Column) -> Column:
+    """Keys of the RADIUS + 1 blocks of positions of a signature."""
+    edges = [i * WIDTH // (RADIUS + 1) for i in range(RADIUS + 2)]
+    blocks = [F.struct(F.xxhash64(F.lit(i), F.slice(sig, a + 1, b - a)).alias("key"), F.lit(False).alias("by_hash")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return F.array(*blocks)
+
+
+def sketch(sig: Column) -> Column:
+    """One bit of every number, as bigints of 64 bits."""
+    bits = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit(1).cast("bigint"))))
+    return F.array(*[bits(F.slice(sig, a + 1, 64)) for a in range(0, WIDTH, 64)])
+
+
+def _as_old(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch in the form of the index: keys and signatures."""
+    names = {"sample_id": "old_id", "hash": "old_hash", "near": "old_near", "bits": "old_bits", "at": "old_at"}
+    keys = rows.select(*[F.col(c).alias(old) for c, old in names.items() if c in rows.columns], F.inline("keys"))
+    return keys, rows.select(F.col("sample_id").alias("old_id"), F.col("sig").alias("old_sig"))
 
 
 class History:
@@ -69,60 +84,52 @@ class History:
 
     def __init__(self, batch: DataFrame):
         """batch: rows of batch 0 (sample_id, batch_no, pos, hash, sig), all of them accepted."""
-        self.spark = batch.sparkSession
-        batch = cut(batch)
         usable = batch.filter("sig is not null")
         self.pivots = [list(r.sig) for r in usable.groupBy("sig").agg(F.min(F.struct("batch_no", "pos")).alias("at")).orderBy("at", "sig").limit(PIVOTS).collect()]
-        pairs = usable.select(F.posexplode("sig").alias("position", "number")).select(_pair(F.col("position"), F.col("number")).alias("pair"))
-        self.counts = cut(pairs.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1"))
-        self.keys, self.leaders = None, None
+        self.keys, self.leaders, self.signatures = None, None, None
         self._append(self._keyed(batch))
 
     def _keyed(self, batch: DataFrame) -> DataFrame:
-        """Rows of the batch with key (one per key), distances to the pivots (near) and their band."""
+        """Rows of the batch with their keys, distances to the pivots (near) and sketch (bits)."""
         # Each pivot is one foldable expression, not WIDTH literals.
         near = F.array(*[distance(F.col("sig"), F.split(F.lit(",".join(map(str, p))), ",").cast("array<bigint>")) for p in self.pivots]).cast("array<int>")
-        rows = batch.withColumn("near", F.when(F.col("sig").isNotNull(), near))
-        pairs = rows.filter("sig is not null").select("sample_id", F.posexplode("sig").alias("position", "number"))
-        pairs = pairs.select("sample_id", _pair(F.col("position"), F.col("number")).alias("pair"))
-        # Pairs without a count are new or single: rarest. Ties are ordered by the pair itself, alike for every row.
-        ranked = pairs.join(self.counts, "pair", "left").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "pair"))).alias("pairs"))
-        prefix = F.array_distinct(F.transform(F.slice("pairs", 1, RADIUS + 1), lambda p: p["pair"]))
-        by_pair = F.transform(prefix, lambda k: F.struct(k.alias("key"), F.lit(False).alias("by_hash")))
         by_hash = F.struct(F.xxhash64(F.lit("hash"), F.col("hash")).alias("key"), F.lit(True).alias("by_hash"))
         by_hash = F.array_compact(F.array(F.when(F.col("hash").isNotNull(), by_hash)))
-        rows = rows.join(ranked.select("sample_id", by_pair.alias("prefix")), "sample_id", "left")
-        return cut(rows.withColumn("keys", F.concat(by_hash, F.coalesce("prefix", F.slice(by_hash, 1, 0)))).drop("prefix"))
+        usable = F.col("sig").isNotNull()
+        rows = batch.withColumn("near", F.when(usable, near)).withColumn("bits", F.when(usable, sketch(F.col("sig"))))
+        return cut(rows.withColumn("keys", F.when(usable, F.concat(by_hash, block_keys(F.col("sig")))).otherwise(by_hash)))
 
     def _append(self, accepted: DataFrame) -> None:
         """Add accepted rows of one batch. Of rows alike in hash and signature the earliest stands for all."""
-        alike = accepted.groupBy("hash", "sig").agg(F.min_by(F.struct("sample_id", "batch_no", "pos", "near", "keys"), F.struct("batch_no", "pos", "sample_id")).alias("r"))
-        rows = alike.select("r.*", "hash", "sig")
-        keyed = cut(rows.select(F.inline("keys"), "sample_id", "hash", "sig", "near"))
-        self.keys = keyed if self.keys is None else self.keys.unionByName(keyed)
-        lead = keyed.groupBy("key").agg(F.min_by(F.struct("by_hash", "hash", "sig", "near"), "sample_id").alias("l")).select("key", "l.*")
-        self.leaders = lead if self.leaders is None else self.leaders.unionByName(lead)
-
-    @staticmethod
-    def _hit() -> Column:
-        """Equal hashes, or signatures within RADIUS; the pivot distances are looked at first."""
-        same_hash = F.col("hash") == F.col("old_hash")
-        inside = F.forall(F.zip_with("near", "old_near", lambda a, b: F.abs(a - b) <= RADIUS), lambda x: x)
-        near = F.when(F.col("sig").isNotNull() & F.col("old_sig").isNotNull(), F.when(inside, distance(F.col("sig"), F.col("old_sig")) <= RADIUS))
-        return F.coalesce(same_hash, F.lit(False)) | F.coalesce(near, F.lit(False))
-
-    def _close(self, new: DataFrame, old: DataFrame, banded: bool) -> DataFrame:
-        """sample_id of new rows with a partner in old under one of their keys."""
-        n = new.select("sample_id", "hash", "sig", "near", F.inline("keys"))
-        o = old.select("key", *[F.col(c).alias(f"old_{c}") for c in ("by_hash", "hash", "sig", "near")])
-        on = ["key"]
+        alike = accepted.groupBy("hash", "sig").agg(F.min_by(F.struct("sample_id", "near", "bits", "keys"), F.struct("batch_no", "pos", "sample_id")).alias("r"))
+        rows = cut(alike.select("r.*", "hash", "sig"))
+        keyed = rows.select(F.inline("keys"), F.col("sample_id").alias("old_id"), F.col("hash").alias("old_hash"), F.col("near").alias("old_near"), F.col("bits").alias("old_bits"))
+        lead = keyed.groupBy("key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "key"]), "old_id").alias("l")).select("key", "l.*")
+        sigs = rows.filter("sig is not null").select(F.col("sample_id").alias("old_id"), F.col("sig").alias("old_sig"))
+        for name, part in (("keys", keyed), ("leaders", lead), ("signatures", sigs)):
+            kept = getattr(self, name)
+            setattr(self, name, part if kept is None else kept.unionByName(part))
+
+    def _pairs(self, new: DataFrame, old: DataFrame, signatures: DataFrame, banded: bool = False) -> DataFrame:
+        """(sample_id, old_id) of new rows and their partners in old: equal hashes, or signatures within RADIUS."""
+        n = new.select("sample_id", "hash", "near", "bits", *(c for c in new.columns if c == "at"), F.inline("keys"))
+        o, on = old.withColumnRenamed("by_hash", "old_by_hash"), ["key"]
         if banded and self.pivots:
-            width = RADIUS + 1
-            band = F.floor(F.col("near")[0] / width)
-            n = n.withColumn("band", F.explode(F.when(F.col("by_hash"), F.array(F.lit(-9))).otherwise(F.array(band - 1, band, band + 1))))
-            o = o.withColumn("band", F.when(F.col("old_by_hash"), F.lit(-9)).otherwise(F.floor(F.col("old_near")[0] / width)))
+            band = lambda c: F.floor(F.col(c)[0] / (RADIUS + 1))
+            n = n.withColumn("band", F.explode(F.when(F.col("by_hash"), F.array(F.lit(-9))).otherwise(F.array(*[band("near") + i for i in (-1, 0, 1)]))))
+            o = o.withColumn("band", F.when(F.col("old_by_hash"), F.lit(-9)).otherwise(band("old_near")))
             on = ["key", "band"]
-        return n.join(o, on).filter(self._hit()).select("sample_id").distinct()
+        same = F.coalesce(F.col("hash") == F.col("old_hash"), F.lit(False))
+        differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("old_bits")[i])) for i in range(WIDTH // 64)), F.lit(0))
+        inside = [F.abs(F.col("near")[i] - F.col("old_near")[i]) <= RADIUS for i in range(len(self.pivots))]
+        maybe = reduce(Column.__and__, inside, differing <= RADIUS)
+        joined = n.join(o, on)
+        if "at" in joined.columns:
+            joined = joined.filter(F.col("old_at") < F.col("at"))
+        pairs = joined.withColumn("same", same).filter(F.col("same") | F.coalesce(maybe, F.lit(False)))
+        pairs = pairs.groupBy("sample_id", "old_id").agg(F.max("same").alias("same"))
+        pairs = pairs.join(new.select("sample_id", "sig"), "sample_id").join(signatures, "old_id", "left")
+        return pairs.filter(F.col("same") | (distance(F.col("sig"), F.col("old_sig")) <= RADIUS)).select("sample_id", "old_id")
 
     def _settle(self, still: DataFrame) -> DataFrame:
         """The accepted among open rows of one batch that are close to nothing in the history."""
@@ -138,26 +145,24 @@ class History:
             now = marked.filter("behind is null").drop("behind")
             rest = marked.filter("behind is not null").drop("behind")
             accepted.append(now)
-            still = cut(rest.join(self._close(rest, now.select(F.inline("keys"), "hash", "sig", "near"), False), "sample_id", "left_anti"))
+            still = cut(rest.join(self._pairs(rest, *_as_old(now)), "sample_id", "left_anti"))
         # Small keys: all verified pairs, then the earliest first.
-        later = still.select("sample_id", "hash", "sig", "near", order.alias("at"), F.inline("keys"))
-        earlier = later.select("key", *[F.col(c).alias(f"old_{c}") for c in ("sample_id", "hash", "sig", "near", "at")])
-        pairs = cut(later.join(earlier, "key").filter((F.col("old_at") < F.col("at")) & self._hit()).select("sample_id", "old_sample_id").distinct())
+        timed = still.withColumn("at", order)
+        pairs = cut(self._pairs(timed, *_as_old(timed)))
         while not pairs.isEmpty():
-            late = pairs.select("sample_id").distinct()
-            now = cut(still.join(late, "sample_id", "left_anti"))
+            now = cut(still.join(pairs, "sample_id", "left_anti"))
             accepted.append(now)
-            gone = pairs.join(now.select(F.col("sample_id").alias("old_sample_id")), "old_sample_id", "left_semi").select("sample_id").distinct()
-            still = cut(still.join(late, "sample_id", "left_semi").join(gone, "sample_id", "left_anti"))
+            gone = pairs.join(now.select(F.col("sample_id").alias("old_id")), "old_id", "left_semi")
+            still = cut(still.join(pairs, "sample_id", "left_semi").join(gone, "sample_id", "left_anti"))
             ids = still.select("sample_id")
-            pairs = cut(pairs.join(ids, "sample_id", "left_semi").join(ids.withColumnRenamed("sample_id", "old_sample_id"), "old_sample_id", "left_semi"))
+            pairs = cut(pairs.join(ids, "sample_id", "left_semi").join(ids.withColumnRenamed("sample_id", "old_id"), "old_id", "left_semi"))
         return reduce(DataFrame.unionByName, accepted, still)
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Settle one batch: its cases (sample_id) are returned, the rest is accepted and appended."""
         rows = self._keyed(batch)
-        left = cut(rows.join(self._close(rows, self.leaders, False), "sample_id", "left_anti"))
-        still = cut(left.join(self._close(left, self.keys, True), "sample_id", "left_anti"))
+        left = cut(rows.join(self._pairs(rows, self.leaders, self.signatures), "sample_id", "left_anti"))
+        still = cut(left.join(self._pairs(left, self.keys, self.signatures, banded=True), "sample_id", "left_anti"))
         kept = self._settle(still)
         self._append(kept)
         return rows.join(kept.select("sample_id"), "sample_id", "left_anti").select("sample_id")
