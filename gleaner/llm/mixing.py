@@ -49,7 +49,8 @@ def plan(documents: DataFrame, mixes: DataFrame, budget: int | None = None, path
     """The selection (mix_id, doc_id, source, n_tokens, times) and the targets with the totals they are planned on."""
     sized = token_counts(documents.filter("source is not null and text is not null"), ("doc_id", "source"), path=path).filter("n_tokens > 0")
     shuffled = sized.withColumn("place", F.xxhash64(F.lit(SEED), F.col("doc_id")))
-    docs = cut(running_total(shuffled, "source", [F.col("place"), F.col("doc_id")], "n_tokens", "upto"))
+    # Range partitioning looks at its input twice; texts are encoded once.
+    docs = cut(running_total(cut(shuffled), "source", [F.col("place"), F.col("doc_id")], "n_tokens", "upto"))
     totals = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     targets = cut(_targets(mixes).join(totals, "source", "left").withColumn("usable", F.col("usable") & F.col("source_tokens").isNotNull()))
     used = targets.filter("usable")
