@@ -11,7 +11,7 @@ _HAN = re.compile("[㐀-鿿]")
 #: Words of one language only count whole, shared ones for each of theirs.
 _OF: dict[str, tuple[str, ...]] = {}
 for _lang in ("en", "de", "fr", "es"):
-    for _word in COMMON[_lang]:
+    for _word in (w for w in COMMON[_lang] if len(w) > 1 or w in "aeoyàiu"):
         _OF[_word] = (*_OF.get(_word, ()), _lang)
 #: Words of a text that are looked at; taken from its beginning, middle and end when it is longer.
 LOOK = 240
