@@ -2,9 +2,438 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import text as T
+from gleaner.functions.chunking import semantic_chunks, structure_chunks
+from gleaner.functions.replies import extract_json, validate_trajectory
+from gleaner.operators import judge, render, report, stages
+from gleaner.operators.model import core_text, document_samples, message_samples, validated
+from gleaner.operators.state import State, latest
+from gleaner.plans import generate, planners
+from gleaner.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Documents as flat samples, and message-form samples, in the oracle's SQL.
+_DOC = """with s as (select cast(doc_id as varchar) id, doc_id pos, coalesce(source, '') || ':' || coalesce(lang, '') instruction,
+  coalesce(text, '') output, coalesce(source, '') || ':' || coalesce(lang, '') || chr(10) || coalesce(text, '') core from documents)
+"""
+_MSG = """with m as (select id, strategy, messages, tools, reasoning from (
+  select *, row_number() over (partition by id order by created_at desc, total_score desc nulls last) rn from samples where messages is not null and id is not null) where rn = 1)
+"""
+_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(_DOC + "select id, case when id = '' then 1 else 0 end + case when (instruction <> '' or output <> '') then 0 else 1 end n_problems from s")
+def ingest_validate(spark, root):
+    return validated(document_samples(spark, root)).select("id", F.size("problems").alias("n_problems"))
+
+
+@query("select doc_id, substr(sha256('doc|' || coalesce(source, 'None') || '|' || cast(doc_id as varchar)), 1, 16) derived from documents")
+def derive_id(spark, root):
+    return table(spark, root, "documents").select("doc_id", T.derive_id(F.lit("doc"), F.col("source"), F.col("doc_id")).alias("derived"))
+
+
+@query(_DOC + "select id, sha256(core) fingerprint from s")
+def fingerprint(spark, root):
+    df = document_samples(spark, root)
+    return df.select("id", T.fingerprint(core_text(df)).alias("fingerprint"))
+
+
+@query(_MSG + "select id, sha256(array_to_string(list_transform(messages, lambda x: coalesce(x.role, 'None') || ':' || coalesce(x.content, 'None')), chr(10))) fingerprint from m")
+def fingerprint_messages(spark, root):
+    df = message_samples(spark, root)
+    return df.select("id", T.fingerprint(core_text(df)).alias("fingerprint"))
+
+
+@query(_DOC + """, g as (select id, case when length(instruction) not between 5 and 4000 then 'instruction_len' when length(output) not between 200 and 3000 then 'output_len' end drop_code,
+  case when length(instruction) not between 5 and 4000 then length(instruction) when length(output) not between 200 and 3000 then length(output) end v from s)
+select id, drop_code, cast(v as double) drop_value from g""")
+def length_gate_flat(spark, root):
+    return stages.length_gate(output=(200, 3000))(document_samples(spark, root)).select("id", "drop_code", "drop_value")
+
+
+@query(_MSG + """, l as (select id, coalesce(length(list_filter(messages, lambda x: x.role in ('user', 'human'))[1].content), 0) i,
+  coalesce(list_sum(list_transform(messages, lambda x: coalesce(length(x.content), 0))), 0) o from m)
+select id, case when i not between 5 and 4000 then 'instruction_len' when o not between 10 and 600 then 'output_len' end drop_code,
+  cast(case when i not between 5 and 4000 then i when o not between 10 and 600 then o end as double) drop_value from l""")
+def length_gate_messages(spark, root):
+    return stages.length_gate(output=(10, 600))(message_samples(spark, root)).select("id", "drop_code", "drop_value")
+
+
+@query(_DOC + """, f as (select id, row_number() over (partition by sha256(core) order by pos, id) rn, first_value(id) over (partition by sha256(core) order by pos, id) lead from s)
+select id, case when rn > 1 then 'duplicate' end drop_code, case when rn > 1 then lead end drop_by from f""")
+def exact_dedup(spark, root):
+    return stages.exact_dedup()(document_samples(spark, root)).select("id", "drop_code", "drop_by")
+
+
+@query(_DOC + """, h as (select distinct sha256(core) f from s where pos % 2 = 0),
+n as (select id, sha256(core) f, row_number() over (partition by sha256(core) order by pos, id) rn from s where pos % 2 = 1)
+select n.id, case when rn > 1 then 'duplicate' when h.f is not null then 'duplicate(resume)' end drop_code from n left join h on n.f = h.f""")
+def exact_dedup_resume(spark, root):
+    """Even documents are the accepted history, odd ones arrive: two runs over one table, every row in one of them."""
+    df = document_samples(spark, root)
+    old = df.filter("pos % 2 = 0")
+    return stages.exact_dedup(old.select(T.fingerprint(core_text(old)).alias("hash")))(df.filter("pos % 2 = 1")).select("id", "drop_code")
+
+
+_CLASS = r"[\p{L}\p{N}\s\x{1c}-\x{1f}\x{85}\p{Z}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
+_STATS = _DOC + f""", w as (select id, core, regexp_extract_all(core, '([\\p{{L}}\\p{{N}}_]+)', 1) words, list_distinct(list_transform(range(1, greatest(length(core) - 1, 1)), lambda i: substr(core, i, 3))) grams from s)
+select id, round(length(regexp_replace(core, '{_CLASS}', '', 'g')) / length(core), 6) special_char_ratio,
+  round(case when len(words) = 0 then 0.0 else 1 - (select count(*) from (select x from (select unnest(words) x) group by x having count(*) = 1)) * 1.0 / len(words) end, 6) word_repetition,
+  round(case when length(core) < 3 then 1.0 else len(grams) * 1.0 / (length(core) - 2) end, 6) ngram_diversity from w"""
+
+
+@query(_STATS)
+def stats_features(spark, root):
+    df = document_samples(spark, root)
+    found = stages.text_statistics(core_text(df))
+    return df.select("id", *[F.round(found[k], 6).alias(k) for k in ("special_char_ratio", "word_repetition", "ngram_diversity")])
+
+
+@query()
+def stats_gate(spark, root):
+    """Rows only: the longest run has no plain SQL form; tests compare it with a loop."""
+    return stages.stats_gate()(document_samples(spark, root)).select("id", "drop_code", "drop_value")
+
+
+@query(r"select doc_id, regexp_replace(regexp_replace(text, '[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}\p{Cf}]', '', 'g'), '^" + _SPACE + "+|" + _SPACE + r"+$', '', 'g') normalized from documents")
+def normalize_text(spark, root):
+    return table(spark, root, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
+
+
+@query("select doc_id, text content, source origin from documents")
+def field_map_rename(spark, root):
+    return table(spark, root, "documents").select("doc_id", "text", "source").withColumnsRenamed({"text": "content", "source": "origin"})
+
+
+@query(_MSG + """select id, cast(generate_subscripts(messages, 1) - 1 as integer) turn, unnest(list_transform(messages, lambda x: case x.role when 'user' then 'human' when 'assistant' then 'gpt' when 'system' then 'system' else 'user' end)) speaker,
+  unnest(list_transform(messages, lambda x: coalesce(x.content, ''))) value from m""")
+def render_sharegpt(spark, root):
+    out = render.sharegpt(message_samples(spark, root))
+    return out.select("metadata.id", F.posexplode("conversations").alias("turn", "c")).select("id", "turn", F.col("c.from").alias("speaker"), "c.value")
+
+
+@query(_MSG + "select id, tools, cast(generate_subscripts(messages, 1) - 1 as integer) turn, unnest(list_transform(messages, lambda x: x.role)) role, unnest(list_transform(messages, lambda x: x.content)) content from m")
+def render_openai(spark, root):
+    out = render.openai(message_samples(spark, root))
+    return out.select("metadata.id", "tools", F.posexplode("messages").alias("turn", "m")).select("id", "tools", "turn", "m.role", "m.content")
+
+
+_FLAT = "select id, any_value(strategy) strategy, any_value(instruction) instruction, any_value(output) output, any_value(reasoning) reasoning from samples where messages is null and id is not null group by id"
+
+
+def _flat(spark, root):
+    rows = table(spark, root, "samples").filter("messages is null and id is not null").groupBy("id")
+    rows = rows.agg(F.first(F.struct("strategy", "instruction", "output", "reasoning")).alias("s")).select("id", "s.*")
+    from gleaner.operators.model import as_samples
+
+    return as_samples(rows, **{c: F.col(c) for c in ("id", "strategy", "instruction", "output", "reasoning")})
+
+
+_THINK = "case when coalesce(reasoning, '') <> '' then '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10) || chr(10) || coalesce(output, '') else coalesce(output, '') end"
+
+
+@query(f"select id, strategy, coalesce(instruction, '') instruction, {_THINK} output from ({_FLAT})")
+def render_alpaca(spark, root):
+    return render.alpaca(_flat(spark, root), thinking=True).select("metadata.id", "metadata.strategy", "instruction", "output")
+
+
+@query(f"select id, 'user' role, instruction content from ({_FLAT}) where coalesce(instruction, '') <> '' union all select id, 'assistant', {_THINK} from ({_FLAT})")
+def render_chatml(spark, root):
+    return render.chatml(_flat(spark, root), thinking=True).select("metadata.id", F.explode("messages").alias("m")).select("id", "m.role", "m.content")
+
+
+@query()
+def minhash_dedup(spark, root):
+    """Rows only: signatures are not expressible in SQL; tests compare with a sequential run."""
+    return stages.minhash_dedup()(document_samples(spark, root)).select("id", "drop_code", "drop_by")
+
+
+def _vectors(spark, root):
+    return table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vec"))
+
+
+@query("select b.vec_id id, a.vec_id other, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) cosine from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.4")
+def semantic_pairs_040(spark, root):
+    return stages.cosine_pairs(_vectors(spark, root), 0.40).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def semantic_dedup_040(spark, root):
+    return stages.semantic_dedup(_vectors(spark, root), 0.40)
+
+
+def _plane_sql() -> str:
+    # The same normals as numbers; rounding of sums does not reach signs in these tables.
+    bits = " || ".join(f"case when list_dot_product(v, [{', '.join(map(repr, p))}]) >= 0 then '0' else '1' end" for p in stages.hyperplanes(64))
+    return f"""with v as (select vec_id id, cast(embedding as double[]) v from embeddings), b as (select id, v, {bits} bucket from v),
+a as (select bucket, min(id) anchor, arg_min(v, id) av from b group by bucket)
+select b.id, b.bucket, a.anchor, not (b.id <> a.anchor and list_cosine_similarity(b.v, a.av) >= 0.3) kept from b join a on a.bucket = b.bucket"""
+
+
+@query(_plane_sql())
+def cluster_dedup(spark, root):
+    return stages.cluster_dedup(_vectors(spark, root), threshold=0.3)
+
+
+#: Judge scores made from documents: two judges and a third that is missing for every fifth document.
+_SCORES = """with sc as (
+  select doc_id, 'a' endpoint, 'quality' dim, (doc_id * 7) % 10 + 1.0 v from documents union all
+  select doc_id, 'b', 'quality', (doc_id * 3) % 10 + 1.0 from documents union all
+  select doc_id, 'c', 'quality', (doc_id * 11) % 10 + 1.0 from documents where doc_id % 5 <> 0 union all
+  select doc_id, 'a', 'safety', (doc_id * 13) % 10 + 1.0 from documents where doc_id % 3 <> 0)
+"""
+
+
+def _scores(spark, root):
+    d = table(spark, root, "documents").select("doc_id")
+    made = [("a", "quality", 7, None), ("b", "quality", 3, None), ("c", "quality", 11, 5), ("a", "safety", 13, 3)]
+    parts = F.array(*[F.struct(F.lit(e).alias("endpoint"), F.lit(dim).alias("dim"), F.when(F.lit(skip is None) | (F.col("doc_id") % (skip or 1) != 0), (F.col("doc_id") * k % 10 + 1).cast("double")).alias("value")) for e, dim, k, skip in made])
+    return d.select(F.col("doc_id").alias("sample_id"), F.inline(parts)).filter("value is not null")
+
+
+def _aggregate(how: str, fn: str):
+    def run(spark, root):
+        return judge.per_dimension(_scores(spark, root), how).select("sample_id", "dim", F.round("value", 6).alias("value"), "judges")
+
+    run.__name__ = f"judge_{how}"
+    query(_SCORES + f"select doc_id sample_id, dim, round({fn}(v), 6) value, count(*) judges from sc group by all")(run)
+
+
+for _how, _fn in (("mean", "avg"), ("min", "min"), ("max", "max"), ("median", "median")):
+    _aggregate(_how, _fn)
+
+_GATES = _SCORES + """, d as (select doc_id, dim, avg(v) value, case when count(*) > 1 then max(v) - min(v) end spread from sc group by all),
+t as (select doc_id, sum(value) total, max(spread) spread from d group by 1), n as (select doc_id, count(distinct endpoint) success from sc group by 1),
+r as (select x.doc_id, case when coalesce(n.success, 0) < 3 then 'insufficient_judges' when t.spread > 7 then 'judge_disagreement' when coalesce(t.total, 0) < 8 then 'min_total' end drop_code, round(coalesce(t.total, 0), 6) total
+  from documents x left join t on t.doc_id = x.doc_id left join n on n.doc_id = x.doc_id)
+"""
+
+
+def _gated(spark, root, **more):
+    samples = table(spark, root, "documents").select(F.col("doc_id").alias("id"))
+    return judge.judged(samples, _scores(spark, root), {"quality": 10.0, "safety": 10.0}, min_judges=3, max_disagreement=7.0, min_total=8.0, **more)
+
+
+@query(_GATES + "select doc_id id, total, drop_code from r")
+def judge_gates(spark, root):
+    return _gated(spark, root).select("id", F.round("total", 6).alias("total"), "drop_code")
+
+
+@query(_GATES + """, l as (select doc_id, 'safety' dim, (doc_id % 11) / 10.0 * 10 * 0.5 v from documents)
+select x.doc_id id, round(t.total + case when exists (select 1 from d where d.doc_id = x.doc_id and d.dim = 'safety') then 0 else l.v end, 6) total from documents x join t on t.doc_id = x.doc_id join l on l.doc_id = x.doc_id""")
+def local_scorer_fill(spark, root):
+    local = table(spark, root, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.lit("ppl").alias("source"), F.lit(1).alias("priority"), F.lit(0.5).alias("weight"), F.lit("safety").alias("dim"), (F.col("doc_id") % 11 / 10.0).alias("value")
+    )
+    return _gated(spark, root, local=local).select("id", F.round("total", 6).alias("total"))
+
+
+@query("""with t as (select case when total_score >= 20 then 20 when total_score >= 15 then 15 when total_score >= 10 then 10 when total_score >= 5 then 5 else 0 end bucket, total_score from samples where total_score > 0 and not isnan(total_score))
+select cast(bucket as integer) bucket, count(*) n, round(avg(total_score), 1) mean from t group by 1""")
+def score_distribution(spark, root):
+    return report.score_distribution(table(spark, root, "samples"), "total_score")
+
+
+def _cleaned(spark, root):
+    return stages.pipeline(stages.length_gate(output=(200, 8000)), stages.exact_dedup())(document_samples(spark, root))
+
+
+_CLEAN = _DOC + """, g as (select *, case when length(instruction) not between 5 and 4000 then 'instruction_len' when length(output) not between 200 and 8000 then 'output_len' end a from s),
+h as (select *, case when a is null then row_number() over (partition by a is null, sha256(core) order by pos, id) end rn from g),
+r as (select id, case when a is not null then 'length' when rn > 1 then 'exact_dedup' end stage, case when a is not null then a when rn > 1 then 'duplicate' end code from h)
+"""
+
+
+@query(_CLEAN + "select coalesce(stage, 'kept') stage, coalesce(code, '') reason, count(*) n from r group by all")
+def drop_waterfall(spark, root):
+    return report.waterfall(_cleaned(spark, root))
+
+
+@query(_CLEAN + "select count(*) - count(stage) produced, count(stage) dropped, count(*) total_in from r")
+def run_summary(spark, root):
+    return report.summary(_cleaned(spark, root))
+
+
+@query()
+def full_clean_flow(spark, root):
+    flow = stages.pipeline(stages.length_gate(output=(200, 8000)), stages.exact_dedup(), stages.stats_gate(), stages.minhash_dedup())
+    return flow(document_samples(spark, root)).select("id", "drop_stage", "drop_code", "drop_by")
+
+
+_TOPICS, _LEVELS, _STYLES = ["physics", "history", "music", "law", "cooking"], ["easy", "medium", "hard"], ["short", "long"]
+
+
+@query("""with n as (select unnest(range(1000)) pos), p as (select pos, ['physics','history','music','law','cooking'][pos % 5 + 1] topic, pos % 6 c from n),
+q as (select *, ['easy','medium','hard'][c // 2 + 1] difficulty, ['short','long'][c % 2 + 1] style from p)
+select pos, topic, substr(sha256('topic|topic_driven|' || topic || '|difficulty=' || difficulty || '|style=' || style || '|' || pos), 1, 16) id from q""")
+def plan_topic(spark, root):
+    specs = planners.topic_plan(spark, _TOPICS, {"difficulty": _LEVELS, "style": _STYLES}, 1000)
+    return specs.select("pos", F.get_json_object("payload", "$.topic").alias("topic"), "id")
+
+
+@query("with n as (select unnest(range(500)) pos) select pos, substr(sha256('tool|' || ['physics','history','music','law','cooking'][pos % 5 + 1] || '|' || pos), 1, 16) id from n")
+def plan_tool(spark, root):
+    return planners.tool_plan(spark, _TOPICS, 500).select("pos", "id")
+
+
+@query("""with s(i, name, count, weight) as (values (0, 'topic_driven', null, 2.0), (1, 'seed_driven', 100, 1.0), (2, 'document_qa', null, 1.0), (3, 'tool_call', null, 0.5)),
+f as (select *, floor(900 * weight / sum(weight) over ()) share, row_number() over (order by weight desc, i) h from s where count is null)
+select name strategy, cast(coalesce(s.count, f.share + case when h = 1 then 900 - (select sum(share) from f) else 0 end) as bigint) n from s left join f using (name)""")
+def allocate(spark, root):
+    strategies = [{"type": "topic_driven", "weight": 2.0}, {"type": "seed_driven", "count": 100}, {"type": "document_qa"}, {"type": "tool_call", "weight": 0.5}]
+    return spark.createDataFrame(planners.allocate(strategies, 1000), "strategy string, n long")
+
+
+_SEEDS = [{"id": f"s{i}", "instruction": f"question {i}", "output": f"answer {i}"} for i in range(5)]
+
+
+@query()
+def plan_seed(spark, root):
+    """Rows only: the draws follow the standard random generator."""
+    return planners.seed_plan(spark, _SEEDS, 200, 0.3, 0.3, [{"name": "shorten", "prompt": "make it {value}"}], seed=42)
+
+
+@query()
+def plan_evol(spark, root):
+    return planners.evol_plan(spark, _SEEDS, 20, seed=42)
+
+
+def _docs(spark, root):
+    return table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("pos"))
+
+
+@query()
+def plan_document_qa(spark, root):
+    """Rows only (chunk offsets); budget 500 is the plan's."""
+    return planners.document_plan(_docs(spark, root), 500, "structure")
+
+
+_BT = r"""with d as (select doc_id, length(regexp_replace(regexp_replace(text, '[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}\p{Cf}]', '', 'g'), '^""" + _SPACE + "+|" + _SPACE + r"""+$', '', 'g')) n from documents),
+k as (select doc_id, n, row_number() over (order by doc_id) - 1 pos from d where n between 50 and 4000 order by doc_id limit 500)
+select pos, substr(sha256('bt|' || doc_id || '|' || pos || '|' || n), 1, 16) id from k"""
+
+
+@query(_BT)
+def plan_backtranslation(spark, root):
+    return planners.backtranslation_plan(_docs(spark, root), 500).select("pos", "id")
+
+
+@query()
+def structure_chunk_ranges(spark, root):
+    return table(spark, root, "documents").select("doc_id", F.inline(structure_chunks(F.col("text"))))
+
+
+@query()
+def semantic_chunk_ranges(spark, root):
+    return table(spark, root, "documents").filter("text is not null").select("doc_id", F.inline(semantic_chunks(F.col("text"))))
+
+
+@query()
+def reply_objects(spark, root):
+    """The first JSON object of every document's text, as if it were a reply."""
+    return table(spark, root, "documents").select("doc_id", extract_json(F.col("text")).alias("object"))
+
+
+@query()
+def trajectories(spark, root):
+    df = message_samples(spark, root)
+    return df.select("id", validate_trajectory(F.to_json("messages"), F.coalesce("tools", F.lit("[]"))).alias("problem"))
+
+
+@query("""select doc_id, case when n_chars is null then 0.0 else round(greatest(0.0, least(1.0, 1 - (n_chars % 900) / 100.0 / 6.0)), 4) end quality from documents""")
+def ppl_quality(spark, root):
+    return table(spark, root, "documents").select("doc_id", T.nll_quality(F.col("n_chars") % 900 / 100.0).alias("quality"))
+
+
+@query()
+def prompt_logprobs(spark, root):
+    payloads = [(1, '{"choices":[{"logprobs":{"prompt_logprobs":[null,{"123":-0.5},{"7":-1.5}]}}]}'), (2, '{"choices":[{"logprobs":{"token_logprobs":[-2.0,null,-1.0]}}]}'), (3, "broken")]
+    df = spark.createDataFrame(payloads, "id int, payload string").withColumn("lp", T.parse_prompt_logprobs(F.col("payload")))
+    return df.select("id", T.mean_token_nll(F.col("lp")).alias("nll"), T.nll_quality(T.mean_token_nll(F.col("lp"))).alias("quality"))
+
+
+@query("select cast(doc_id as varchar) id from documents where doc_id not in (select doc_id from documents where length(text) > 2000)")
+def terminal_anti_join(spark, root):
+    specs, done = _docs(spark, root), _docs(spark, root).filter(F.length("text") > 2000)
+    return specs.join(done.select("id"), "id", "left_anti").select("id")
+
+
+@query("select distinct id from (select id from samples where total_score > 5 union all select sample_id from fingerprints) where id is not null")
+def state_union(spark, root):
+    a = table(spark, root, "samples").filter("total_score > 5").select("id")
+    return a.union(table(spark, root, "fingerprints").select(F.col("sample_id").alias("id"))).filter("id is not null").distinct()
+
+
+@query("""with c as (select text_hash, model, min(vec_id) vec_id from text_vectors where vec is not null group by all), w as (select text_hash, model from text_vectors)
+select w.text_hash, w.model, c.vec_id is not null cached, count(*) n from w left join c on w.text_hash = c.text_hash and w.model = c.model group by all""")
+def cache_lookaside(spark, root):
+    vectors = table(spark, root, "text_vectors")
+    cache = vectors.filter("vec is not null").groupBy("text_hash", "model").agg(F.min("vec_id").alias("vec_id"))
+    joined = vectors.select("text_hash", "model").join(cache, ["text_hash", "model"], "left")
+    return joined.groupBy("text_hash", "model", F.col("vec_id").isNotNull().alias("cached")).agg(F.count("*").alias("n"))
+
+
+@query("""select id, total_score from (select id, total_score, row_number() over (partition by id order by created_at desc, total_score desc nulls last) rn from samples where id is not null) where rn = 1""")
+def state_latest(spark, root):
+    rows = table(spark, root, "samples").filter("id is not null").select("id", "total_score", "created_at")
+    return latest(rows.withColumnRenamed("created_at", "at"), ("id",), order="at").select("id", "total_score")
+
+
+@query("select 'documents' as name, count(*) n from documents union all select 'samples', count(*) from samples union all select 'fingerprints', count(*) from fingerprints")
+def store_stats(spark, root):
+    return report.store_stats({t: table(spark, root, t) for t in ("documents", "samples", "fingerprints")})
+
+
+@query(_DOC + "select id, case when row_number() over (partition by sha256(core) order by pos, id) > 1 then 'duplicate' end drop_code from s")
+def export_round_trip(spark, root):
+    """Rows written to and read from the columnar export."""
+    folder = tempfile.mkdtemp(prefix="gleaner-export-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/export-{spark.sparkContext.applicationId}"
+    render.write_export(stages.exact_dedup()(document_samples(spark, root)).select("id", "drop_code"), folder)
+    return spark.read.parquet(folder)
+
+
+@query()
+def generated_samples(spark, root):
+    """All documents through a backtranslation plan, the stand-in model and the sample filters."""
+    specs = planners.backtranslation_plan(_docs(spark, root), 1000)
+    done = generate.execute(specs, generate.prompt_for("instruction_backtranslation"))
+    from gleaner.session import cut
+
+    return generate.collect_samples(cut(done), "instruction_backtranslation").select("id", "instruction", "drop_code")
+
+
+@query()
+def streaming_exact_dedup(spark, root):
+    """Documents as a stream; the result equals exact_dedup when files arrive in order."""
+    from gleaner.streaming.flows import stream_dedup
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-stream-")
+    base = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(root))}"
+    source = table(spark, root, "documents")
+    source.repartitionByRange(2, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
+    raw = spark.readStream.schema(source.schema).parquet(f"{base}/in")
+    from gleaner.operators.model import as_samples
+
+    named = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.coalesce("lang", F.lit("")))
+    samples = as_samples(raw, id=F.col("doc_id"), strategy=F.lit("document"), instruction=named, output=F.coalesce("text", F.lit("")), pos=F.col("doc_id"))
+    keep = lambda df, n: df.select("id", "drop_code").write.mode("overwrite").parquet(f"{base}/out/batch_id={n}")
+    stream_dedup(samples, State(spark, f"{base}/state"), f"{base}/checkpoint", keep).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id", "drop_code")
