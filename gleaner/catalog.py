@@ -195,7 +195,7 @@ def cluster_dedup(spark, root):
 
 #: Judge scores made from documents: two judges and a third that is missing for every fifth document.
 _SCORES = """with sc as (
-  select doc_id, 'a' endpoint, 'quality' dim, (doc_id * 7) % 10 + 1.0 v from documents union all
+  select doc_id, 'a' endpoint, 'quality' dim, cast((doc_id * 7) % 10 + 1 as double) v from documents union all
   select doc_id, 'b', 'quality', (doc_id * 3) % 10 + 1.0 from documents union all
   select doc_id, 'c', 'quality', (doc_id * 11) % 10 + 1.0 from documents where doc_id % 5 <> 0 union all
   select doc_id, 'a', 'safety', (doc_id * 13) % 10 + 1.0 from documents where doc_id % 3 <> 0)

@@ -10,6 +10,11 @@ SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; a lambda that uses an expression computes it again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def derive_id(*parts: Column) -> Column:
     """16 hex digits of the SHA-256 of the parts joined by a bar; a null part counts as the word None."""
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), 256), 1, 16)
@@ -53,41 +58,45 @@ def tokens(text: Column, unit: str = "char") -> Column:
 
 def longest_run_ratio(text: Column, unit: str = "char") -> Column:
     """Longest run of equal neighbouring tokens over all tokens; 0 without tokens. One pass over the tokens."""
-    t = tokens(text, unit)
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, x: Column) -> Column:
         run = F.when(s["last"] == x, s["run"] + 1).otherwise(1)
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.when(F.size(t) > 0, F.aggregate(t, start, step, lambda s: s["best"] / F.size(t))).when(text.isNotNull(), 0.0)
+    share = let(tokens(text, unit), lambda t: F.when(F.size(t) > 0, F.aggregate(t, start, step, lambda s: s["best"] / F.size(t))).otherwise(0.0))
+    return F.when(text.isNotNull(), share)
 
 
 def repeated_word_ratio(text: Column, unit: str = "word") -> Column:
     """Share of tokens whose type occurs more than once: the tokens left when types that occur once are taken away. The
     sorted tokens are folded once, so no row is exploded and nothing is shuffled."""
-    t = F.array_sort(tokens(text, unit))
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("single"))
 
     def step(s: Column, x: Column) -> Column:
         same = F.coalesce(s["last"] == x, F.lit(False))
         return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), (s["single"] + F.when(~same & (s["run"] == 1), 1).otherwise(0)).alias("single"))
 
-    share = F.aggregate(t, start, step, lambda s: 1 - (s["single"] + F.when(s["run"] == 1, 1).otherwise(0)) / F.size(t))
-    return F.when(F.size(t) > 0, share).when(text.isNotNull(), 0.0)
+    rate = lambda t: F.aggregate(t, start, step, lambda s: 1 - (s["single"] + F.when(s["run"] == 1, 1).otherwise(0)) / F.size(t))
+    share = let(F.array_sort(tokens(text, unit)), lambda t: F.when(F.size(t) > 0, rate(t)).otherwise(0.0))
+    return F.when(text.isNotNull(), share)
 
 
 def grams(items: Column, n: int) -> Column:
     """n-grams of an array of strings as strings; none if it is shorter than n."""
-    last = F.size(items) - n + 1
-    joined = lambda i: F.concat(*[F.concat(F.lit("\x1f") if k else F.lit(""), items[i + k]) for k in range(n)])
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), joined)).otherwise(F.array().cast("array<string>"))
+
+    def build(t: Column) -> Column:
+        last = F.size(t) - n + 1
+        joined = lambda i: F.concat(*[F.concat(F.lit("\x1f") if k else F.lit(""), t[i + k]) for k in range(n)])
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), joined)).otherwise(F.array().cast("array<string>"))
+
+    return let(items, build)
 
 
 def ngram_diversity(text: Column, n: int = 3, unit: str = "char") -> Column:
     """Distinct n-grams over n-grams; 1 for texts shorter than n tokens."""
-    g = grams(tokens(text, unit), n)
-    return F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).when(text.isNotNull(), 1.0)
+    share = let(grams(tokens(text, unit), n), lambda g: F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(1.0))
+    return F.when(text.isNotNull(), share)
 
 
 def shingles(text: Column, n: int = 3) -> Column:
