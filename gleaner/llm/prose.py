@@ -34,62 +34,58 @@ COMMON = {
 FEATURES = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "odd_ratio", "stop_share", "common_share", "prose_share", "separators", "bullet_share", "single_share", "sentence_rate", "distinct_share")
 
 
-def statistics(text: Column) -> Column:
-    """Struct of the statistics of a text: n_chars and FEATURES. Shares of lines are weighted with their characters."""
+#: What each statistic needs to be summed over the lines.
+_SUMS = {
+    "words": {"words"}, "mean_word_length": {"letters", "words"}, "stop_share": {"stop", "chars"}, "common_share": {"common", "words"}, "prose_share": {"prose", "chars"},
+    "separators": {"words"}, "bullet_share": {"bullet", "chars"}, "single_share": {"single", "words"}, "sentence_rate": {"words"}, "distinct_share": {"words"},
+}
+
+
+def statistics(text: Column, fields: tuple[str, ...] = FEATURES) -> Column:
+    """Struct of statistics of a text: n_chars and those of FEATURES that are asked for. Shares of lines are weighted
+    with their characters. Null for null."""
     common = sorted({w for ws in COMMON.values() for w in ws})
-    word = r"\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]+"
     lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
-
-    def measure(line: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(line), F.lit(f"({word})"))
-        return F.struct(
-            F.length(line).cast("double").alias("chars"),
-            words.alias("w"),
-            line.rlike(r"[.!?。！？…:：;][\"'”’»)*_\s]*$").alias("stops"),
-            line.rlike(r"^\s*([-*•·+]|\d{1,3}[.)、])\s").alias("bullet"),
-        )
-
-    def count(s: Column) -> Column:
-        return F.struct(
-            s["chars"].alias("chars"), s["stops"].alias("stops"), s["bullet"].alias("bullet"), s["w"].alias("w"), F.size(s["w"]).cast("double").alias("words"),
-            F.size(F.filter(s["w"], lambda w: w.isin(common))).cast("double").alias("common"),
-            F.size(F.filter(s["w"], lambda w: (F.length(w) == 1) & ~w.rlike(r"\p{IsHan}"))).cast("double").alias("single"),
-            F.aggregate(s["w"], F.lit(0), lambda n, w: n + F.length(w)).cast("double").alias("letters"),
-        )
-
-    def add(t: Column, s: Column) -> Column:
-        return F.struct(
-            *[(t[c] + s[c]).alias(c) for c in ("chars", "words", "common", "single", "letters")],
-            (t["stop"] + F.when(s["stops"], s["chars"]).otherwise(0.0)).alias("stop"),
-            (t["bullet"] + F.when(s["bullet"], s["chars"]).otherwise(0.0)).alias("bullet"),
-            (t["prose"] + F.when((s["common"] >= PROSE_LINE * s["words"]) & (s["words"] > 0), s["chars"]).otherwise(0.0)).alias("prose"),
-        )
-
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("chars", "words", "common", "single", "letters", "stop", "bullet", "prose")])
-    counted = F.transform(F.transform(lines, measure), count)
-    total = F.aggregate(counted, zero, add)
+    words_of = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(\p{IsHan}|[\p{L}\p{M}\p{N}&&[^\p{IsHan}]]+)"))
+    number = lambda c: c.cast("double")
+    n_common = lambda w: number(F.size(F.filter(w, lambda x: x.isin(common))))
+    parts = {
+        "chars": lambda x, w: number(F.length(x)),
+        "words": lambda x, w: number(F.size(w)),
+        "common": lambda x, w: n_common(w),
+        "single": lambda x, w: number(F.size(F.filter(w, lambda y: (F.length(y) == 1) & ~y.rlike(r"\p{IsHan}")))),
+        "letters": lambda x, w: number(F.aggregate(w, F.lit(0), lambda n, y: n + F.length(y))),
+        "stop": lambda x, w: F.when(x.rlike(r"[.!?。！？…:：;][\"'”’»)*_\s]*$"), number(F.length(x))).otherwise(0.0),
+        "bullet": lambda x, w: F.when(x.rlike(r"^\s*([-*•·+]|\d{1,3}[.)、])\s"), number(F.length(x))).otherwise(0.0),
+        "prose": lambda x, w: F.when((n_common(w) >= PROSE_LINE * F.size(w)) & (F.size(w) > 0), number(F.length(x))).otherwise(0.0),
+    }
+    sums = [k for k in parts if any(k in _SUMS.get(f, ()) for f in fields)]
+    measured = F.transform(F.transform(lines, lambda x: F.struct(x.alias("x"), words_of(x).alias("w"))), lambda s: F.struct(*[parts[k](s["x"], s["w"]).alias(k) for k in sums]))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in sums])
+    total = F.aggregate(measured, zero, lambda t, s: F.struct(*[(t[k] + s[k]).alias(k) for k in sums])) if sums else None
     left = lambda keep: F.length(F.regexp_replace(text, keep, ""))
-    size = F.length(text).cast("double")
+    size = number(F.length(text))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return F.when(
-        text.isNotNull(),
-        F.struct(
-            F.length(text).alias("n_chars"),
-            total["words"].alias("words"),
-            per(total["letters"], total["words"]).alias("mean_word_length"),
-            per(left(r"[\p{L}\p{M}\p{N}\s]+"), size).alias("symbol_ratio"),
-            per(left(r"[^\p{Nd}]+"), size).alias("digit_ratio"),
-            per(left(r"[^\x{80}-\x{9f}\x{a1}-\x{bf}\x{fffd}\x{2500}-\x{25ff}]+"), size).alias("odd_ratio"),
-            per(total["stop"], total["chars"]).alias("stop_share"),
-            per(total["common"], total["words"]).alias("common_share"),
-            per(total["prose"], total["chars"]).alias("prose_share"),
-            per(left(r"[^,;|/\t、]+"), total["words"]).alias("separators"),
-            per(total["bullet"], total["chars"]).alias("bullet_share"),
-            per(total["single"], total["words"]).alias("single_share"),
-            per(F.size(F.regexp_extract_all(text, F.lit(r"([.!?](?=\s|$)|[。！？])"))) * 1.0, total["words"]).alias("sentence_rate"),
-            per(F.size(F.array_distinct(F.flatten(F.transform(counted, lambda s: s["w"])))) * 1.0, total["words"]).alias("distinct_share"),
-        ),
-    )
+    ratio = {
+        "mean_word_length": ("letters", "words"), "stop_share": ("stop", "chars"), "common_share": ("common", "words"), "prose_share": ("prose", "chars"),
+        "bullet_share": ("bullet", "chars"), "single_share": ("single", "words"),
+    }
+
+    def finish(t: Column) -> Column:
+        made = {
+            "words": lambda: t["words"],
+            "symbol_ratio": lambda: per(left(r"[\p{L}\p{M}\p{N}\s]+"), size),
+            "digit_ratio": lambda: per(left(r"[^\p{Nd}]+"), size),
+            "odd_ratio": lambda: per(left(r"[^\x{80}-\x{9f}\x{a1}-\x{bf}\x{fffd}\x{2500}-\x{25ff}]+"), size),
+            "separators": lambda: per(left(r"[^,;|/\t、]+"), t["words"]),
+            "sentence_rate": lambda: per(F.size(F.regexp_extract_all(text, F.lit(r"([.!?](?=\s|$)|[。！？])"))) * 1.0, t["words"]),
+            "distinct_share": lambda: per(F.size(F.array_distinct(words_of(text))) * 1.0, t["words"]),
+        } | {k: (lambda a=a, b=b: per(t[a], t[b])) for k, (a, b) in ratio.items()}
+        return F.struct(F.length(text).alias("n_chars"), *[made[f]().alias(f) for f in fields])
+
+    # The sums are bound once: an expression used in several fields would be computed for each.
+    out = F.transform(F.array(total), finish)[0] if sums else finish(F.lit(None))
+    return F.when(text.isNotNull(), out)
 
 
 @dataclass(frozen=True)
@@ -191,11 +187,12 @@ def _rules(spark: SparkSession) -> tuple[Rule, ...]:
 
 
 def judged(df: DataFrame, text: str, spark: SparkSession) -> DataFrame:
-    """df with struct s of the statistics of the text column and rule, the rule that calls it no prose (0: prose)."""
-    case = to_case(list(_rules(spark)))
-    for f in FEATURES:
+    """df with struct s of the statistics the rules use and rule, the rule that calls it no prose (0: prose)."""
+    rules = list(_rules(spark))
+    case, used = to_case(rules), tuple(f for f in FEATURES if any(c.feature == f for rule in rules for c in rule))
+    for f in used:
         case = case.replace(f"{f} <=", f"s.{f} <=").replace(f"{f} >=", f"s.{f} >=")
-    return df.withColumn("s", statistics(F.col(text))).withColumn("rule", F.when(F.col("s.n_chars") >= MIN_CHARS, F.expr(case)).otherwise(0))
+    return df.withColumn("s", statistics(F.col(text), used)).withColumn("rule", F.when(F.col("s.n_chars") >= MIN_CHARS, F.expr(case)).otherwise(0))
 
 
 def found(spark: SparkSession, root: str) -> DataFrame:
