@@ -39,11 +39,15 @@ def scores(text: str | None) -> dict[str, float]:
     return out
 
 
-def language(text: str | None) -> str:
-    """The language with the best score; "?" for texts without any sign."""
-    s = scores(text)
+def best_of(s: dict[str, float]) -> str:
+    """The language with the best score; "?" without any sign."""
     if not s or max(s.values()) == 0:
         return "?"
     if s["zh"] >= 0.3:
         return "zh"
     return max(("en", "de", "fr", "es"), key=lambda lang: (s[lang], lang))
+
+
+def language(text: str | None) -> str:
+    """The language a text is mostly written in."""
+    return best_of(scores(text))
