@@ -20,12 +20,14 @@ no part; a sample_id counts once, with its earliest (batch_no, pos).
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.tables import cut, table
+from gleaner.session import ensure_checkpoint_dir
 
 WIDTH, AGREE = 128, 102
 RADIUS = WIDTH - AGREE
@@ -80,13 +82,16 @@ def _as_old(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class History:
-    """Accepted samples as an index. Tables are kept in the shared checkpoint folder and only ever appended to."""
+    """Accepted samples as an index. Its tables (keys, leaders, signatures) lie in the shared checkpoint folder and are
+    only ever appended to."""
 
     def __init__(self, batch: DataFrame):
         """batch: rows of batch 0 (sample_id, batch_no, pos, hash, sig), all of them accepted."""
         usable = batch.filter("sig is not null")
         self.pivots = [list(r.sig) for r in usable.groupBy("sig").agg(F.min(F.struct("batch_no", "pos")).alias("at")).orderBy("at", "sig").limit(PIVOTS).collect()]
-        self.keys, self.leaders, self.signatures = None, None, None
+        self.spark = batch.sparkSession
+        ensure_checkpoint_dir(self.spark)
+        self.folder, self.batches = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/history-{uuid.uuid4().hex}", 0
         self._append(self._keyed(batch))
 
     def _keyed(self, batch: DataFrame) -> DataFrame:
@@ -106,9 +111,11 @@ class History:
         keyed = rows.select(F.inline("keys"), F.col("sample_id").alias("old_id"), F.col("hash").alias("old_hash"), F.col("near").alias("old_near"), F.col("bits").alias("old_bits"))
         lead = keyed.groupBy("key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "key"]), "old_id").alias("l")).select("key", "l.*")
         sigs = rows.filter("sig is not null").select(F.col("sample_id").alias("old_id"), F.col("sig").alias("old_sig"))
+        # One folder per batch below each table: a read is one scan however many batches there are.
         for name, part in (("keys", keyed), ("leaders", lead), ("signatures", sigs)):
-            kept = getattr(self, name)
-            setattr(self, name, part if kept is None else kept.unionByName(part))
+            part.write.parquet(f"{self.folder}/{name}/batch={self.batches}")
+            setattr(self, name, self.spark.read.schema(part.schema).parquet(f"{self.folder}/{name}"))
+        self.batches += 1
 
     def _pairs(self, new: DataFrame, old: DataFrame, signatures: DataFrame, banded: bool = False) -> DataFrame:
         """(sample_id, old_id) of new rows and their partners in old: equal hashes, or signatures within RADIUS."""
