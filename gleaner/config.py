@@ -1,0 +1,114 @@
+"""Configuration: defaults, closed sections, checks. A config is a dict read from YAML (if available) or JSON."""
+
+from __future__ import annotations
+
+import json
+import os
+from dataclasses import dataclass
+from typing import Any
+
+from gleaner.operators.render import FORMATS
+from gleaner.operators.stages import REGISTRY
+from gleaner.plans.planners import PLANNERS, PlanError, allocate
+
+
+class ConfigError(ValueError):
+    """The configuration can't be used."""
+
+
+#: Section to its fields and defaults; a field that isn't listed is an error.
+DEFAULTS: dict[str, dict[str, Any]] = {
+    "llm": {"model": None, "api_key": None, "base_url": None, "lang": "en", "concurrency": 1, "params": {}, "retry": {}, "breaker": {}},
+    "retry": {"attempts": 3, "backoff": 2.0, "max_delay": 30.0},
+    "breaker": {"window": 50.0, "max_retry_ratio": 0.9},
+    "embedding": {"model": "text-embedding-v3", "api_key": None, "base_url": None, "batch_size": 32},
+    "run": {"seed": None, "preview_count": 8},
+    "plan": {"count": None},
+    "judge": {"dimensions": [], "min_total": 0.0, "judges": [], "aggregation": "mean", "min_judges": 1, "max_disagreement": 0.0, "scorers": []},
+    "output": {"path": None, "format": None, "thinking": False, "cache_cleanup": True, "export_format": "parquet"},
+}
+LISTS = ("strategies", "stages")
+
+
+@dataclass(frozen=True)
+class Issue:
+    level: str
+    message: str
+
+
+def load_env(path: str) -> None:
+    """KEY=VALUE lines into the environment; what is set stays."""
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                key, mark, value = line.strip().partition("=")
+                if mark and key and not key.startswith("#"):
+                    os.environ.setdefault(key.strip(), value.strip().strip("\"'"))
+
+
+def load(path: str) -> dict[str, Any]:
+    """The file with defaults filled in. Unknown sections and fields: ConfigError."""
+    load_env(os.path.join(os.path.dirname(os.path.abspath(path)), ".env"))
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        data = yaml.safe_load(text)
+    except ImportError:
+        data = json.loads(text)
+    return complete(data or {})
+
+
+def complete(data: dict[str, Any]) -> dict[str, Any]:
+    sections = set(DEFAULTS) - {"retry", "breaker"}
+    if not isinstance(data, dict) or set(data) - sections - set(LISTS) - {"endpoints"}:
+        raise ConfigError(f"unknown sections: {', '.join(sorted(set(data) - sections - set(LISTS) - {'endpoints'}))}")
+    out = {}
+    for name in sorted(sections):
+        given = data.get(name) or {}
+        if unknown := set(given) - set(DEFAULTS[name]):
+            raise ConfigError(f"unknown fields in {name}: {', '.join(sorted(unknown))}")
+        out[name] = DEFAULTS[name] | given
+    out["endpoints"] = {k: endpoint(out["llm"], v or {}) for k, v in (data.get("endpoints") or {}).items()}
+    out["llm"] = endpoint({}, out["llm"])
+    for name in LISTS:
+        out[name] = [{"type": x} if isinstance(x, str) else dict(x) for x in data.get(name) or []]
+    return out
+
+
+def endpoint(parent: dict[str, Any], own: dict[str, Any]) -> dict[str, Any]:
+    """An endpoint's fields: its own, its parent's, the defaults; model, url and key also from the environment."""
+    out = DEFAULTS["llm"] | {k: v for k, v in parent.items() if v is not None} | {k: v for k, v in own.items() if v is not None}
+    for field, variable in (("model", "LLM_MODEL"), ("base_url", "LLM_BASE_URL"), ("api_key", "LLM_API_KEY")):
+        out[field] = out[field] or os.environ.get(variable)
+    return out | {"retry": DEFAULTS["retry"] | out["retry"], "breaker": DEFAULTS["breaker"] | out["breaker"]}
+
+
+def check(cfg: dict[str, Any], command: str, count: int | None = None) -> list[Issue]:
+    """Errors and warnings for a command (run, clean, score)."""
+    out: list[Issue] = []
+    error = lambda m: out.append(Issue("error", m))
+    for s in cfg["stages"]:
+        if s.get("type") not in REGISTRY:
+            error(f"unknown stage {s.get('type')!r}")
+    for s in cfg["strategies"]:
+        if s.get("type") not in PLANNERS:
+            error(f"unknown strategy {s.get('type')!r}")
+    if cfg["output"]["format"] not in (None, *FORMATS):
+        error(f"unknown format {cfg['output']['format']!r}")
+    if command == "run":
+        if not cfg["strategies"]:
+            error("run needs strategies")
+        else:
+            try:
+                allocate(cfg["strategies"], count if count is not None else cfg["plan"]["count"])
+            except PlanError as e:
+                error(str(e))
+    if command == "score" and not cfg["judge"]["dimensions"] and not cfg["judge"]["scorers"]:
+        error("score needs judge.dimensions or judge.scorers")
+    if cfg["output"]["path"] is None:
+        error("output.path is missing")
+    if len({d.get("name") for d in cfg["judge"]["dimensions"]}) < len(cfg["judge"]["dimensions"]):
+        out.append(Issue("warning", "judge.dimensions repeats a name"))
+    return out

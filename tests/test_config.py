@@ -1,0 +1,38 @@
+import json
+
+import pytest
+
+from gleaner import cli, config
+
+
+def written(tmp_path, **sections):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(sections))
+    return str(path)
+
+
+def test_defaults_and_unknown_fields(tmp_path, monkeypatch):
+    monkeypatch.setenv("LLM_MODEL", "m")
+    cfg = config.load(written(tmp_path, output={"path": "x"}, endpoints={"a": {"concurrency": 4}}))
+    assert cfg["endpoints"]["a"]["model"] == "m" and cfg["endpoints"]["a"]["concurrency"] == 4 and cfg["llm"]["retry"]["attempts"] == 3
+    for bad in ({"nope": {}}, {"run": {"nope": 1}}):
+        with pytest.raises(config.ConfigError):
+            config.complete(bad)
+
+
+def test_exit_codes(tmp_path, capsys):
+    good = written(tmp_path, output={"path": "x"}, strategies=[{"type": "topic_driven", "weight": 2}, {"type": "tool_call"}])
+    assert cli.main(["-c", good, "validate", "--for", "clean"]) == 0
+    assert cli.main(["-c", good, "validate"]) == 2
+    assert cli.main(["-c", good, "plan", "--count", "9"]) == 0
+    assert capsys.readouterr().out.split() == ["topic_driven", "6", "tool_call", "3"]
+    assert cli.main(["-c", str(tmp_path / "none.json"), "validate"]) == 2
+
+
+def test_clean(spark, tmp_path, capsys):
+    rows = [{"id": str(i), "instruction": "a question", "output": t} for i, t in enumerate(["a fine answer here", "a fine answer here", "no"])]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    path = written(tmp_path, output={"path": str(tmp_path / "out")}, stages=[{"type": "length", "output": [5, 100]}, "exact_dedup"])
+    assert cli.main(["-c", path, "clean", str(tmp_path / "in.jsonl")], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:3] == ["exact_dedup duplicate 1", "kept  1", "length output_len 1"]
+    assert len([x for f in (tmp_path / "out").glob("part*") for x in f.read_text().split("\n") if x]) == 1
