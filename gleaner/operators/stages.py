@@ -3,6 +3,7 @@ the first reason and are not looked at again. Nulls count as empty texts."""
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.greedy import first_wins, resolve_pairs
+from gleaner.operators.greedy import GROUP, first_wins, resolve_pairs
 from gleaner.operators.model import core_text
 from gleaner.session import cut
 
@@ -132,27 +133,94 @@ def minhash_signature(hashes: Column, permutations: int = 128) -> Column:
     return sign(hashes)
 
 
+#: Cells of the counts by which shingles are ordered; a power of two. The order changes the work, never the result.
+CELLS = 1 << 20
+#: Sets up to which those that meet others are picked without a shuffle of all.
+BROADCAST = 500_000
+
+
+def rare_first(live: DataFrame, threshold: float) -> Column:
+    """Of the shingle hashes _h of live: the rarest first, as many as two sets at least threshold alike must share two of.
+
+    Of n shingles a partner shares o = ceil(threshold * n) or more, so the first shared one, in any order that all sets
+    follow, is among the first n - o + 1, and the second among the first n - o + 2. Rarity is counted in CELLS cells."""
+    cells = live.select(F.explode("_h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("cell")).count().toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[cells["cell"].to_numpy()] = cells["count"].to_numpy()
+    shared = live.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("array<bigint>")
+    def first(arrays: pd.Series) -> pd.Series:
+        out = []
+        for x in arrays:
+            h = np.asarray(x, dtype=np.int64)
+            order = np.lexsort((h, shared.value[h & (CELLS - 1)]))
+            out.append(h[order[: len(h) - needed_overlap(len(h), threshold) + 2]])
+        return pd.Series(out, dtype=object)
+
+    return first("_h")
+
+
+def needed_overlap(n: int, threshold: float) -> int:
+    """Shingles that a set of n shares with every set at least threshold alike."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def exact_keys(sets: DataFrame, threshold: float, group: int = GROUP) -> DataFrame:
+    """sets (id, n: size, pre: rare_first) to (id, keys), only sets that share a key: all pairs at least threshold alike do.
+
+    A key is one of the first n - o + 1 shingles with a class of sizes: a set's own, where it meets its class and smaller
+    sets, and the next one up. Of a pair the shorter one shares ceil(2 * threshold / (1 + threshold) * n) shingles, so
+    fewer of its shingles go up. Under a heavy key, with more than group sets, sets meet by it together with a later
+    shingle of pre, which still every close pair shares."""
+    least = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") - 1e-9)).cast("int")
+    o = least(threshold)
+    cells = sets.select("id", F.posexplode(F.slice("pre", F.lit(1), F.greatest(F.lit(0), F.col("n") - o + 1))).alias("at", "shingle"))
+    known = cells.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")
+    # Sizes of a close pair differ by a factor of at most 1 / threshold, so their classes are equal or neighbours.
+    size = F.floor(F.log(F.col("n")) / math.log(1 / min(threshold - 1e-6, 0.999)))
+    up = F.when(F.col("at") < F.col("n") - least(2 * threshold / (1 + threshold)) + 1, size + 1)
+    places = F.array_compact(F.array(size, up))
+    met = cells.join(known, "shingle").join(sets.select("id", "n"), "id").select("id", "n", "at", "shingle", o.alias("o"), F.explode(places).alias("class"))
+    met = cut(met.withColumn("key", F.xxhash64("shingle", "class")))
+    sized = met.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
+    met = met.join(sized, "key")
+    plain = met.filter((F.col("sets") <= group) | (F.col("o") == 1)).select("id", "key")
+    heavy = met.filter(F.col("sets") > group).join(sets.select("id", "pre"), "id")
+    split = heavy.select("id", "key", F.explode(F.expr("slice(pre, at + 2, size(pre))")).alias("second")).select("id", F.xxhash64("key", "second").alias("key"))
+    return plain.unionByName(split).groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+
 def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, unit: str = "word", verify: bool = True) -> Stage:
-    """Near-duplicates by banded signatures, earliest first. verify compares the shingle sets themselves; without it
-    any shared band drops. Rows of equal text are one row here, so copies are not paired. Texts without shingles share
-    the empty set and are alike."""
+    """Near-duplicates, earliest first. verify finds every pair of shingle sets at least threshold alike: candidates share
+    a rare shingle (exact_keys) and the sets themselves are compared. Without it any shared band of the MinHash signature
+    drops. Rows of equal text are one row here, so copies are not paired. Texts without shingles share the empty set and
+    are alike."""
 
     def run(df: DataFrame) -> DataFrame:
         df = opened(df)
         text = F.lower(core_text(df)) if unit == "word" else core_text(df)
         shingles = T.shingles(text, n) if unit == "char" else F.array_distinct(T.grams(T.tokens(text, "word"), n))
-        live = df.filter("drop_stage is null").withColumn("_h", F.transform(shingles, lambda g: F.xxhash64(g))).select("id", "pos", "_h")
+        live = df.filter("drop_stage is null").withColumn("_h", F.array_distinct(F.transform(shingles, lambda g: F.xxhash64(g)))).select("id", "pos", "_h")
         live = cut(live.withColumn("_set", F.xxhash64(F.array_sort("_h"))))
-        lead = live.groupBy("_set").agg(F.min(F.struct("pos", "id")).alias("at"), F.min_by("_h", F.struct("pos", "id")).alias("_h"))
-        bands, rows = band_shape(threshold, permutations)
-        signed = lead.withColumn("sig", minhash_signature(F.col("_h"), permutations))
-        keys = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
-        what = F.col("_h") if verify else F.lit(None).cast("array<bigint>")
-        alike = lambda x, y: F.lit(True) if not verify else _jaccard(x, y) >= threshold
-        verdict = first_wins(signed.select(F.col("at.id").alias("id"), "at", keys.alias("keys"), what.alias("what")), alike)
-        verdict = lead.select("_set", F.col("at.id").alias("lead")).join(verdict.select(F.col("id").alias("lead"), "kept", "by"), "lead")
-        marks = live.select("id", "_set").join(verdict, "_set")
-        by = F.when(~F.col("kept"), F.col("by")).when(F.col("id") != F.col("lead"), F.col("lead"))
+        lead = live.groupBy("_set").agg(F.min(F.struct("pos", "id")).alias("at")).withColumn("lead", F.col("at.id"))
+        if verify:
+            sets = live.select("id", "_set", F.size("_h").alias("n"), rare_first(live, threshold).alias("pre"))
+            keys = exact_keys(cut(sets.join(lead.select("_set", F.col("lead").alias("id")), ["_set", "id"])), threshold)
+            what, alike = F.col("_h"), lambda x, y: _jaccard(x, y) >= threshold
+        else:
+            bands, rows = band_shape(threshold, permutations)
+            signed = live.join(lead.select(F.col("lead").alias("id")), "id", "left_semi").withColumn("sig", minhash_signature(F.col("_h"), permutations))
+            keys = signed.select("id", F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)]).alias("keys"))
+            what, alike = F.lit(None).cast("array<bigint>"), lambda x, y: F.lit(True)
+        # Sets that meet no other one are kept and need no verdict.
+        keys = cut(keys)
+        ids = keys.select("id")
+        few = live.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
+        meeting = few.join(keys, "id").select("id", F.struct("pos", "id").alias("at"), "keys", what.alias("what"))
+        verdict = first_wins(meeting, alike).filter("not kept").select(F.col("id").alias("lead"), "by")
+        marks = live.select("id", "_set").join(lead.select("_set", "lead"), "_set").join(verdict, "lead", "left")
+        by = F.coalesce("by", F.when(F.col("id") != F.col("lead"), F.col("lead")))
         marks = marks.select("id", by.alias("_by")).filter("_by is not null")
         return reject(df.join(marks, "id", "left"), "minhash_dedup", F.when(F.col("_by").isNotNull(), F.lit("near_dup")), by=F.col("_by")).drop("_by")
 

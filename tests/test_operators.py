@@ -58,6 +58,29 @@ def test_minhash_dedup(spark):
     assert got["a"] is None and got["c"] is None and got["b"] == "a" and got["d"] == "a"
 
 
+@pytest.mark.parametrize("common", [0, 60])
+def test_minhash_dedup_equals_brute_force(spark, common):
+    """Pairs between 0.80 and 0.90; with common words before every text, most shingles of a set are heavy."""
+    r, head = random.Random(8), " ".join(f"c{i}" for i in range(common))
+    texts = []
+    for i in range(80):
+        words = [f"w{i}_{k}" for k in range(120 if not common else 8)]
+        texts += [words] + [[*words[: len(words) - k], *(f"v{i}_{j}_{k}" for j in range(k))] for k in (r.randrange(8, 16), r.randrange(3, 8))]
+    r.shuffle(texts)
+    df = samples(spark, [(str(i), "q", f"{head} {' '.join(t)}") for i, t in enumerate(texts)])
+    sets = []
+    for t in texts:
+        w = ["q", *head.split(), *t]
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    want, kept = {}, []
+    for i, s in enumerate(sets):
+        want[str(i)] = next((str(j) for j in kept if alike(s, sets[j])), None)
+        kept += [i] if want[str(i)] is None else []
+    got = {x.id: x.drop_by for x in stages.minhash_dedup()(df).collect()}
+    assert got == want and sum(x is not None for x in want.values()) > 20
+
+
 def test_semantic_and_cluster_dedup(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.99, 0.01]), (2, [0.0, 1.0]), (3, None)]
     df = spark.createDataFrame([(i, i, v) for i, v in rows], "id long, at long, vec array<double>")
