@@ -74,6 +74,13 @@ def test_label_model_on_labelled_pairs():
         assert len(wrong) <= 1, (pairs.DEFECTS[d], wrong)
 
 
+def test_refusal_is_found_anywhere():
+    ask, long = "What does the gardener do when the bridge is closed?", "the gardener waits by the river until the bridge is open, " * 9
+    for late in (f"Since {long}I'm sorry, but I can't help with that.", f"{long.strip(', ')}. I'm sorry, but I can't help with that."):
+        assert late.find("sorry") > 400
+        assert pairs.votes(ask, late, False)[2][0] == "+"
+
+
 # Problem 5 -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("group", [2, 512])
 def test_history_equals_sequential(spark, group, monkeypatch):
