@@ -13,18 +13,12 @@ _OF: dict[str, tuple[str, ...]] = {}
 for _lang in ("en", "de", "fr", "es"):
     for _word in (w for w in COMMON[_lang] if len(w) > 1 or w in "aeoyàiu"):
         _OF[_word] = (*_OF.get(_word, ()), _lang)
-#: Words of a text that are looked at; taken from its beginning, middle and end when it is longer.
-LOOK = 240
 
 
 def scores(text: str | None) -> dict[str, float]:
     """Share of the text that speaks for each language (han: of its letters, the others: of its words)."""
     if not text:
         return {}
-    if len(text) > LOOK * 12:
-        third = LOOK * 4
-        middle = len(text) // 2
-        text = f"{text[:third]} {text[middle : middle + third]} {text[-third:]}"
     han = len(_HAN.findall(text))
     words = _WORD.findall(_HAN.sub(" ", text).lower())
     letters = sum(map(len, words))

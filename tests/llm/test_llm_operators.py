@@ -81,6 +81,16 @@ def test_refusal_is_found_anywhere():
         assert pairs.votes(ask, late, False)[2][0] == "+"
 
 
+def test_language_of_the_whole_text():
+    ask = "What does the gardener do when the bridge is closed and the river is high?"
+    english = "The gardener waits by the river until the bridge is open, and then he walks home with his dog. " * 11
+    german = "Der Gärtner wartet am Fluss, bis die Brücke wieder offen ist, und dann geht er mit dem Hund nach Hause. " * 80
+    text = f"{english}{german}{english}{german}{english}"
+    assert truncation.language(text) == "de" and pairs.votes(ask, text, False)[4][0] == "+"
+    quoted = f"{german[:1040]}{english * 5}{german[:1040]}{english * 5}{german[:1040]}"
+    assert truncation.language(quoted) == "en"
+
+
 # Problem 5 -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("group", [2, 512])
 def test_history_equals_sequential(spark, group, monkeypatch):
