@@ -91,6 +91,13 @@ def test_language_of_the_whole_text():
     assert truncation.language(quoted) == "en"
 
 
+def test_letters_after_a_rule_count():
+    ask = "What does the gardener do when the bridge is closed?"
+    german = "Der Gärtner wartet am Fluss, bis die Brücke wieder offen ist, und dann geht er mit dem Hund nach Hause."
+    assert pairs.votes(ask, f"{'-' * 90}\n{german}", False)[4][0] == "+"
+    assert pairs.votes(ask, "-" * 90, False)[4][0] == "-"
+
+
 # Problem 5 -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("group", [2, 512])
 def test_history_equals_sequential(spark, group, monkeypatch):
