@@ -413,7 +413,7 @@ def export_round_trip(spark, root):
 @query()
 def generated_samples(spark, root):
     """All documents through a backtranslation plan, the stand-in model and the sample filters."""
-    specs = planners.backtranslation_plan(_docs(spark, root), 1000)
+    specs = planners.backtranslation_plan(_docs(spark, root), None)
     done = generate.execute(specs, generate.prompt_for("instruction_backtranslation"))
     from gleaner.session import cut
 

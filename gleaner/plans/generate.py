@@ -12,6 +12,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,15 +36,20 @@ class Breaker:
 
     def __init__(self, window: float = 50.0, max_retry_ratio: float = 0.9, least: int = 5, clock: Callable[[], float] = time.monotonic):
         self.window, self.limit, self.least, self.clock, self.seen = window, max_retry_ratio, least, clock, deque()
+        # The threads of a partition share it; retries in the window are counted as calls come and go.
+        self.lock, self.retries = Lock(), 0
 
     def record(self, retry: bool) -> None:
-        self.seen.append((self.clock(), retry))
+        with self.lock:
+            self.seen.append((self.clock(), retry))
+            self.retries += retry
 
     def check(self) -> None:
-        while self.seen and self.seen[0][0] < self.clock() - self.window:
-            self.seen.popleft()
-        if len(self.seen) >= self.least and sum(r for _, r in self.seen) > self.limit * len(self.seen):
-            raise BreakerOpen(f"{sum(r for _, r in self.seen)} of {len(self.seen)} calls were retries")
+        with self.lock:
+            while self.seen and self.seen[0][0] < self.clock() - self.window:
+                self.retries -= self.seen.popleft()[1]
+            if len(self.seen) >= self.least and self.retries > self.limit * len(self.seen):
+                raise BreakerOpen(f"{self.retries} of {len(self.seen)} calls were retries")
 
 
 def retry(call: Callable[[], str], attempts: int = 3, backoff: float = 2.0, max_delay: float = 30.0, breaker: Breaker | None = None, sleep: Callable[[float], None] = time.sleep) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.chunking import semantic_chunks, structure_chunks
+from gleaner.session import cut
 
 SPEC = "id string, strategy string, payload string, lineage map<string,string>, pos bigint"
 
@@ -85,8 +86,15 @@ def tool_plan(spark: SparkSession, topics: list[str], budget: int) -> DataFrame:
     return rows.select(T.derive_id(F.lit("tool"), F.col("topic"), F.col("pos")).alias("id"), F.lit("tool_call").alias("strategy"), F.to_json(F.struct("topic")).alias("payload"), lineage.alias("lineage"), "pos")
 
 
-def _numbered(df: DataFrame, order: list[str], budget: int) -> DataFrame:
-    """The first budget rows in order, numbered; the limit runs before the one-task numbering, which it bounds."""
+def _numbered(df: DataFrame, order: list[str], budget: int | None) -> DataFrame:
+    """The first budget rows in order, numbered; the limit runs before the one-task numbering, which it bounds. Without a
+    budget all rows: numbered inside range partitions, to which the counts of earlier partitions are added."""
+    if budget is None:
+        parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # numbers must not change when a task is run again
+        before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+        own = parts.withColumn("n", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
+        return own.join(F.broadcast(starts), "_part").withColumn("n", F.col("n") + F.col("_start")).drop("_part", "_start")
     first = df.orderBy(*order).limit(budget)
     return first.withColumn("n", F.row_number().over(W.orderBy(*order)) - 1)
 
@@ -101,8 +109,8 @@ def document_plan(documents: DataFrame, budget: int, mode: str | None = None, le
     return rows.select(T.derive_id(F.lit("docqa"), F.col("id"), F.col("start"), F.col("end")).alias("id"), F.lit("document_qa").alias("strategy"), F.to_json(F.struct("chunk")).alias("payload"), lineage.alias("lineage"), F.col("n").cast("bigint").alias("pos"))
 
 
-def backtranslation_plan(documents: DataFrame, budget: int, least: int = 50, most: int = 4000, seed: int | None = None) -> DataFrame:
-    """documents (id, text, pos) within the length bounds after normalising; seed shuffles them by a hash of their id,
+def backtranslation_plan(documents: DataFrame, budget: int | None, least: int = 50, most: int = 4000, seed: int | None = None) -> DataFrame:
+    """documents (id, text, pos) within the length bounds after normalising, all of them without a budget; seed shuffles them by a hash of their id,
     the same in every run and on every cluster."""
     rows = documents.withColumn("text", T.normalize_text(F.col("text"))).filter(F.length("text").between(least, most))
     order = ["pos", "id"] if seed is None else ["_draw", "id"]
