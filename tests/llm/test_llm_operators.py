@@ -56,14 +56,27 @@ def test_truncation_on_held_out_cuts():
     assert sum(flags) <= 3 and sum(found) >= 45, (sum(flags), sum(found))
 
 
+def test_model_abstains_on_unfamiliar_ends_and_knows_beginnings():
+    whole = [t for t, bad in documents(1600, seed=3) if not bad and "```" not in t and len(t) > 80 and t.rstrip()[-1:] in ".。!?" and not t.endswith("...")]
+    model = truncation.train([("output", t) for t in whole])
+    for junk in ("t r g j s i x r e k n s t p h q j f h g n r c y x e d q f", "tzbov etflderxwtv rpfhyrizshzva szfqahhopjsd kkb iuq yofi", "Zobra, Kolin, Mersu, Tovrai, Zenpu, Dalba, Surai, Lintov, Pudal, Merzen, Bako, Raizen, Tovdal"):
+        assert not truncation.cut_off(model, junk, truncation.language(junk), "output"), junk
+    far = whole[0] + " The large window" + " of the large window" * 60 + " of the large wind"
+    assert truncation.final_stretch(far)[0].startswith(" The large window of") and truncation.cut_off(model, far, "en", "output")
+
+
 @pytest.mark.parametrize("text, expected", [("a whole text here…", True), ("x\n```\ncode", True), ("x\n```\ncode\n```", False), ("a,b,c\nd,e,f\ng,h,i\nj,k", True), ("name (Bel", True), ("half �", True)])
 def test_marked_ends(text, expected):
     assert truncation.marked(text) is expected
 
 
 # Problem 4 -------------------------------------------------------------------------------------------------------
+def vote(instruction, output, found=(False, None)):
+    return pairs.votes(instruction, output, found, pairs.declining([output or ""])[0])
+
+
 def test_label_model_on_labelled_pairs():
-    rows = [(pairs.votes(i, o, False), d) for i, o, d in pairs.labelled_pairs()]
+    rows = [(vote(i, o), d) for i, o, d in pairs.labelled_pairs()]
     for d in (0, 2, 3, 4):
         counts = {}
         for v, _ in rows:
@@ -74,11 +87,29 @@ def test_label_model_on_labelled_pairs():
         assert len(wrong) <= 1, (pairs.DEFECTS[d], wrong)
 
 
+def test_label_model_of_cuts_keeps_both_witnesses():
+    q = pairs.label_model({"-0-": 9000, "0-0": 1700, "-00": 1700, "+00": 1300, "++0": 300, "0+0": 80, "0--": 20})
+    assert {k for k, x in q.items() if x > 0.5} == {"+00", "++0", "0+0"}
+
+
+def test_votes_look_at_whole_texts():
+    ask = "What does the gardener do when the bridge is closed?"
+    assert vote(ask, "\u200b" * 100)[0] == "+++"
+    assert vote(ask, "-" * 300 + " N/A " + "-" * 300)[0][1] == "+"
+    rule = "-" * 240
+    assert vote(ask, f"{rule}\n{ask}\n{rule}")[3] == "+++"
+
+
+def test_classifier_of_refusals_votes_alone():
+    low, high, other = pairs.declining(["The gardener waits by the river. " * 30, "The gardener waits. " * 30 + "Sorry, I am not able to answer this.", ""])
+    assert high > pairs.SURE > low and other == -1.0
+
+
 def test_refusal_is_found_anywhere():
     ask, long = "What does the gardener do when the bridge is closed?", "the gardener waits by the river until the bridge is open, " * 9
     for late in (f"Since {long}I'm sorry, but I can't help with that.", f"{long.strip(', ')}. I'm sorry, but I can't help with that."):
         assert late.find("sorry") > 400
-        assert pairs.votes(ask, late, False)[2][0] == "+"
+        assert vote(ask, late)[2][0] == "+"
 
 
 def test_language_of_the_whole_text():
@@ -86,7 +117,7 @@ def test_language_of_the_whole_text():
     english = "The gardener waits by the river until the bridge is open, and then he walks home with his dog. " * 11
     german = "Der Gärtner wartet am Fluss, bis die Brücke wieder offen ist, und dann geht er mit dem Hund nach Hause. " * 80
     text = f"{english}{german}{english}{german}{english}"
-    assert truncation.language(text) == "de" and pairs.votes(ask, text, False)[4][0] == "+"
+    assert truncation.language(text) == "de" and vote(ask, text)[4][0] == "+"
     quoted = f"{german[:1040]}{english * 5}{german[:1040]}{english * 5}{german[:1040]}"
     assert truncation.language(quoted) == "en"
 
@@ -94,8 +125,8 @@ def test_language_of_the_whole_text():
 def test_letters_after_a_rule_count():
     ask = "What does the gardener do when the bridge is closed?"
     german = "Der Gärtner wartet am Fluss, bis die Brücke wieder offen ist, und dann geht er mit dem Hund nach Hause."
-    assert pairs.votes(ask, f"{'-' * 90}\n{german}", False)[4][0] == "+"
-    assert pairs.votes(ask, "-" * 90, False)[4][0] == "-"
+    assert vote(ask, f"{'-' * 90}\n{german}")[4][0] == "+"
+    assert vote(ask, "-" * 90)[4][0] == "-"
 
 
 # Problem 5 -------------------------------------------------------------------------------------------------------
