@@ -177,7 +177,7 @@ def semantic_pairs_040(spark, root):
 
 @query()
 def semantic_dedup_040(spark, root):
-    return stages.semantic_dedup(_vectors(spark, root), 0.40)
+    return stages.semantic_kept(_vectors(spark, root), 0.40)
 
 
 def _plane_sql() -> str:
@@ -190,7 +190,7 @@ select b.id, b.bucket, a.anchor, not (b.id <> a.anchor and list_cosine_similarit
 
 @query(_plane_sql())
 def cluster_dedup(spark, root):
-    return stages.cluster_dedup(_vectors(spark, root), threshold=0.3)
+    return stages.cluster_kept(_vectors(spark, root), threshold=0.3)
 
 
 #: Judge scores made from documents: two judges and a third that is missing for every fifth document.

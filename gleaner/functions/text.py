@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,30 +60,63 @@ def tokens(text: Column, unit: str = "char") -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def longest_run_ratio(text: Column, unit: str = "char") -> Column:
-    """Longest run of equal neighbouring tokens over all tokens; 0 without tokens. One pass over the tokens."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+_WORDS = re.compile(r"\w+")  # letters, numbers and underscores of every script, as WORD
+_SPACES = re.compile(r"[\s\x1c-\x1f\x85]+")
 
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(s["last"] == x, s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    share = let(tokens(text, unit), lambda t: F.when(F.size(t) > 0, F.aggregate(t, start, step, lambda s: s["best"] / F.size(t))).otherwise(0.0))
-    return F.when(text.isNotNull(), share)
+def token_codes(text: str, unit: str) -> np.ndarray:
+    """One integer per token, equal for equal tokens."""
+    if unit == "char":
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    return pd.factorize(np.array(_WORDS.findall(text), dtype=object))[0].astype(np.int64)
 
 
-def repeated_word_ratio(text: Column, unit: str = "word") -> Column:
-    """Share of tokens whose type occurs more than once: the tokens left when types that occur once are taken away. The
-    sorted tokens are folded once, so no row is exploded and nothing is shuffled."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("single"))
+def distinct_grams(codes: np.ndarray, n: int) -> int:
+    """How many different runs of n codes there are. Code points fit 21 bits, so three make one integer; longer ones are
+    numbered step by step, which keeps the count exact."""
+    left = codes[: len(codes) - n + 1]
+    for k in range(1, n):
+        if k % 3 == 0 or int(left.max()) >= 1 << 42:
+            left = np.unique(left, return_inverse=True)[1].astype(np.int64)
+        left = (left << 21) | codes[k : k + len(left)]
+    return len(np.unique(left))
+
+
+def measure(text: str | None, n: int = 3, unit: str = "char", word_unit: str = "word") -> tuple[float | None, float | None, float | None]:
+    """Longest run of equal neighbouring tokens over tokens, share of words whose type occurs more than once, distinct
+    n-grams over n-grams. 0, 0 and 1 where there are no tokens; null for null."""
+    if text is None:
+        return None, None, None
+    codes = token_codes(text, unit)
+    run = 0.0
+    if len(codes):
+        ends = np.flatnonzero(np.append(codes[1:] != codes[:-1], True))
+        run = float(np.diff(ends, prepend=-1).max()) / len(codes)
+    words = codes if word_unit == unit else token_codes(text, word_unit)
+    repeated = 0.0
+    if len(words):
+        repeated = 1.0 - float((np.unique(words, return_counts=True)[1] == 1).sum()) / len(words)
+    return run, repeated, distinct_grams(codes, n) / (len(codes) - n + 1) if len(codes) >= n else 1.0
+
+
+def measures(text: Column, n: int = 3, unit: str = "char", word_unit: str = "word") -> Column:
+    """Struct of the three shares of measure(), in Arrow batches over arrays of code points."""
+
+    @F.pandas_udf("struct<run:double,repeated:double,diversity:double>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t if isinstance(t, str) else None, n, unit, word_unit) for t in texts], columns=["run", "repeated", "diversity"], dtype=float)
+
+    return F.when(text.isNotNull(), of(text))
 
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce(s["last"] == x, F.lit(False))
-        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), (s["single"] + F.when(~same & (s["run"] == 1), 1).otherwise(0)).alias("single"))
 
-    rate = lambda t: F.aggregate(t, start, step, lambda s: 1 - (s["single"] + F.when(s["run"] == 1, 1).otherwise(0)) / F.size(t))
-    share = let(F.array_sort(tokens(text, unit)), lambda t: F.when(F.size(t) > 0, rate(t)).otherwise(0.0))
-    return F.when(text.isNotNull(), share)
+def longest_run_ratio(text: Column, unit: str = "char") -> Column:
+    """Longest run of equal neighbouring tokens over all tokens; 0 without tokens."""
+    return measures(text, unit=unit)["run"]
+
+
+def repeated_word_ratio(text: Column, unit: str = "word") -> Column:
+    """Share of tokens whose type occurs more than once; 0 without tokens."""
+    return measures(text, word_unit=unit)["repeated"]
 
 
 def grams(items: Column, n: int) -> Column:
@@ -95,8 +132,7 @@ def grams(items: Column, n: int) -> Column:
 
 def ngram_diversity(text: Column, n: int = 3, unit: str = "char") -> Column:
     """Distinct n-grams over n-grams; 1 for texts shorter than n tokens."""
-    share = let(grams(tokens(text, unit), n), lambda g: F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(1.0))
-    return F.when(text.isNotNull(), share)
+    return measures(text, n, unit)["diversity"]
 
 
 def shingles(text: Column, n: int = 3) -> Column:
@@ -104,6 +140,31 @@ def shingles(text: Column, n: int = 3) -> Column:
     return F.array_distinct(grams(tokens(strip(F.regexp_replace(text, f"{SPACE}+", " "))), n))
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_shingles(texts: list[str | None], n: int, unit: str) -> list[np.ndarray | None]:
+    """Distinct 64-bit hashes of the n-grams of every text, sorted: of words in lower case, or of characters after
+    collapsing white space. The words of all texts are hashed together."""
+    if unit == "word":
+        parts = [_WORDS.findall(t.lower()) if t else [] for t in texts]
+        codes, names = pd.factorize(np.array([w for ws in parts for w in ws], dtype=object))
+        known = pd.util.hash_array(np.asarray(names, dtype=object)) if len(names) else np.zeros(0, np.uint64)
+        flat, sizes = known[codes] if len(codes) else np.zeros(0, np.uint64), [len(ws) for ws in parts]
+    else:
+        arrays = [token_codes(_SPACES.sub(" ", t).strip(), "char").astype(np.uint64) if t else np.zeros(0, np.uint64) for t in texts]
+        flat, sizes = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64), [len(x) for x in arrays]
+    h = np.zeros(max(0, len(flat) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ flat[k : k + len(h)]) * _MIX
+        h ^= h >> np.uint64(29)
+    out, at = [], 0
+    for t, size in zip(texts, sizes):
+        out.append(None if t is None else np.unique(h[at : at + size - n + 1].view(np.int64)) if size >= n else np.zeros(0, np.int64))
+        at += size
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 

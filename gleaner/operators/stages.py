@@ -1,11 +1,19 @@
-"""Governance stages. A stage adds drop_stage, drop_code and drop_value to the rows it rejects; rows rejected before keep
-the first reason and are not looked at again. Nulls count as empty texts."""
+"""Governance stages. A stage adds drop_stage, drop_code, drop_value and drop_by to the rows it rejects; rows rejected before
+keep the first reason and are not looked at again. Nulls count as empty texts.
+
+A stage says what it needs of a row (features) and, if rows meet each other, how the open rows are settled (decide). A
+pipeline computes the features of all its stages in one scan, writes them as a narrow table (id, pos, features, no texts),
+settles stage after stage on that table, and joins the reasons back to the rows once. (id, pos) names a row, a null counting
+as an empty id or place -1; rows that repeat it are the same row and share its verdict. Any other function from rows to rows may stand in a pipeline too; it
+parts the stages before it from those behind it.
+"""
 
 from __future__ import annotations
 
 import math
 import random
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -14,12 +22,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.functions.chunking import bag_vector
 from gleaner.operators.greedy import GROUP, first_wins, resolve_pairs
 from gleaner.operators.model import core_text
 from gleaner.session import cut
 
-Stage = Callable[[DataFrame], DataFrame]
 DROPS = {"drop_stage": "string", "drop_code": "string", "drop_value": "double", "drop_by": "string"}
+MARKS = "id string, pos bigint, code string, value double, by string"
+#: Rows of one key from which the key is hot: they are met by a broadcast. At most rows / HOT keys are.
+HOT = 100_000
+
+
+@dataclass(frozen=True)
+class Stage:
+    """features(df, open): columns, null where open doesn't hold. Without decide they are code and value, row by row.
+    decide(rows, df): marks (id, pos, code, value, by) of the rejected among the open rows (id, pos, features); df are the
+    rows with their texts."""
+
+    name: str
+    features: Callable[[DataFrame, Column], dict[str, Column]]
+    decide: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return _run(df, [self])
 
 
 def opened(df: DataFrame) -> DataFrame:
@@ -27,22 +52,54 @@ def opened(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in DROPS.items() if c not in df.columns})
 
 
-def reject(df: DataFrame, stage: str, code: Column, value: Column | None = None, by: Column | None = None) -> DataFrame:
-    """Fill the reasons of open rows whose code isn't null."""
-    hit = F.col("drop_stage").isNull() & code.isNotNull()
-    fill = lambda new, old: F.when(hit, new).otherwise(F.col(old))
-    return df.withColumns({
-        "drop_stage": fill(F.lit(stage), "drop_stage"), "drop_code": fill(code, "drop_code"),
-        "drop_value": fill(F.lit(None).cast("double") if value is None else value.cast("double"), "drop_value"),
-        "drop_by": fill(F.lit(None).cast("string") if by is None else by.cast("string"), "drop_by"),
-    })
+def _run(df: DataFrame, chain: list[Stage]) -> DataFrame:
+    """The stages of the chain over df, in one scan."""
+    df = opened(df)
+    wide = df.withColumn("_open", F.col("drop_stage").isNull())
+    for k, s in enumerate(chain):
+        wide = wide.withColumns({f"_{k}_{name}": c for name, c in s.features(wide, F.col("_open")).items()})
+        if s.decide is None:
+            wide = wide.withColumn("_open", F.col("_open") & F.col(f"_{k}_code").isNull())
+    none = F.lit(None)
+    if all(s.decide is None for s in chain):
+        reasons = [(s.name, F.col(f"_{k}_code"), F.col(f"_{k}_value").cast("double"), none.cast("string")) for k, s in enumerate(chain)]
+        return _filled(wide, reasons).select(*df.columns)
+    row = {"id": F.coalesce("id", F.lit("")), "pos": F.coalesce("pos", F.lit(-1).cast("bigint"))}
+    narrow = cut(wide.select(row["id"].alias("id"), row["pos"].alias("pos"), F.col("drop_stage").isNotNull().alias("_was"), *[c for c in wide.columns if c[:1] == "_" and c != "_open"]))
+    alive, dropped = narrow.filter("not _was"), []
+    for k, s in enumerate(chain):
+        if s.decide is None:
+            code = F.col(f"_{k}_code")
+            dropped.append(alive.filter(code.isNotNull()).select("id", "pos", F.lit(s.name).alias("stage"), code.alias("code"), F.col(f"_{k}_value").cast("double").alias("value"), none.cast("string").alias("by")))
+            alive = alive.filter(code.isNull())
+            continue
+        mine = {c: c[len(f"_{k}_") :] for c in narrow.columns if c.startswith(f"_{k}_")}
+        marks = cut(s.decide(alive.select("id", "pos", *[F.col(c).alias(name) for c, name in mine.items()]), df.withColumns(row)))
+        dropped.append(marks.select("id", "pos", F.lit(s.name).alias("stage"), "code", F.col("value").cast("double").alias("value"), F.col("by").cast("string").alias("by")))
+        if k + 1 < len(chain):
+            alive = alive.join(marks.select("id", "pos"), ["id", "pos"], "left_anti")
+    gone = reduce(DataFrame.unionByName, dropped).groupBy("id", "pos").agg(F.first(F.struct("stage", "code", "value", "by")).alias("_gone"))
+    gone = gone.withColumnsRenamed({"id": "_id", "pos": "_pos"})
+    out = df.join(gone, (row["id"] == F.col("_id")) & (row["pos"] == F.col("_pos")), "left")
+    fill = lambda new, old: F.coalesce(F.col(old), F.col(f"_gone.{new}"))
+    return out.withColumns({"drop_stage": fill("stage", "drop_stage"), "drop_code": fill("code", "drop_code"), "drop_value": fill("value", "drop_value"), "drop_by": fill("by", "drop_by")}).select(*df.columns)
+
+
+def _filled(df: DataFrame, reasons: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+    """Fill the reason columns of open rows with the first reason whose code isn't null."""
+    none = F.col("drop_stage").isNull()
+    pick = lambda i, old: F.when(none, F.coalesce(*[F.when(r[1].isNotNull(), r[i] if i else F.lit(r[0])) for r in reasons])).otherwise(F.col(old))
+    return df.withColumns({"drop_stage": pick(0, "drop_stage"), "drop_code": pick(1, "drop_code"), "drop_value": pick(2, "drop_value"), "drop_by": pick(3, "drop_by")})
+
+
+def _open_text(df: DataFrame, open_: Column) -> Column:
+    return F.when(open_, core_text(df))
 
 
 def length_gate(instruction: tuple[int, int] = (5, 4000), output: tuple[int, int] = (10, 8000)) -> Stage:
     """Inclusive bounds in code points. Of messages: the first user or human content, and all contents together."""
 
-    def run(df: DataFrame) -> DataFrame:
-        df = opened(df)
+    def features(df: DataFrame, open_: Column) -> dict[str, Column]:
         has = F.coalesce(F.size("messages"), F.lit(0)) > 0
         asked = F.filter("messages", lambda m: m["role"].isin("user", "human"))
         first = F.coalesce(F.length(F.try_element_at(asked, F.lit(1))["content"]), F.lit(0))
@@ -50,53 +107,58 @@ def length_gate(instruction: tuple[int, int] = (5, 4000), output: tuple[int, int
         size = lambda c: F.coalesce(F.length(c), F.lit(0))
         i, o = F.when(has, first).otherwise(size("instruction")), F.when(has, whole).otherwise(size("output"))
         code = F.when(~i.between(*instruction), F.lit("instruction_len")).when(~o.between(*output), F.lit("output_len"))
-        return reject(df, "length", code, F.when(~i.between(*instruction), i).otherwise(o))
+        return {"code": F.when(open_, code), "value": F.when(~i.between(*instruction), i).otherwise(o)}
 
-    return run
+    return Stage("length", features)
 
 
-def exact_dedup(history: DataFrame | None = None) -> Stage:
-    """Keep the earliest open row of each fingerprint; history (hash) holds fingerprints of earlier runs.
+def copies(rows: DataFrame, key: str, seen: DataFrame | None = None) -> DataFrame:
+    """rows (id, pos, key) whose key stands in several of them (or in seen), with lead (pos, id): the earliest of them, and
+    old: whether seen has the key.
 
-    Copies are found by joining the first position of each fingerprint, which is pre-aggregated before the shuffle, and
-    not by sorting each fingerprint's rows in one task: a text that fills a third of the table stays spread."""
+    Keys are counted before they are shuffled. Rows of a hot key, which may be a third of the table, meet their lead by a
+    broadcast of the hot keys, at most one for every HOT rows; only the others are shuffled by key."""
+    groups = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("pos", "id")).alias("lead"), F.count("*").alias("n"))
+    if seen is not None:
+        groups = groups.join(seen.select(F.col(seen.columns[0]).alias(key)).distinct().withColumn("old", F.lit(True)), key, "left")
+    else:
+        groups = groups.withColumn("old", F.lit(None).cast("boolean"))
+    groups = cut(groups.filter((F.col("n") > 1) | F.col("old")))
+    hot = groups.filter(F.col("n") > HOT).drop("n")
+    few = groups.filter(F.col("n") <= HOT).drop("n")
+    if hot.isEmpty():
+        return rows.join(few, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(few, key))
 
-    def run(df: DataFrame) -> DataFrame:
-        df = opened(df)
-        df = df.withColumn("_fp", F.when(F.col("drop_stage").isNull(), T.fingerprint(core_text(df))))
-        first = df.filter("_fp is not null").groupBy("_fp").agg(F.min(F.struct("pos", "id")).alias("_first"))
-        df = df.join(first, "_fp", "left")
-        code = F.when(F.struct("pos", "id") != F.col("_first"), F.lit("duplicate"))
-        if history is not None:
-            seen = history.select(F.col("hash").alias("_fp")).distinct().withColumn("_seen", F.lit(True))
-            df = df.join(seen, "_fp", "left")
-            code = F.coalesce(code, F.when(F.col("_seen"), F.lit("duplicate(resume)")))
-        return reject(df, "exact_dedup", code, by=F.col("_first")["id"]).drop("_fp", "_first", "_seen")
 
-    return run
+def exact_dedup(history: DataFrame | None = None) -> Stage:
+    """Keep the earliest open row of each fingerprint; history (hash) holds fingerprints of earlier runs, whose rows all
+    are duplicates (duplicate for the later ones of this run, duplicate(resume) for the first)."""
+
+    def decide(rows: DataFrame, _: DataFrame) -> DataFrame:
+        met = copies(rows, "fp", history)
+        later = F.struct("pos", "id") != F.col("lead")
+        code = F.when(later, "duplicate").when(F.col("old"), "duplicate(resume)")
+        return met.select("id", "pos", code.alias("code"), F.lit(None).alias("value"), F.col("lead.id").alias("by")).filter("code is not null")
+
+    return Stage("exact_dedup", lambda df, open_: {"fp": T.fingerprint(_open_text(df, open_))}, decide)
 
 
 def text_statistics(text: Column, n: int = 3, unit: str = "char") -> dict[str, Column]:
-    return {
-        "special_char_ratio": T.special_char_ratio(text), "char_repetition": T.longest_run_ratio(text, unit),
-        "word_repetition": T.repeated_word_ratio(text), "ngram_diversity": T.ngram_diversity(text, n, unit),
-    }
+    found = T.measures(text, n, unit)
+    return {"special_char_ratio": T.special_char_ratio(text), "char_repetition": found["run"], "word_repetition": found["repeated"], "ngram_diversity": found["diversity"]}
 
 
 def stats_gate(max_special: float = 0.3, max_char: float = 0.5, max_word: float = 0.5, min_diversity: float = 0.2, n: int = 3, unit: str = "char") -> Stage:
     """Gates in this order; the first that fails names the reason, its value rounded to 4 decimals."""
 
-    def run(df: DataFrame) -> DataFrame:
-        df = opened(df)
-        gates = [("special_char_ratio", max_special, 1), ("char_repetition", max_char, 1), ("word_repetition", max_word, 1), ("ngram_diversity", min_diversity, -1)]
-        found = text_statistics(F.col("_text"), n, unit)
-        df = df.withColumn("_text", F.when(F.col("drop_stage").isNull(), core_text(df))).withColumns({f"_{k}": v for k, v in found.items()})
-        fails = [(k, F.col(f"_{k}") > limit if side > 0 else F.col(f"_{k}") < limit) for k, limit, side in gates]
-        code = F.coalesce(*[F.when(bad, F.lit(k)) for k, bad in fails])
-        value = F.coalesce(*[F.when(bad, F.round(F.col(f"_{k}"), 4)) for k, bad in fails])
-        return reject(df, "stats", code, value).drop("_text", *[f"_{k}" for k in found])
+    def features(df: DataFrame, open_: Column) -> dict[str, Column]:
+        gates = {"special_char_ratio": (max_special, 1), "char_repetition": (max_char, 1), "word_repetition": (max_word, 1), "ngram_diversity": (min_diversity, -1)}
+        found = text_statistics(_open_text(df, open_), n, unit)
+        fails = {k: (found[k] > limit) if side > 0 else (found[k] < limit) for k, (limit, side) in gates.items()}
+        return {"code": F.coalesce(*[F.when(bad, F.lit(k)) for k, bad in fails.items()]), "value": F.coalesce(*[F.when(bad, F.round(found[k], 4)) for k, bad in fails.items()])}
 
-    return run
+    return Stage("stats", features)
 
 
 def band_shape(threshold: float, permutations: int) -> tuple[int, int]:
@@ -108,57 +170,82 @@ def band_shape(threshold: float, permutations: int) -> tuple[int, int]:
     return min(shapes, key=lambda s: (round(cost(*s), 9), s))
 
 
-def minhash_signature(hashes: Column, permutations: int = 128) -> Column:
-    """Signature of an array of 64-bit shingle hashes: one multiply-shift minimum per permutation, in Arrow batches.
-    An empty array has the signature of largest values, so all texts without shingles are alike."""
+def minhash_signatures(hashes: list[np.ndarray | None], permutations: int = 128) -> list[np.ndarray | None]:
+    """Signatures of arrays of 64-bit shingle hashes: one multiply-shift minimum per permutation. An empty array has the
+    signature of largest values, so all texts without shingles are alike."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+    out = []
+    for x in hashes:
+        if x is None:
+            out.append(None)
+            continue
+        least = np.full(permutations, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for i in range(0, len(x), 2048):
+            least = np.minimum(least, (x[i : i + 2048].view(np.uint64)[:, None] * a + b).min(0))
+        out.append((least >> np.uint64(32)).astype(np.int64))
+    return out
+
+
+def signature(text: Column, permutations: int = 128, n: int = 3, unit: str = "char") -> Column:
+    """MinHash signature of a text's shingles; null for null."""
 
     @F.pandas_udf("array<bigint>")
-    def sign(arrays: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(1)
-        a, b = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
-        out = []
-        for x in arrays:
-            if x is None:
-                out.append(None)
-            elif not len(x):
-                out.append(np.full(permutations, (1 << 32) - 1, dtype=np.int64))
-            else:
-                least = np.full(permutations, np.iinfo(np.uint64).max, dtype=np.uint64)
-                for i in range(0, len(x), 2048):
-                    h = np.asarray(x[i : i + 2048], dtype=np.int64).view(np.uint64)
-                    least = np.minimum(least, (h[:, None] * a + b).min(0))
-                out.append((least >> np.uint64(32)).astype(np.int64))
-        return pd.Series(out)
+    def sign(texts: pd.Series) -> pd.Series:
+        return pd.Series(minhash_signatures(T.hash_shingles([t if isinstance(t, str) else None for t in texts], n, unit), permutations), dtype=object)
+
+    return sign(text)
 
-    return sign(hashes)
+
+def band_keys(sig: Column, threshold: float, permutations: int) -> Column:
+    bands, rows = band_shape(threshold, permutations)
+    return F.array(*[F.xxhash64(F.lit(b), F.slice(sig, b * rows + 1, rows)) for b in range(bands)])
 
 
 #: Cells of the counts by which shingles are ordered; a power of two. The order changes the work, never the result.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Sets up to which those that meet others are picked without a shuffle of all.
 BROADCAST = 500_000
 
 
-def rare_first(live: DataFrame, threshold: float) -> Column:
-    """Of the shingle hashes _h of live: the rarest first, as many as two sets at least threshold alike must share two of.
+def shingle_counts(texts: DataFrame, n: int, unit: str) -> np.ndarray:
+    """How many texts (one string column) have a shingle in each of CELLS cells. Every task sends one row per cell at most."""
 
-    Of n shingles a partner shares o = ceil(threshold * n) or more, so the first shared one, in any order that all sets
-    follow, is among the first n - o + 1, and the second among the first n - o + 2. Rarity is counted in CELLS cells."""
-    cells = live.select(F.explode("_h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("cell")).count().toArrow()
+    def count(batches):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for pdf in batches:
+            sets = [x for x in T.hash_shingles([t if isinstance(t, str) else None for t in pdf.iloc[:, 0]], n, unit) if x is not None]
+            if sets:
+                total += np.bincount(np.concatenate(sets) & (CELLS - 1), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at.astype(np.int32), "texts": total[at]})
+
+    got = texts.mapInPandas(count, "cell int, texts bigint").groupBy("cell").agg(F.sum("texts").alias("texts")).toArrow()
     counts = np.zeros(CELLS, dtype=np.int64)
-    counts[cells["cell"].to_numpy()] = cells["count"].to_numpy()
-    shared = live.sparkSession.sparkContext.broadcast(counts)
+    counts[got["cell"].to_numpy()] = got["texts"].to_numpy()
+    return counts
 
-    @F.pandas_udf("array<bigint>")
-    def first(arrays: pd.Series) -> pd.Series:
+
+def rare_first(text: Column, counts, threshold: float, n: int, unit: str) -> Column:
+    """Struct of a text's shingle set: n its size, set its hash, pre the rarest shingles, as many as two sets at least
+    threshold alike must share two of. counts is a broadcast of shingle_counts.
+
+    Of n shingles a partner shares o = ceil(threshold * n) or more, so the first shared one, in any order that all sets
+    follow, is among the first n - o + 1, and the second among the first n - o + 2."""
+
+    @F.pandas_udf("struct<n:int,set:bigint,pre:array<bigint>>")
+    def first(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for x in arrays:
-            h = np.asarray(x, dtype=np.int64)
-            order = np.lexsort((h, shared.value[h & (CELLS - 1)]))
-            out.append(h[order[: len(h) - needed_overlap(len(h), threshold) + 2]])
-        return pd.Series(out, dtype=object)
+        for x in T.hash_shingles([t if isinstance(t, str) else None for t in texts], n, unit):
+            if x is None:
+                out.append((None, None, None))
+                continue
+            order = np.lexsort((x, counts.value[x & (CELLS - 1)]))
+            whole = np.bitwise_xor.reduce((x.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xFF51AFD7ED558CCD)) if len(x) else np.uint64(0)
+            out.append((len(x), int(whole.astype(np.int64)), x[order[: len(x) - needed_overlap(len(x), threshold) + 2]]))
+        return pd.DataFrame(out, columns=["n", "set", "pre"]).astype({"n": "Int32", "set": "Int64"})
 
-    return first("_h")
+    return F.when(text.isNotNull(), first(text))
 
 
 def needed_overlap(n: int, threshold: float) -> int:
@@ -191,40 +278,63 @@ def exact_keys(sets: DataFrame, threshold: float, group: int = GROUP) -> DataFra
     return plain.unionByName(split).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
-def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, unit: str = "word", verify: bool = True) -> Stage:
+def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, unit: str = "word", verify: bool = True, history: DataFrame | None = None) -> Stage:
     """Near-duplicates, earliest first. verify finds every pair of shingle sets at least threshold alike: candidates share
     a rare shingle (exact_keys) and the sets themselves are compared. Without it any shared band of the MinHash signature
-    drops. Rows of equal text are one row here, so copies are not paired. Texts without shingles share the empty set and
-    are alike."""
-
-    def run(df: DataFrame) -> DataFrame:
-        df = opened(df)
-        text = F.lower(core_text(df)) if unit == "word" else core_text(df)
-        shingles = T.shingles(text, n) if unit == "char" else F.array_distinct(T.grams(T.tokens(text, "word"), n))
-        live = df.filter("drop_stage is null").withColumn("_h", F.array_distinct(F.transform(shingles, lambda g: F.xxhash64(g)))).select("id", "pos", "_h")
-        live = cut(live.withColumn("_set", F.xxhash64(F.array_sort("_h"))))
-        lead = live.groupBy("_set").agg(F.min(F.struct("pos", "id")).alias("at")).withColumn("lead", F.col("at.id"))
+    drops, also one of history (sample_id, sig), the signatures stored by earlier runs, of which those of another length
+    take no part. Rows of equal sets are one row here, so copies are not paired. Texts without shingles share the empty
+    set and are alike."""
+    if history is not None and verify:
+        raise ValueError("stored signatures are compared by bands, so they need verify=False")
+
+    def features(df: DataFrame, open_: Column) -> dict[str, Column]:
+        text = _open_text(df, open_)
         if verify:
-            sets = live.select("id", "_set", F.size("_h").alias("n"), rare_first(live, threshold).alias("pre"))
-            keys = exact_keys(cut(sets.join(lead.select("_set", F.col("lead").alias("id")), ["_set", "id"])), threshold)
-            what, alike = F.col("_h"), lambda x, y: _jaccard(x, y) >= threshold
+            counts = shingle_counts(df.select(F.when(F.col("drop_stage").isNull(), core_text(df)).alias("text")), n, unit)
+            found = rare_first(text, df.sparkSession.sparkContext.broadcast(counts), threshold, n, unit)
+            return {"n": found["n"], "set": found["set"], "pre": found["pre"]}
+        sig = signature(text, permutations, n, unit)
+        return {"set": F.when(sig.isNotNull(), F.xxhash64(sig)), "keys": F.when(sig.isNotNull(), band_keys(sig, threshold, permutations))}
+
+    def decide(rows: DataFrame, df: DataFrame) -> DataFrame:
+        again = cut(copies(rows.select("id", "pos", "set"), "set").filter(F.struct("pos", "id") != F.col("lead")).select("id", "pos", F.col("lead.id").alias("lead")))
+        lead = cut(rows.join(again.select("id", "pos"), ["id", "pos"], "left_anti"))
+        stored = None
+        if verify:
+            keys = cut(exact_keys(lead.select("id", "n", "pre"), threshold))
+            # Sets that meet no other one are kept and need no verdict; only the others are made once more.
+            ids = keys.select("id")
+            few = df.select("id", core_text(df).alias("text")).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
+            meeting = few.withColumn("what", shingle_sets(F.col("text"), n, unit)).join(keys, "id").join(lead.select("id", "pos"), "id").select("id", F.struct("pos", "id").alias("at"), "keys", "what")
+            alike = lambda x, y: _jaccard(x, y) >= threshold
         else:
-            bands, rows = band_shape(threshold, permutations)
-            signed = live.join(lead.select(F.col("lead").alias("id")), "id", "left_semi").withColumn("sig", minhash_signature(F.col("_h"), permutations))
-            keys = signed.select("id", F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)]).alias("keys"))
-            what, alike = F.lit(None).cast("array<bigint>"), lambda x, y: F.lit(True)
-        # Sets that meet no other one are kept and need no verdict.
-        keys = cut(keys)
-        ids = keys.select("id")
-        few = live.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
-        meeting = few.join(keys, "id").select("id", F.struct("pos", "id").alias("at"), "keys", what.alias("what"))
+            if history is not None:
+                old = history.filter(F.size("sig") == permutations).select("sample_id", F.explode(band_keys(F.col("sig"), threshold, permutations)).alias("key"))
+                met = lead.select("id", F.explode("keys").alias("key")).join(old.groupBy("key").agg(F.min("sample_id").alias("by")), "key")
+                stored = cut(met.groupBy("id").agg(F.min("by").alias("by")))
+                lead = lead.join(stored.select("id"), "id", "left_anti")
+            meeting = lead.select("id", F.struct("pos", "id").alias("at"), "keys", F.lit(None).cast("array<bigint>").alias("what"))
+            alike = lambda x, y: F.lit(True)
         verdict = first_wins(meeting, alike).filter("not kept").select(F.col("id").alias("lead"), "by")
-        marks = live.select("id", "_set").join(lead.select("_set", "lead"), "_set").join(verdict, "lead", "left")
-        by = F.coalesce("by", F.when(F.col("id") != F.col("lead"), F.col("lead")))
-        marks = marks.select("id", by.alias("_by")).filter("_by is not null")
-        return reject(df.join(marks, "id", "left"), "minhash_dedup", F.when(F.col("_by").isNotNull(), F.lit("near_dup")), by=F.col("_by")).drop("_by")
+        if stored is not None:
+            verdict = verdict.unionByName(stored.withColumnRenamed("id", "lead"))
+        verdict = cut(verdict)
+        # A copy goes to where the first of its kind went, or to that one. Few sets are dropped, so they are met first.
+        far = again.join(verdict, "lead", "left").select("id", "pos", F.coalesce("by", "lead").alias("by"))
+        near = rows.select("id", "pos").join(verdict.withColumnRenamed("lead", "id"), "id").join(again.select("id", "pos"), ["id", "pos"], "left_anti").select("id", "pos", "by")
+        return far.unionByName(near).select("id", "pos", F.lit("near_dup").alias("code"), F.lit(None).alias("value"), "by")
 
-    return run
+    return Stage("minhash_dedup", features, decide)
+
+
+def shingle_sets(text: Column, n: int, unit: str) -> Column:
+    """Distinct hashes of the shingles of a text, sorted."""
+
+    @F.pandas_udf("array<bigint>")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series(T.hash_shingles([t if isinstance(t, str) else None for t in texts], n, unit), dtype=object)
+
+    return made(text)
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -262,12 +372,55 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> Dat
     return spread.groupBy("i", "j").applyInPandas(multiply, f"id {kinds['id']}, other {kinds['id']}, cosine double")
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """vectors (id, at, vec) to (id, kept): dropped if a kept earlier vector is at least threshold alike. Null vectors
-    are kept."""
+Vectors = Callable[[DataFrame], DataFrame]
+
+
+def stand_in_vectors(texts: DataFrame) -> DataFrame:
+    """texts (h, text) to (h, vec) by the deterministic stand-in for an embedding model."""
+
+    @F.pandas_udf("array<double>")
+    def embed(t: pd.Series) -> pd.Series:
+        return pd.Series([bag_vector(x) for x in t], dtype=object)
+
+    return texts.select("h", embed("text").alias("vec"))
+
+
+def _embedded(rows: DataFrame, df: DataFrame, vectors: Vectors) -> DataFrame:
+    """rows (id, pos, h) as (id: of row, at: total order, vec); a text that several rows share is embedded once."""
+    source = df.select(T.fingerprint(core_text(df)).alias("h"), core_text(df).alias("text"))
+    wanted = source.join(rows.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    made = cut(vectors(wanted))
+    at = F.concat(F.lpad((F.col("pos") + F.lit(1 << 62)).cast("string"), 20, "0"), F.lit("|"), "id")
+    return cut(rows.join(made, "h").select("id", "pos", at.alias("at"), "vec"))
+
+
+def _by_text(df: DataFrame, open_: Column) -> dict[str, Column]:
+    return {"h": T.fingerprint(_open_text(df, open_))}
+
+
+def semantic_kept(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """vectors (id, at, vec) to (id, kept, by): dropped if a kept earlier vector is at least threshold alike, by the first
+    such. Null vectors are kept."""
     usable = cut(vectors.filter("vec is not null"))
-    verdict = resolve_pairs(usable, cosine_pairs(usable, threshold))
-    return vectors.select("id").join(verdict, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    pairs = cut(cosine_pairs(usable, threshold))
+    verdict = cut(resolve_pairs(usable, pairs))
+    kept = verdict.filter("kept").select(F.col("id").alias("other")).join(usable.select(F.col("id").alias("other"), "at"), "other")
+    by = pairs.join(kept, "other").groupBy("id").agg(F.min_by("other", "at").alias("by"))
+    out = vectors.select("id").join(verdict, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(True))).join(by, "id", "left")
+    return out.select("id", "kept", F.when(~F.col("kept"), F.col("by")).alias("by"))
+
+
+def semantic_dedup(threshold: float = 0.85, vectors: Vectors = stand_in_vectors) -> Stage:
+    """Drop a row whose text's vector is at least threshold alike to that of a kept earlier row. Exact, in blocks."""
+
+    def decide(rows: DataFrame, df: DataFrame) -> DataFrame:
+        embedded = _embedded(rows, df, vectors)
+        named = embedded.select(F.col("at").alias("id"), "at", "vec")  # at names the row, whatever repeats its id
+        by = F.expr("substring(by, instr(by, '|') + 1)")
+        gone = semantic_kept(named, threshold).filter("not kept").select(F.col("id").alias("at"), by.alias("by"))
+        return embedded.join(gone, "at").select("id", "pos", F.lit("cosine_dup").alias("code"), F.lit(None).alias("value"), "by")
+
+    return Stage("semantic_dedup", _by_text, decide)
 
 
 def hyperplanes(dimensions: int, planes: int = 8, seed: int = 0) -> list[list[float]]:
@@ -281,30 +434,59 @@ def sign_bucket(vec: Column, planes: list[list[float]]) -> Column:
     return F.concat(*bits)
 
 
-def cluster_dedup(vectors: DataFrame, threshold: float = 0.9, planes: int = 8) -> DataFrame:
+#: Hyperplanes at most, so that there are at most 2 ** PLANES anchors to broadcast.
+PLANES = 12
+
+
+def cluster_kept(vectors: DataFrame, threshold: float = 0.9, planes: int = 8) -> DataFrame:
     """vectors (id, at, vec) to (id, bucket, anchor, kept): in each sign bucket the earliest vector is the anchor, and
-    others at least threshold alike to it are dropped. Anchors are pre-aggregated, so a hot bucket stays spread; the
-    number of anchors is at most 2 ** planes."""
+    others at least threshold alike to it are dropped. Anchors are pre-aggregated, so a hot bucket stays spread; there
+    are at most 2 ** planes, which is broadcast up to PLANES planes and shuffled beyond."""
     first = vectors.filter("vec is not null").select(F.size("vec").alias("n")).limit(1).first()
     normals = hyperplanes(first.n if first else 1, planes)
     rows = vectors.select("id", "at", F.transform("vec", lambda x: x.cast("double")).alias("vec")).withColumn("bucket", sign_bucket(F.col("vec"), normals))
     anchors = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "at", "vec"), "at").alias("a")).select("bucket", F.col("a.id").alias("anchor"), F.col("a.vec").alias("anchor_vec"))
-    joined = rows.join(F.broadcast(anchors), "bucket", "left")
+    joined = rows.join(F.broadcast(anchors) if len(normals) <= PLANES else anchors, "bucket", "left")
     alike = (F.col("id") != F.col("anchor")) & (T.cosine(F.col("vec"), F.col("anchor_vec")) >= threshold)
     return joined.select("id", "bucket", "anchor", (~F.coalesce(alike, F.lit(False))).alias("kept"))
 
 
-REGISTRY: dict[str, Callable[..., Stage]] = {"length": length_gate, "exact_dedup": exact_dedup, "stats": stats_gate, "minhash_dedup": minhash_dedup}
+def cluster_dedup(threshold: float = 0.9, planes: int = 8, vectors: Vectors = stand_in_vectors) -> Stage:
+    """Drop rows whose text's vector is at least threshold alike to the earliest of their sign bucket."""
+
+    def decide(rows: DataFrame, df: DataFrame) -> DataFrame:
+        embedded = _embedded(rows, df, vectors)
+        gone = cluster_kept(embedded.select(F.col("at").alias("id"), "at", "vec"), threshold, planes).filter("not kept")
+        gone = gone.select(F.col("id").alias("at"), F.expr("substring(anchor, instr(anchor, '|') + 1)").alias("by"))
+        return embedded.join(gone, "at").select("id", "pos", F.lit("crowded_cluster").alias("code"), F.lit(None).alias("value"), "by")
 
+    return Stage("cluster_dedup", _by_text, decide)
 
-def register(name: str, stage: Callable[..., Stage]) -> None:
+
+REGISTRY: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {"length": length_gate, "exact_dedup": exact_dedup, "stats": stats_gate, "minhash_dedup": minhash_dedup, "semantic_dedup": semantic_dedup, "cluster_dedup": cluster_dedup}
+
+
+def register(name: str, stage: Callable[..., Callable[[DataFrame], DataFrame]]) -> None:
     """Add a stage of one's own; built-in names stay."""
     REGISTRY.setdefault(name, stage)
 
 
-def pipeline(*stages: Stage) -> Stage:
-    """The stages in their order."""
-    return lambda df: reduce(lambda d, s: s(d), stages, opened(df))
+def pipeline(*stages: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The stages in their order; neighbouring Stages share one scan."""
+
+    def run(df: DataFrame) -> DataFrame:
+        df, chain = opened(df), []
+        for s in (*stages, None):
+            if isinstance(s, Stage):
+                chain.append(s)
+                continue
+            if chain:
+                df, chain = _run(df, chain), []
+            if s is not None:
+                df = s(df)
+        return df
+
+    return run
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -313,4 +495,4 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.filter("drop_stage is null").drop(*DROPS), done.filter("drop_stage is not null")
 
 
-__all__ = ["REGISTRY", "Stage", "cluster_dedup", "cosine_pairs", "exact_dedup", "length_gate", "minhash_dedup", "pipeline", "register", "semantic_dedup", "split", "stats_gate"]
+__all__ = ["REGISTRY", "Stage", "cluster_dedup", "cluster_kept", "cosine_pairs", "exact_dedup", "length_gate", "minhash_dedup", "pipeline", "register", "semantic_dedup", "semantic_kept", "split", "stats_gate"]

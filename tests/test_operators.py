@@ -85,8 +85,8 @@ def test_minhash_dedup_equals_brute_force(spark, common):
 def test_semantic_and_cluster_dedup(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.99, 0.01]), (2, [0.0, 1.0]), (3, None)]
     df = spark.createDataFrame([(i, i, v) for i, v in rows], "id long, at long, vec array<double>")
-    assert {r.id for r in stages.semantic_dedup(df, 0.9).filter("kept").collect()} == {0, 2, 3}
-    assert {r.id for r in stages.cluster_dedup(df, 0.9).filter("kept").collect()} >= {0, 2, 3}
+    assert {r.id for r in stages.semantic_kept(df, 0.9).filter("kept").collect()} == {0, 2, 3}
+    assert {r.id for r in stages.cluster_kept(df, 0.9).filter("kept").collect()} >= {0, 2, 3}
 
 
 def test_band_shape():
