@@ -415,9 +415,7 @@ def generated_samples(spark, root):
     """All documents through a backtranslation plan, the stand-in model and the sample filters."""
     specs = planners.backtranslation_plan(_docs(spark, root), None)
     done = generate.execute(specs, generate.prompt_for("instruction_backtranslation"))
-    from gleaner.session import cut
-
-    return generate.collect_samples(cut(done), "instruction_backtranslation").select("id", "instruction", "drop_code")
+    return generate.collect_samples(done, "instruction_backtranslation").select("id", "instruction", "drop_code")
 
 
 @query()

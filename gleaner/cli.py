@@ -1,82 +1,95 @@
-"""Command line: validate a configuration, plan a run, clean a file. Exit codes: 0 done, 2 bad configuration or plan,
-3 a breaker opened, 4 incompatible state."""
+"""Command line: run, clean and score by a configuration, validate it, or show how a run's budget is split. Exit codes:
+0 done, 2 bad configuration, plan or state, 3 a breaker opened, 4 missing input."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from gleaner import config
-from gleaner.operators import render, report, stages
+from gleaner import config, flow
+from gleaner.operators import embedding
 from gleaner.operators.state import IncompatibleState
 from gleaner.plans.generate import BreakerOpen
 from gleaner.plans.planners import PlanError, allocate, preview
-from gleaner.sources.readers import FORMATS, read_json_rows, to_samples
+from gleaner.sources.readers import FORMATS
+
+#: Where a configuration is looked for if none is named.
+PLACES = ("gleaner.yaml", "gleaner.yml", "gleaner.json")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gleaner")
-    p.add_argument("-c", "--config", required=True)
+    p.add_argument("-c", "--config")
+    p.add_argument("--stand-in", action="store_true", help="deterministic stand-ins for the models instead of endpoints")
     commands = p.add_subparsers(dest="command", required=True)
     v = commands.add_parser("validate", help="check the configuration")
     v.add_argument("--for", dest="target", default="run", choices=("run", "clean", "score"))
-    r = commands.add_parser("plan", help="show how a run's budget is split")
-    r.add_argument("--count", type=int)
-    r.add_argument("--strategy", action="append")
-    r.add_argument("--preview", action="store_true")
-    c = commands.add_parser("clean", help="run the stages over a file")
-    c.add_argument("input")
-    c.add_argument("-o", "--output")
-    c.add_argument("--format", default="flat", choices=FORMATS)
+    for name, what in (("plan", "show how a run's budget is split"), ("run", "plan, generate, clean, judge and write")):
+        r = commands.add_parser(name, help=what)
+        r.add_argument("--count", type=int)
+        r.add_argument("--strategy", action="append")
+        r.add_argument("--preview", action="store_true")
+        if name == "run":
+            r.add_argument("--resume", action="store_true")
+            r.add_argument("--discard-state", action="store_true")
+    for name, what in (("clean", "run the stages over a file"), ("score", "judge the samples of a file")):
+        c = commands.add_parser(name, help=what)
+        c.add_argument("input")
+        c.add_argument("-o", "--output")
+        c.add_argument("--input-format", default="flat", choices=FORMATS)
+        c.add_argument("--field-map", type=json.loads, help="JSON object of foreign to own names of fields")
     return p
 
 
-def build(cfg: dict) -> stages.Stage:
-    """The configured stages in order."""
-    made = []
-    for s in cfg["stages"]:
-        options = {k: tuple(v) if isinstance(v, list) else v for k, v in s.items() if k != "type"}
-        made.append(stages.REGISTRY[s["type"]](**options))
-    return stages.pipeline(*made)
-
-
-def clean(spark: SparkSession, cfg: dict, path: str, output: str, fmt: str = "flat") -> DataFrame:
-    """Run the stages over a file, write what is kept, return the waterfall."""
-    kept, dropped = stages.split(build(cfg)(to_samples(read_json_rows(spark, path), fmt)))
-    shape = render.derive_format([s["type"] for s in cfg["strategies"]], cfg["output"]["format"])
-    render.write_jsonl(render.render(kept, shape, cfg["output"]["thinking"]), output, "overwrite")
-    return report.waterfall(dropped.unionByName(stages.opened(kept)))
+def _flow(args: argparse.Namespace, cfg: dict, spark: SparkSession) -> flow.Report:
+    doubles = args.stand_in
+    chats = flow.double_chats if doubles else flow.http_chats
+    embed = (lambda: embedding.double_embed()) if doubles else None
+    if args.command == "run":
+        return flow.run(spark, cfg, args.count, args.strategy, args.preview, args.resume, args.discard_state, chats, embed)
+    if args.command == "clean":
+        return flow.clean(spark, cfg, args.input, args.output, args.input_format, args.field_map, embed)
+    return flow.score(spark, cfg, args.input, args.output, args.input_format, args.field_map, chats)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
     try:
-        cfg = config.load(args.config)
-        target = {"validate": getattr(args, "target", "run"), "plan": "run", "clean": "clean"}[args.command]
-        issues = config.check(cfg, target, getattr(args, "count", None))
+        args = parser().parse_args(argv)
+    except SystemExit as stop:
+        return int(stop.code or 0)
+    path = args.config or next((p for p in PLACES if os.path.exists(p)), None)
+    try:
+        if path is None:
+            raise config.ConfigError(f"no configuration: name one with -c or place {PLACES[0]} here")
+        cfg = config.load(path)
+        if getattr(args, "output", None):
+            cfg["output"]["path"] = args.output
+        target = {"validate": getattr(args, "target", "run"), "plan": "run"}.get(args.command, args.command)
+        issues = config.check(cfg, target, getattr(args, "count", None), getattr(args, "input", None))
         for i in issues:
             print(f"{i.level}: {i.message}", file=sys.stderr)
-        if any(i.level == "error" for i in issues):
-            return 2
+        errors = [i.message for i in issues if i.level == "error"]
+        if errors:
+            return 4 if any("does not exist" in e for e in errors) else 2
         if args.command == "plan":
             split = allocate(cfg["strategies"], args.count if args.count is not None else cfg["plan"]["count"], args.strategy)
             for name, n in preview(split, cfg["run"]["preview_count"]) if args.preview else split:
                 print(name, n)
-        elif args.command == "clean":
-            spark = spark or SparkSession.builder.getOrCreate()
-            for row in clean(spark, cfg, args.input, args.output or cfg["output"]["path"], args.format).orderBy("stage", "reason").collect():
-                print(row.stage, row.reason, row.n)
-    except (config.ConfigError, PlanError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 2
-    except BreakerOpen as e:
+        elif args.command != "validate":
+            print(_flow(args, cfg, spark or SparkSession.builder.getOrCreate()).text())
+    except (config.ConfigError, PlanError, IncompatibleState, ValueError, OSError, RuntimeError) as e:
+        code = 3 if isinstance(e, BreakerOpen) else 2
         print(f"error: {e}", file=sys.stderr)
+        return code
+    except Exception as e:  # a breaker that opened in a worker comes back inside the engine's own error
+        if BreakerOpen.__name__ not in str(e):
+            raise
+        print("error: a breaker opened; what was written so far stays", file=sys.stderr)
         return 3
-    except IncompatibleState as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 4
     return 0
 
 

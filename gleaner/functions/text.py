@@ -181,13 +181,13 @@ def think(reasoning: Column, text: Column) -> Column:
     return F.when(F.coalesce(reasoning, F.lit("")) != "", wrapped).otherwise(text)
 
 
-def parse_prompt_logprobs(payload: Column) -> Column:
-    """First value of every position of choices[0].logprobs.prompt_logprobs, or the list token_logprobs; null positions
-    stay, malformed payloads are null."""
+def parse_prompt_logprobs(payload: Column, mode: str | None = None) -> Column:
+    """First value of every position of choices[0].logprobs.prompt_logprobs (teacher_forced), or the list token_logprobs
+    (continuation); without a mode whichever is there. Null positions stay, malformed payloads are null."""
     schema = "choices array<struct<logprobs:struct<prompt_logprobs:array<map<string,double>>,token_logprobs:array<double>>>>"
-    logs = F.from_json(payload, schema)["choices"][0]["logprobs"]
+    logs = F.try_element_at(F.from_json(payload, schema)["choices"], F.lit(1))["logprobs"]
     firsts = F.transform(logs["prompt_logprobs"], lambda m: F.try_element_at(F.map_values(m), F.lit(1)))
-    return F.coalesce(firsts, logs["token_logprobs"])
+    return {"teacher_forced": firsts, "continuation": logs["token_logprobs"]}.get(mode, F.coalesce(firsts, logs["token_logprobs"]))
 
 
 def mean_token_nll(logprobs: Column) -> Column:
@@ -204,7 +204,8 @@ def nll_quality(nll: Column, ceiling: float = 6.0) -> Column:
 
 
 def heuristic_scores(p: Column, text: Column) -> Column:
-    """Map of local scores from a classifier's probability; null for blank text."""
+    """Map of the local scores coherence and fluency from a classifier's probability; null for blank text. Any other
+    dimension has the neutral score 0.5, which the caller fills in."""
     length = F.length(text)
     coherence = F.round(0.5 * p + 0.5 * F.least(length / 200, F.lit(1.0)), 4)
     pairs = F.create_map(F.lit("coherence"), coherence, F.lit("fluency"), F.round(p, 4))

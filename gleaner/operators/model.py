@@ -14,11 +14,16 @@ SAMPLE = {
     "id": "string", "strategy": "string", "instruction": "string", "output": "string", "reasoning": "string",
     "messages": f"array<{MESSAGE}>", "tools": "string", "lineage": "map<string,string>", "pos": "bigint",
 }
+#: What stages and judges leave in a sample's metadata; null until they ran.
+METRIC_FIELDS = ("special_char_ratio:double", "ngram_diversity:double", "scores:map<string,double>", "total_score:double", "score_source:string")
+METRICS = f"struct<{','.join(METRIC_FIELDS)}>"
 
 
 def as_samples(df: DataFrame, **columns: Column) -> DataFrame:
-    """df in the canonical form: given columns, the others null. Extra columns of df are left out."""
-    return df.select(*[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SAMPLE.items()])
+    """df in the canonical form: given columns, the others null; given columns that are not in the form follow it. Extra
+    columns of df are left out."""
+    more = [c.alias(name) for name, c in columns.items() if name not in SAMPLE]
+    return df.select(*[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SAMPLE.items()], *more)
 
 
 def problems(df: DataFrame) -> Column:
@@ -31,12 +36,16 @@ def problems(df: DataFrame) -> Column:
 
 
 def validated(df: DataFrame, strict: bool = False) -> DataFrame:
-    """df with its problems; strict fails the job at the first invalid sample."""
+    """df with its problems; strict fails the job at the first invalid sample. Rule C4, a metadata object with objects for
+    lineage and metrics, holds by type here; readers check it on what they read."""
     out = df.withColumn("problems", problems(df))
-    if strict:
-        fails = F.raise_error(F.concat(F.lit("invalid sample "), F.coalesce("id", F.lit("?")), F.lit(": "), F.array_join("problems", ",")))
-        out = out.withColumn("problems", F.when(F.size("problems") > 0, fails.cast("array<string>")).otherwise(F.col("problems")))
-    return out
+    return enforced(out) if strict else out
+
+
+def enforced(df: DataFrame) -> DataFrame:
+    """df, failing the job at the first row with problems."""
+    fails = F.raise_error(F.concat(F.lit("invalid sample "), F.coalesce("id", F.lit("?")), F.lit(": "), F.array_join("problems", ",")))
+    return df.withColumn("problems", F.when(F.size("problems") > 0, fails.cast("array<string>")).otherwise(F.col("problems")))
 
 
 def core_text(df: DataFrame) -> Column:

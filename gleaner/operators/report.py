@@ -35,3 +35,21 @@ def store_stats(tables: dict[str, DataFrame]) -> DataFrame:
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+def cost(calls: int = 0, retried: int = 0, embedded: int = 0, cached: int = 0) -> str:
+    """What a run paid for and what it found in its caches, in one line."""
+    return f"llm_calls={calls} retried={retried} embed_calls={embedded} cache_hits={cached}"
+
+
+def text_report(rows: list[tuple[str, str, int]], buckets: list[tuple[int, int, float]], costs: str) -> str:
+    """The report of a run: rows of waterfall, of score_distribution (lower end, n, mean) and the cost line."""
+    kept = sum(n for stage, _, n in rows if stage == "kept")
+    lines = [f"{sum(n for *_, n in rows)} in, {kept} out"]
+    lines += [f"  {stage} {reason}: {n}" for stage, reason, n in sorted(rows) if stage != "kept"]
+    if buckets:
+        n = sum(b[1] for b in buckets)
+        ends = [*(str(b) for b in BUCKETS[1:]), ""]
+        named = {b: f"{b}-{e}" if e else f"{b}+" for b, e in zip(BUCKETS, ends)}
+        lines.append(f"scored={n} mean={sum(b[1] * b[2] for b in buckets) / n:.1f} [{', '.join(f'{named[b]}: {k}' for b, k, _ in sorted(buckets))}]")
+    return "\n".join([*lines, costs])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.functions.chunking import bag_vector
 from gleaner.operators.greedy import GROUP, first_wins, resolve_pairs
-from gleaner.operators.model import core_text
+from gleaner.operators.model import METRIC_FIELDS, METRICS, core_text
 from gleaner.session import cut
 
 DROPS = {"drop_stage": "string", "drop_code": "string", "drop_value": "double", "drop_by": "string"}
@@ -161,6 +161,13 @@ def stats_gate(max_special: float = 0.3, max_char: float = 0.5, max_word: float
     return Stage("stats", features)
 
 
+def with_metrics(df: DataFrame, n: int = 3, unit: str = "char") -> DataFrame:
+    """df with the statistics that its metadata keeps, rounded to 4 decimals, in metrics."""
+    found = text_statistics(core_text(df), n, unit)
+    named = {"special_char_ratio": F.round(found["special_char_ratio"], 4), "ngram_diversity": F.round(found["ngram_diversity"], 4)}
+    return df.withColumn("metrics", F.struct(*[named.get(part.split(":")[0], F.lit(None)).alias(part.split(":")[0]) for part in METRIC_FIELDS]).cast(METRICS))
+
+
 def band_shape(threshold: float, permutations: int) -> tuple[int, int]:
     """Bands and rows whose collision curve has the smallest sum of false positive and false negative areas."""
     x = (np.arange(1000) + 0.5) / 1000

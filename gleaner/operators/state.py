@@ -62,6 +62,18 @@ class State:
             return self.spark.createDataFrame([], schema)
         return latest(df, keys, first) if keys else df.drop("batch_id")
 
+    def next_batch(self) -> int:
+        """A number that no batch of any table has yet, so that runs never replace each other's rows."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*/batch_id=*")
+        found = path.getFileSystem(conf).globStatus(path)
+        numbers = [int(f.getPath().getName().split("=")[1]) for f in (found or [])]
+        return max(numbers, default=-1) + 1
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """Append rows as a batch of their own."""
+        self.append(name, rows, self.next_batch())
+
     def terminal(self) -> DataFrame:
         """Ids that need no more work: committed or dropped."""
         return self.read("samples").select("id").union(self.read("dropped").select("id")).distinct()

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Callable, Iterable
-from itertools import product
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -86,9 +86,16 @@ def tool_plan(spark: SparkSession, topics: list[str], budget: int) -> DataFrame:
     return rows.select(T.derive_id(F.lit("tool"), F.col("topic"), F.col("pos")).alias("id"), F.lit("tool_call").alias("strategy"), F.to_json(F.struct("topic")).alias("payload"), lineage.alias("lineage"), "pos")
 
 
+#: Budget up to which the planned rows are numbered in one task.
+ONE_TASK = 20_000
+
+
 def _numbered(df: DataFrame, order: list[str], budget: int | None) -> DataFrame:
     """The first budget rows in order, numbered; the limit runs before the one-task numbering, which it bounds. Without a
-    budget all rows: numbered inside range partitions, to which the counts of earlier partitions are added."""
+    budget, or with one over ONE_TASK, rows are numbered inside range partitions, to which the counts of earlier partitions
+    are added."""
+    if budget is not None and budget > ONE_TASK:
+        return _numbered(df, order, None).filter(F.col("n") < budget)
     if budget is None:
         parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # numbers must not change when a task is run again
         before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -132,67 +139,75 @@ def _frame(spark: SparkSession, specs: Iterable[tuple[str, str, dict, dict]]) ->
     return spark.createDataFrame(rows, SPEC)
 
 
+def seed_draws(count: int, seeds: int, crossover: float, mutate: float, values: list[int], seed: int) -> Iterator[tuple[str, list[int]]]:
+    """Per spec the operator and the indices drawn for it: a seed, then another one for a crossover, or one of the
+    mutations. values has one entry per mutation: of how many values it has, of which a hash of the place picks one
+    later. The draws follow the standard generator in this order, which makes ids repeatable."""
+    draw = random.Random(seed + int(_driver_id("rng", "seed_driven"), 16) % 10007)
+    scale = max(1.0, crossover + mutate)
+    edges = (crossover / scale, (crossover + mutate) / scale)
+    for _ in range(count):
+        at = draw.random()
+        op = "crossover" if at < edges[0] else "mutate" if mutate > 0 and at < edges[1] else "fewshot"
+        limits = [seeds] + {"crossover": [seeds], "mutate": [len(values)] if values else []}.get(op, [])
+        yield op, [draw.randrange(limit) for limit in limits]
+
+
 def seed_plan(spark: SparkSession, seeds: list[dict], budget: int, crossover: float = 0.0, mutate: float = 0.0, mutations: list[dict] | None = None, seed: int = 0) -> DataFrame:
-    """seeds {id, instruction, output}: each row draws an operator by roulette, then a seed, for a crossover a second
-    (maybe the same), for a mutation one of mutations. Shares above 1 together are scaled."""
+    """seeds {id, instruction, output}: each spec has an operator and one or two seeds, or a mutation {name, prompt,
+    values}, whose prompt's {value} becomes one of its values. Shares above 1 together are scaled."""
     if not seeds:
         raise PlanError("no seeds")
-    draw = random.Random(seed + int(_driver_id("rng", "seed_driven"), 16) % 10007)
-    both = crossover + mutate
-    if both > 1.0:
-        crossover, mutate, both = crossover / both, mutate / both, 1.0
+    known = mutations or []
 
-    def specs():
-        for n in range(budget):
-            r = draw.random()
-            op = "crossover" if r < crossover else "mutate" if r < both and mutate > 0 else "fewshot"
-            first = seeds[draw.randrange(len(seeds))]
-            second = seeds[draw.randrange(len(seeds))] if op == "crossover" else None
-            change = mutations[draw.randrange(len(mutations))] if op == "mutate" and mutations else None
-            lineage = {"source": "seed", "seed_id": first["id"], "operator": op}
-            lineage |= {"seed_id_b": second["id"]} if second else {}
-            lineage |= {"mutation": change["name"]} if change else {}
-            yield _driver_id("seed", first["id"], op, n), "seed_driven", {"a": first, "b": second, "op": op, "mutation": change, "n": n}, lineage
+    def spec(n: int, op: str, drawn: list[int]) -> tuple[str, str, dict, dict]:
+        first, more = seeds[drawn[0]], drawn[1:]
+        second = seeds[more[0]] if op == "crossover" else None
+        change = known[more[0]] if op == "mutate" and more else None
+        made = _driver_id("seed", first["id"], op, n)
+        values = (change or {}).get("values") or []
+        payload = {"a": first, "b": second, "op": op, "mutation": change, "n": n, "value": str(values[int(made, 16) % len(values)]) if values else ""}
+        named = {"seed_id_b": second and second["id"], "mutation": change and change.get("name")}
+        return made, "seed_driven", payload, {"source": "seed", "seed_id": first["id"], "operator": op} | {k: v for k, v in named.items() if v is not None}
 
-    return _frame(spark, specs())
+    draws = seed_draws(budget, len(seeds), crossover, mutate, [len(m.get("values") or []) for m in known], seed)
+    return _frame(spark, (spec(n, op, drawn) for n, (op, drawn) in enumerate(draws)))
 
 
 #: Names of the depth mutations that are there by default.
 DEPTH = ("add_constraint", "deepen", "concretize", "increase_reasoning")
+BREADTH = {"name": "breadth", "prompt": "a different but related task"}
+
+
+def evolution_draws(living: int, depth_rate: float, mutations: int, draw: random.Random) -> list[tuple[int | None, bool]]:
+    """For each living entry of a round: the depth mutation it gets, if any, and whether it is entered once more."""
+    return [(draw.randrange(mutations) if draw.random() < depth_rate else None, draw.random() < 0.5) for _ in range(living)]
 
 
-def evol_plan(spark: SparkSession, seeds: list[dict], budget: int, rounds: int = 3, depth_rate: float = 0.7, branches: int = 1, mutations: list[dict] | None = None, include_seeds: bool = False, seed: int = 0) -> DataFrame:
-    """Rounds of evolution over seeds {id, instruction}: each entry of a round gives a deeper task with depth_rate, then
-    branches broader ones, and is entered once more with probability one half. Entries that were evolved make up the next
-    round. Ends after the round in which
-    budget * rounds tasks are reached. Seeds themselves are round 0 if wanted."""
+def evol_plan(spark: SparkSession, seeds: list[dict], budget: int, rounds: int = 3, depth_rate: float = 0.7, branches: int = 1, mutations: list[dict] | None = None, include_seeds: bool = False, seed: int = 0, answers: bool = True) -> DataFrame:
+    """Rounds of evolution over seeds {id, instruction}: an entry of a round gives a deeper task, if one is drawn, and
+    branches broader ones. These tasks, and entries drawn to stay, are the slots by which a round's tasks are numbered; the
+    slots that stem from a task are the next round's entries (all entries stay where there is none). Ends after the round
+    in which budget * rounds tasks are reached. Seeds themselves are round 0 if wanted. answers: have the result answered."""
     if not seeds:
         raise PlanError("no seeds")
     draw, deeper = random.Random(seed + 7), mutations or [{"name": n, "prompt": n} for n in DEPTH]
-    specs: list[tuple[str, str, dict, dict]] = []
+    breadth = [BREADTH] * max(0, branches)
 
-    def add(entry: dict, level: int, k: int, change: dict | None) -> None:
-        lineage = {"source": "seed", "seed_id": entry["id"], "evolution_round": level} | ({"mutation": change["name"]} if change else {})
-        specs.append((_driver_id("evol", entry["id"], f"r{level}", k), "evol_instruct", {"instruction": entry["instruction"], "round": level, "mutation": change}, lineage))
+    def spec(source: dict, level: int, slot: int, change: dict | None) -> tuple[str, str, dict, dict]:
+        payload = {"instruction": source["instruction"], "round": level, "mutation": change, "seed_id": source["id"], "chain": [source["instruction"]], "answer": answers or not level}
+        return _driver_id("evol", source["id"], f"r{level}", slot), "evol_instruct", payload, {"source": "seed", "seed_id": source["id"], "evolution_round": level} | ({"mutation": change["name"]} if change else {})
 
-    if include_seeds:
-        for s in seeds:
-            add(s, 0, 0, None)
+    specs = [spec(s, 0, 0, None) for s in seeds] if include_seeds else []
     made, entries = 0, [(s, False) for s in seeds]
     for level in range(1, rounds + 1):
-        following: list[tuple[dict, bool]] = []
-        for entry, evolved in entries:
-            changes = []
-            if draw.random() < depth_rate:
-                changes.append(deeper[draw.randrange(len(deeper))])
-            changes += [{"name": "breadth", "prompt": "a different but related task"}] * max(0, branches)
-            for change in changes:
-                add(entry, level, len(following), change)
-                following.append((entry, True))
-                made += 1
-            if draw.random() < 0.5:
-                following.append((entry, evolved))
-        entries = [f for f in following if f[1]] or entries
+        drawn = evolution_draws(len(entries), depth_rate, len(deeper), draw)
+        tasks = [([deeper[at]] if at is not None else []) + breadth for at, _ in drawn]
+        starts = accumulate((len(t) + stays for t, (_, stays) in zip(tasks, drawn)), initial=0)
+        specs += [spec(source, level, start + k, change) for (source, _), changes, start in zip(entries, tasks, starts) for k, change in enumerate(changes)]
+        made += sum(map(len, tasks))
+        slots = [slot for (source, evolved), t, (_, stays) in zip(entries, tasks, drawn) for slot in [(source, True)] * len(t) + [(source, evolved)] * stays]
+        entries = [slot for slot in slots if slot[1]] or entries
         if made >= budget * rounds:
             break
     return _frame(spark, specs)

@@ -6,10 +6,11 @@ with problems instead of failing the job."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.model import MESSAGE, as_samples, core_text
+from gleaner.operators.model import MESSAGE, as_samples, core_text, problems
 
 ROW = {
     "id": "string", "instruction": "string", "query": "string", "output": "string", "response": "string", "reasoning": "string", "prompt": "string",
@@ -19,21 +20,44 @@ ROW = {
 FORMATS = ("flat", "alpaca", "chatml", "openai", "sharegpt")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line: from 0, pos: over all files in the order of their names, value) of text files, blank lines counted.
+
+    A split is read in order by one task; the lines of the splits before it, which are counted first, are added to its own,
+    so the numbers don't depend on how splits are spread over tasks. The counts are one row per split."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"))
+    before = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    zero = F.lit(0).cast("bigint")
+    splits = splits.select("file", "block", "_first", F.coalesce(F.sum("_n").over(before), zero).alias("_all"), F.coalesce(F.sum("_n").over(inside), zero).alias("_own"))
+    own = F.col("_at") - F.col("_first")
+    return raw.join(F.broadcast(splits), ["file", "block"]).select("file", (F.col("_own") + own).alias("line"), (F.col("_all") + own).alias("pos"), "value")
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """The same for JSON files: elements of a list, or one object, in place of lines."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    listed = F.when(F.trim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    rows = raw.select("file", F.posexplode(F.from_json(listed, "array<string>")).alias("line", "value"))
+    starts = rows.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_all"))
+    return rows.join(F.broadcast(starts), "file").select("file", F.col("line").cast("bigint").alias("line"), (F.col("_all") + F.col("line")).alias("pos"), "value")
+
+
 def read_json_rows(spark: SparkSession, path: str, field_map: dict[str, str] | None = None) -> DataFrame:
-    """One row per JSON object of .jsonl (lines) or .json files: the fields of ROW, whether messages was present, pos in
-    file order and file. field_map renames keys first."""
+    """One row per JSON object of .jsonl (lines) or .json files: the fields of ROW, whether messages was present, whether
+    metadata is sound (rule C4), pos in file order, line and file. field_map renames keys first. Blank lines are left out
+    but counted."""
     names = {new: old for old, new in (field_map or {}).items()}
-    schema = ", ".join(f"`{names.get(k, k)}` {t}" for k, t in ROW.items())
-    if path.endswith(".json"):
-        raw = spark.read.text(path, wholetext=True).select("value", F.lit(0).cast("bigint").alias("_line"))
-        raw = raw.withColumn("value", F.explode(F.from_json(F.when(F.trim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))), "array<string>")))
-    else:
-        raw = spark.read.text(path)
-    raw = raw.filter(F.length(T.strip(F.col("value"))) > 0)
-    raw = raw.select("value", F.monotonically_increasing_id().alias("pos"), F.input_file_name().alias("file"))
+    of = lambda k: names.get(k, k)
+    schema = ", ".join(f"`{of(k)}` {t}" for k, t in ROW.items())
+    raw = (_elements if path.endswith(".json") else file_lines)(spark, path).filter(F.length(T.strip(F.col("value"))) > 0)
     parsed = raw.withColumn("j", F.from_json("value", schema)).withColumn("keys", F.json_object_keys("value"))
-    fields = [F.col("j")[names.get(k, k)].alias(k) for k in ROW]
-    return parsed.select("pos", "file", "value", F.coalesce(F.array_contains("keys", names.get("messages", "messages")), F.lit(False)).alias("has_messages"), *fields)
+    part = lambda p: F.ltrim(F.coalesce(F.get_json_object("value", p), F.lit("{")))
+    meta = f"$['{of('metadata')}']"
+    sound = part(meta).startswith("{") & part(f"{meta}.lineage").startswith("{") & part(f"{meta}.metrics").startswith("{")
+    fields = [F.col("j")[of(k)].alias(k) for k in ROW]
+    return parsed.select("pos", "line", "file", "value", F.coalesce(F.array_contains("keys", of("messages")), F.lit(False)).alias("has_messages"), sound.alias("sound"), *fields)
 
 
 def _some(*columns: str) -> Column:
@@ -56,26 +80,47 @@ def sharegpt_messages(conversations: Column) -> Column:
 
 
 def to_samples(rows: DataFrame, fmt: str = "flat") -> DataFrame:
-    """Rows of read_json_rows as canonical samples; rows whose text is blank are left out."""
+    """Rows of read_json_rows as canonical samples; rows whose text is blank are left out. Only flat and alpaca rows keep
+    the lineage of their metadata."""
+    return _adapted(rows, fmt).drop("sound")
+
+
+def _adapted(rows: DataFrame, fmt: str) -> DataFrame:
     if fmt not in FORMATS:
         raise ValueError(f"unknown input format {fmt!r}; known: {', '.join(FORMATS)}")
     talk = {"chatml": F.lit(True), "openai": F.lit(True), "sharegpt": F.lit(True), "flat": F.col("has_messages"), "alpaca": F.lit(False)}[fmt]
     spoken = sharegpt_messages(F.col("conversations")) if fmt == "sharegpt" else F.col("messages")
     only = lambda c, yes: F.when(talk if yes else ~talk, c)
-    lineage = F.when(talk, F.create_map(F.lit("input"), F.lit("file"))) if fmt == "flat" else F.lit(None).cast("map<string,string>")
+    from_file = F.create_map(F.lit("input"), F.lit("file"))
+    lineage = F.when(talk, from_file).otherwise(F.coalesce("metadata.lineage", from_file)) if fmt in ("flat", "alpaca") else F.lit(None)
     out = as_samples(
         rows, id=row_id(fmt), strategy=F.lit("file"), instruction=only(_some("instruction", "query"), False), output=only(_some("output", "response"), False),
-        reasoning=only(F.col("reasoning"), False), messages=only(spoken, True), tools=F.col("tools") if fmt in ("openai", "flat") else F.lit(None),
-        lineage=F.coalesce(lineage, F.col("metadata.lineage")), pos=F.col("pos"),
+        reasoning=only(F.coalesce("reasoning", F.lit("")), False), messages=only(spoken, True), tools=F.col("tools") if fmt in ("openai", "flat") else F.lit(None),
+        lineage=lineage, pos=F.col("pos"), sound=F.col("sound") | talk,
     )
     return out.filter(F.length(T.strip(core_text(out))) > 0)
 
 
+def open_file(spark: SparkSession, path: str, fmt: str = "flat", field_map: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """The file's samples with the rules they break (C1 to C4) in problems; strict fails the job at the first that does."""
+    from gleaner.operators.model import enforced
+
+    out = _adapted(read_json_rows(spark, path, field_map), fmt)
+    checked = out.withColumn("problems", F.array_compact(F.concat(problems(out), F.array(F.when(~F.coalesce("sound", F.lit(True)), "C4"))))).drop("sound")
+    return enforced(checked) if strict else checked
+
+
+def materialize(rows: DataFrame, path: str) -> DataFrame:
+    """Materials written once to a shared folder and read from there."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def load_seeds(spark: SparkSession, path: str, field_map: dict[str, str] | None = None) -> DataFrame:
     """(id, instruction, output, pos) of a JSON-lines file; prompt and response stand in, missing ids name file and
     line. No seeds: ValueError."""
     rows = read_json_rows(spark, path, field_map)
-    named = F.concat(F.lit("seed:"), F.regexp_extract("file", r"([^/]+)$", 1), F.lit(":"), F.col("pos").cast("string"))
+    named = F.concat(F.lit("seed:"), F.regexp_extract("file", r"([^/]+)$", 1), F.lit(":"), F.col("line").cast("string"))
     out = rows.select(F.coalesce("id", named).alias("id"), F.coalesce("instruction", "prompt").alias("instruction"), F.coalesce("output", "response").alias("output"), "pos")
     if out.isEmpty():
         raise ValueError(f"no seeds in {path}")
@@ -83,15 +128,16 @@ def load_seeds(spark: SparkSession, path: str, field_map: dict[str, str] | None
 
 
 def load_documents(spark: SparkSession, path: str, field_map: dict[str, str] | None = None) -> DataFrame:
-    """(id, text, pos): rows of .json and .jsonl files with text or content, other files whole; normalised, empty ones
-    left out. None left: ValueError."""
+    """(id, text, pos, meta: the row's JSON): rows of .json and .jsonl files with text or content, other files whole, in the
+    order of their names; normalised, empty ones left out. None left: ValueError."""
     base = F.regexp_extract("file", r"([^/]+)$", 1)
     if path.endswith((".json", ".jsonl")):
         rows = read_json_rows(spark, path, field_map)
-        out = rows.select(F.coalesce("id", F.concat(base, F.lit(":"), F.col("pos").cast("string"))).alias("id"), _some("text", "content").alias("text"), "pos")
+        out = rows.select(F.coalesce("id", F.concat(base, F.lit(":"), F.col("line").cast("string"))).alias("id"), _some("text", "content").alias("text"), "pos", F.col("value").alias("meta"))
     else:
-        rows = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
-        out = rows.select(base.alias("id"), F.col("value").alias("text"), "pos")
+        rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        names = rows.select("file").withColumn("pos", (F.row_number().over(W.orderBy("file")) - 1).cast("bigint"))
+        out = rows.join(F.broadcast(names), "file").select(base.alias("id"), F.col("value").alias("text"), "pos", F.lit(None).cast("string").alias("meta"))
     out = out.withColumn("text", T.normalize_text(F.col("text"))).filter("text <> ''")
     if out.isEmpty():
         raise ValueError(f"no documents in {path}")

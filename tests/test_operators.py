@@ -103,7 +103,7 @@ def test_judge(spark):
 
 def test_render_thinking(spark):
     df = samples(spark, [("a", "i", "o")]).withColumn("reasoning", F.lit("r"))
-    assert render.chatml(df, True).first().messages[1].content == "<think>\nr\n</think>\n\no"
+    assert render.chatml(df, thinking=True).first().messages[1].content == "<think>\nr\n</think>\n\no"
     with pytest.raises(ValueError):
         render.render(df, "other")
 
@@ -157,7 +157,7 @@ def test_retry_and_breaker():
         raise OSError
 
     with pytest.raises(OSError):
-        generate.retry(fails, 3, 2.0, 3.0, sleep=waits.append)
+        generate.retry(fails, generate.backoff_delays(3, 2.0, 3.0), sleep=waits.append)
     assert len(tries) == 3 and waits == [2.0, 3.0]
     b = generate.Breaker()
     for _ in range(5):
