@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,29 +85,39 @@ def distinct_grams(codes: np.ndarray, n: int) -> int:
     return len(np.unique(left))
 
 
-def measure(text: str | None, n: int = 3, unit: str = "char", word_unit: str = "word") -> tuple[float | None, float | None, float | None]:
+@lru_cache(maxsize=1)
+def plain_codes() -> np.ndarray:
+    """For every code point whether it is a letter, a number, white space or a full-width form."""
+    kinds = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    out = np.isin(kinds, ["L", "N", "Z"])
+    for first, last in ((0x09, 0x0D), (0x1C, 0x1F), (0x85, 0x85), (0x3000, 0x303F), (0xFF00, 0xFFEF)):
+        out[first : last + 1] = True
+    return out
+
+
+def measure(text: str | None, n: int = 3, unit: str = "char", word_unit: str = "word") -> tuple[float | None, ...]:
     """Longest run of equal neighbouring tokens over tokens, share of words whose type occurs more than once, distinct
-    n-grams over n-grams. 0, 0 and 1 where there are no tokens; null for null."""
+    n-grams over n-grams, share of special characters. 0, 0, 1 and 0 where there are no tokens; null for null."""
     if text is None:
-        return None, None, None
-    codes = token_codes(text, unit)
+        return None, None, None, None
+    points = token_codes(text, "char")
+    codes = points if unit == "char" else token_codes(text, unit)
     run = 0.0
     if len(codes):
         ends = np.flatnonzero(np.append(codes[1:] != codes[:-1], True))
         run = float(np.diff(ends, prepend=-1).max()) / len(codes)
-    words = codes if word_unit == unit else token_codes(text, word_unit)
-    repeated = 0.0
-    if len(words):
-        repeated = 1.0 - float((np.unique(words, return_counts=True)[1] == 1).sum()) / len(words)
-    return run, repeated, distinct_grams(codes, n) / (len(codes) - n + 1) if len(codes) >= n else 1.0
+    words = Counter(_WORDS.findall(text) if word_unit == "word" else text)
+    repeated = 1.0 - list(words.values()).count(1) / words.total() if words else 0.0
+    special = float((~plain_codes()[points]).sum()) / len(points) if len(points) else 0.0
+    return run, repeated, distinct_grams(codes, n) / (len(codes) - n + 1) if len(codes) >= n else 1.0, special
 
 
 def measures(text: Column, n: int = 3, unit: str = "char", word_unit: str = "word") -> Column:
-    """Struct of the three shares of measure(), in Arrow batches over arrays of code points."""
+    """Struct of the four shares of measure(), in Arrow batches over arrays of code points."""
 
-    @F.pandas_udf("struct<run:double,repeated:double,diversity:double>")
+    @F.pandas_udf("struct<run:double,repeated:double,diversity:double,special:double>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t if isinstance(t, str) else None, n, unit, word_unit) for t in texts], columns=["run", "repeated", "diversity"], dtype=float)
+        return pd.DataFrame([measure(t if isinstance(t, str) else None, n, unit, word_unit) for t in texts], columns=["run", "repeated", "diversity", "special"], dtype=float)
 
     return F.when(text.isNotNull(), of(text))
 

@@ -20,7 +20,7 @@ from gleaner.session import cut
 GROUP = 64
 
 
-def _near(rows: DataFrame, others: DataFrame, whats: DataFrame, close: Callable[[Column, Column], Column], earlier: bool) -> DataFrame:
+def _near(rows: DataFrame, others: DataFrame, whats: DataFrame, close: Callable[[Column, Column], Column], earlier: bool, exact: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """(id, other): rows that share a key with, and are close to, one of others (an earlier one, if asked)."""
     a = rows.select("id", "at", F.explode("keys").alias("key"))
     b = others.select(F.col("id").alias("other"), F.col("at").alias("other_at"), F.explode("keys").alias("key"))
@@ -28,12 +28,14 @@ def _near(rows: DataFrame, others: DataFrame, whats: DataFrame, close: Callable[
     met = met.filter((F.col("other_at") < F.col("at")) if earlier else (F.col("id") != F.col("other"))).select("id", "other").distinct()
     # A pair that meets under several keys is verified once; payloads are joined only to distinct pairs.
     met = met.join(whats, "id").join(whats.select(F.col("id").alias("other"), F.col("what").alias("other_what")), "other")
-    return met.filter(close(F.col("what"), F.col("other_what"))).select("id", "other")
+    met = met.filter(close(F.col("what"), F.col("other_what"))).select("id", "other")
+    return met if exact is None else exact(cut(met))
 
 
-def first_wins(rows: DataFrame, close: Callable[[Column, Column], Column], group: int = GROUP) -> DataFrame:
+def first_wins(rows: DataFrame, close: Callable[[Column, Column], Column], group: int = GROUP, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows (id, at: total order, keys: array, what: compared) to (id, kept, by): by is the earliest kept row that is
-    close to a dropped one. Rows with null or no keys are kept."""
+    close to a dropped one. Rows with null or no keys are kept. exact says which pairs (id, other) are close where close is
+    only a small what's necessary condition."""
     rows = cut(rows.withColumn("keys", F.coalesce("keys", F.slice(F.array(F.lit(0).cast("bigint")), 1, 0))))
     # What is compared stays where it is; only ids, places and keys go through the rounds.
     whats, still, kept = rows.select("id", "what"), rows.drop("what"), []
@@ -45,8 +47,9 @@ def first_wins(rows: DataFrame, close: Callable[[Column, Column], Column], group
         now = marked.filter("behind is null").drop("behind")
         rest = marked.filter("behind").drop("behind")
         kept.append(now)
-        still = cut(rest.join(_near(rest, now, whats, close, False).select("id").distinct(), "id", "left_anti"))
-    pairs = cut(_near(still, still, whats, close, True))
+        still = cut(rest.join(_near(rest, now, whats, close, False, exact).select("id").distinct(), "id", "left_anti"))
+    whole = not kept  # no row was settled without its pairs
+    every = pairs = cut(_near(still, still, whats, close, True, exact))
     while not pairs.isEmpty():
         now = cut(still.join(pairs.select("id").distinct(), "id", "left_anti"))
         kept.append(now)
@@ -56,7 +59,8 @@ def first_wins(rows: DataFrame, close: Callable[[Column, Column], Column], group
         pairs = cut(pairs.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "other"), "other", "left_semi"))
     winners = cut(reduce(DataFrame.unionByName, kept, still))
     dropped = rows.drop("what").join(winners.select("id"), "id", "left_anti")
-    reasons = _near(dropped, winners, whats, close, True).join(winners.select(F.col("id").alias("other"), "at"), "other")
+    reasons = every if whole else _near(dropped, winners, whats, close, True, exact)
+    reasons = reasons.join(winners.select(F.col("id").alias("other"), "at"), "other")
     reasons = reasons.groupBy("id").agg(F.min_by("other", "at").alias("by"))
     out = winners.select("id", F.lit(True).alias("kept"), F.lit(None).cast(rows.schema["id"].dataType).alias("by"))
     return out.unionByName(dropped.select("id").join(reasons, "id", "left").select("id", F.lit(False).alias("kept"), "by"))

@@ -146,7 +146,7 @@ def exact_dedup(history: DataFrame | None = None) -> Stage:
 
 def text_statistics(text: Column, n: int = 3, unit: str = "char") -> dict[str, Column]:
     found = T.measures(text, n, unit)
-    return {"special_char_ratio": T.special_char_ratio(text), "char_repetition": found["run"], "word_repetition": found["repeated"], "ngram_diversity": found["diversity"]}
+    return {"special_char_ratio": found["special"], "char_repetition": found["run"], "word_repetition": found["repeated"], "ngram_diversity": found["diversity"]}
 
 
 def stats_gate(max_special: float = 0.3, max_char: float = 0.5, max_word: float = 0.5, min_diversity: float = 0.2, n: int = 3, unit: str = "char") -> Stage:
@@ -211,7 +211,7 @@ def band_keys(sig: Column, threshold: float, permutations: int) -> Column:
 
 #: Cells of the counts by which shingles are ordered; a power of two. The order changes the work, never the result.
 CELLS = 1 << 18
-#: Sets up to which those that meet others are picked without a shuffle of all.
+#: Sets up to which those to be made again are picked without a shuffle of all.
 BROADCAST = 500_000
 
 
@@ -235,26 +235,44 @@ def shingle_counts(texts: DataFrame, n: int, unit: str) -> np.ndarray:
 
 def rare_first(text: Column, counts, threshold: float, n: int, unit: str) -> Column:
     """Struct of a text's shingle set: n its size, set its hash, pre the rarest shingles, as many as two sets at least
-    threshold alike must share two of. counts is a broadcast of shingle_counts.
+    threshold alike must share two of, bits a sketch of BITS bits in which every shingle sets one. counts is a broadcast of shingle_counts.
 
     Of n shingles a partner shares o = ceil(threshold * n) or more, so the first shared one, in any order that all sets
     follow, is among the first n - o + 1, and the second among the first n - o + 2."""
 
-    @F.pandas_udf("struct<n:int,set:bigint,pre:array<bigint>>")
+    @F.pandas_udf("struct<n:int,set:bigint,pre:array<bigint>,bits:array<bigint>>")
     def first(texts: pd.Series) -> pd.DataFrame:
         out = []
         for x in T.hash_shingles([t if isinstance(t, str) else None for t in texts], n, unit):
             if x is None:
-                out.append((None, None, None))
+                out.append((None, None, None, None))
                 continue
             order = np.lexsort((x, counts.value[x & (CELLS - 1)]))
             whole = np.bitwise_xor.reduce((x.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xFF51AFD7ED558CCD)) if len(x) else np.uint64(0)
-            out.append((len(x), int(whole.astype(np.int64)), x[order[: len(x) - needed_overlap(len(x), threshold) + 2]]))
-        return pd.DataFrame(out, columns=["n", "set", "pre"]).astype({"n": "Int32", "set": "Int64"})
+            out.append((len(x), int(whole.astype(np.int64)), x[order[: len(x) - needed_overlap(len(x), threshold) + 2]], _sketch(x)))
+        return pd.DataFrame(out, columns=["n", "set", "pre", "bits"]).astype({"n": "Int32", "set": "Int64"})
 
     return F.when(text.isNotNull(), first(text))
 
 
+#: Bits of the sketch of a set, a multiple of 64.
+BITS = 1024
+
+
+def _sketch(x: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[(x.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_be_alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the sketches (n, bits) of two sets allow them to be threshold alike: a bit that only one of them has stands
+    for a shingle at least that the other hasn't."""
+    alone = lambda x, y: sum((F.bit_count(x["bits"][i].bitwiseAND(F.bitwise_not(y["bits"][i]))) for i in range(BITS // 64)), F.lit(0))
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (a["n"] + b["n"]) - 1e-9)
+    return (a["n"] - alone(a, b) >= least) & (b["n"] - alone(b, a) >= least)
+
+
 def needed_overlap(n: int, threshold: float) -> int:
     """Shingles that a set of n shares with every set at least threshold alike."""
     return max(1, math.ceil(threshold * n - 1e-9))
@@ -299,7 +317,7 @@ def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, u
         if verify:
             counts = shingle_counts(df.select(F.when(F.col("drop_stage").isNull(), core_text(df)).alias("text")), n, unit)
             found = rare_first(text, df.sparkSession.sparkContext.broadcast(counts), threshold, n, unit)
-            return {"n": found["n"], "set": found["set"], "pre": found["pre"]}
+            return {k: found[k] for k in ("n", "set", "pre", "bits")}
         sig = signature(text, permutations, n, unit)
         return {"set": F.when(sig.isNotNull(), F.xxhash64(sig)), "keys": F.when(sig.isNotNull(), band_keys(sig, threshold, permutations))}
 
@@ -308,12 +326,11 @@ def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, u
         lead = cut(rows.join(again.select("id", "pos"), ["id", "pos"], "left_anti"))
         stored = None
         if verify:
-            keys = cut(exact_keys(lead.select("id", "n", "pre"), threshold))
-            # Sets that meet no other one are kept and need no verdict; only the others are made once more.
-            ids = keys.select("id")
-            few = df.select("id", core_text(df).alias("text")).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
-            meeting = few.withColumn("what", shingle_sets(F.col("text"), n, unit)).join(keys, "id").join(lead.select("id", "pos"), "id").select("id", F.struct("pos", "id").alias("at"), "keys", "what")
-            alike = lambda x, y: _jaccard(x, y) >= threshold
+            # Pairs are sorted out by their sketches; only sets of the pairs left are made once more and compared.
+            keys = exact_keys(lead.select("id", "n", "pre"), threshold)
+            meeting = keys.join(lead.select("id", "pos", F.struct("n", "bits").alias("what")), "id").select("id", F.struct("pos", "id").alias("at"), "keys", "what")
+            alike = lambda x, y: may_be_alike(x, y, threshold)
+            exact = lambda pairs: close_sets(pairs, df, threshold, n, unit)
         else:
             if history is not None:
                 old = history.filter(F.size("sig") == permutations).select("sample_id", F.explode(band_keys(F.col("sig"), threshold, permutations)).alias("key"))
@@ -321,8 +338,8 @@ def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, u
                 stored = cut(met.groupBy("id").agg(F.min("by").alias("by")))
                 lead = lead.join(stored.select("id"), "id", "left_anti")
             meeting = lead.select("id", F.struct("pos", "id").alias("at"), "keys", F.lit(None).cast("array<bigint>").alias("what"))
-            alike = lambda x, y: F.lit(True)
-        verdict = first_wins(meeting, alike).filter("not kept").select(F.col("id").alias("lead"), "by")
+            alike, exact = lambda x, y: F.lit(True), None
+        verdict = first_wins(meeting, alike, exact=exact).filter("not kept").select(F.col("id").alias("lead"), "by")
         if stored is not None:
             verdict = verdict.unionByName(stored.withColumnRenamed("id", "lead"))
         verdict = cut(verdict)
@@ -344,6 +361,15 @@ def shingle_sets(text: Column, n: int, unit: str) -> Column:
     return made(text)
 
 
+def close_sets(pairs: DataFrame, df: DataFrame, threshold: float, n: int, unit: str) -> DataFrame:
+    """The pairs (id, other) whose texts' shingle sets are at least threshold alike."""
+    ids = cut(pairs.select("id").union(pairs.select("other")).distinct())
+    named = df.select("id", core_text(df).alias("text")).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
+    sets = cut(named.select("id", shingle_sets(F.col("text"), n, unit).alias("what")).dropDuplicates(["id"]))
+    both = pairs.join(sets, "id").join(sets.withColumnsRenamed({"id": "other", "what": "other_what"}), "other")
+    return both.filter(_jaccard(F.col("what"), F.col("other_what")) >= threshold).select("id", "other")
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))

@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import math
 
 import pytest
@@ -76,3 +79,31 @@ def test_trajectories():
     assert trajectory_problem([call("1"), done("1"), call("1")], tools) == "duplicate_call_id"
     assert trajectory_problem([call("1", "g")], tools) == "unknown_function:g"
     assert trajectory_problem([call("1", args="{")], tools) == "invalid_arguments_json"
+
+
+def test_measures_equal_plain_counts(spark):
+    texts = [None, "", "a", "aab", "aa aa b", "ünï — ‘x’ 你好，世界！ ½ ²", "x_y x_y\tz\r\n..", "​퟿!", "😀😀 a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r for r in df.select("i", T.measures(F.col("t"), 4).alias("m"), T.special_char_ratio(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i].m is None and got[i].s is None
+            continue
+        grams = [t[k : k + 4] for k in range(len(t) - 3)]
+        best = max((sum(1 for _ in g) for _, g in itertools.groupby(t)), default=0)
+        words = re.findall(r"\w+", t)
+        assert got[i].m.run == (best / len(t) if t else 0)
+        assert got[i].m.diversity == (len(set(grams)) / len(grams) if grams else 1)
+        assert abs(got[i].m.repeated - (sum(words.count(w) > 1 for w in words) / len(words) if words else 0)) < 1e-12
+        assert abs(got[i].m.special - got[i].s) < 1e-12, (t, got[i])
+
+
+@pytest.mark.parametrize("unit", ["word", "char"])
+def test_hash_shingles_counts_distinct_grams(unit):
+    texts = [None, "", "a b c", "a B c a b C a b c", "x  y\n z w", "one two three four five six"]
+    for t, got in zip(texts, T.hash_shingles(texts, 3, unit)):
+        if t is None:
+            assert got is None
+            continue
+        items = re.findall(r"\w+", t.lower()) if unit == "word" else list(re.sub(r"\s+", " ", t).strip())
+        assert len(got) == len({tuple(items[k : k + 3]) for k in range(len(items) - 2)})
