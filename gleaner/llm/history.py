@@ -1,18 +1,22 @@
 """Problem 5: duplicates of new batches against everything accepted so far, without reprocessing the history.
 
-The history is an append-only index: per accepted signature its distances to PIVOTS fixed pivots, a sketch, and one row
-per key under which it can be found. Two signatures of WIDTH numbers that differ in at most RADIUS positions are equal on
-one of RADIUS + 1 blocks of positions, so these blocks are the keys, and none of the partners is missed.
+The history is an index in a folder that is opened by its path and only ever appended to: per accepted sample its hash and
+signature (rows), and one narrow row per key under which it can be found (keys), with its distances to PIVOTS fixed pivots
+and a sketch. Two signatures of WIDTH numbers that differ in at most RADIUS positions are equal on one of RADIUS + 1 blocks
+of positions, so these blocks are the keys, and none of the partners is missed.
 
-The position-wise difference is a metric: a partner x of y has |d(x, p) - d(y, p)| <= RADIUS for every pivot p. The band
-of the first pivot distance is part of the join key (ranges RADIUS + 1 wide, a new row looks into three), the other
-stored distances and the sketch (one bit of each number, whose difference never exceeds the true one) prune key
-partners, and what is left is verified on the signatures. Pivots alone prune too little here: see the README.
+The position-wise difference is a metric: a partner x of y has |d(x, p) - d(y, p)| <= RADIUS for every pivot p. Stored
+distances and the sketch (one bit of each number, whose difference never exceeds the true one) prune key partners inside
+the join, and what is left is verified on the signatures. Pivots alone prune too little here: see the README.
 
-A new row is checked against one leader per key first, which settles hot groups of near-copies in linear work, then, if
-still open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a
-row that is the earliest under all its keys is accepted and rows close to a newly accepted one are cases; then the
-verified pairs of the small keys are resolved, earliest first. Equal hashes are keys of their own.
+What is computed for a batch (parsing, keys, distances, sketches) is computed for its rows only. The keys of a batch of up
+to BROADCAST key rows are broadcast to the stored keys, which then are neither shuffled nor split by key, so a hot key is
+no hot task; a larger batch is joined by shuffle in slices of keys, hot keys of the history salted.
+
+A new row is checked against one leader per key first, which settles groups of near-copies in linear work, then, if still
+open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a row
+that is the earliest under all its keys is accepted and rows close to a newly accepted one are cases; then the verified
+pairs of the small keys are resolved, earliest first. Equal hashes are keys of their own.
 
 Signatures that are null, unreadable or of another length only take part by hash; rows without sample_id or batch_no take
 no part; a sample_id counts once, with its earliest (batch_no, pos).
@@ -20,9 +24,12 @@ no part; a sample_id counts once, with its earliest (batch_no, pos).
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +38,36 @@ from gleaner.session import ensure_checkpoint_dir
 
 WIDTH, AGREE = 128, 102
 RADIUS = WIDTH - AGREE
-#: Fixed pivots, taken from the earliest distinct signatures of batch 0.
+#: Fixed pivots, taken from the earliest distinct signatures of batch 0. Their distances share one integer, a byte each.
 PIVOTS = 6
 #: Open rows under one key of a batch up to which all its pairs are compared; beyond, its leader decides first.
 GROUP = 512
+#: Key rows of a batch, or candidate pairs, up to which they are broadcast (about 60 bytes each).
+BROADCAST = 1_000_000
+#: Stored rows of one key from which it is hot, and parts into which it is split where keys are shuffled.
+HOT, SALTS = 50_000, 32
+_EDGES = [i * WIDTH // (RADIUS + 1) for i in range(RADIUS + 2)]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+TABLES = {"rows": "old_id string, hash string, sig array<bigint>", "keys": "key bigint, old_id string, near bigint, b0 bigint, b1 bigint", "leaders": "key bigint, old_id string, near bigint, b0 bigint, b1 bigint"}
+
+
+def parsed(text: str | None) -> np.ndarray | None:
+    """A JSON list of WIDTH unsigned 64-bit numbers as signed ones of the same order; None for anything else."""
+    try:
+        numbers = json.loads(text) if text else None
+        if not isinstance(numbers, list) or len(numbers) != WIDTH or any(type(x) is not int for x in numbers):
+            return None
+        return (np.array(numbers, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    except (ValueError, OverflowError):
+        return None
 
 
 def parse_signature(sig: Column) -> Column:
-    """JSON list of unsigned 64-bit numbers to array<bigint> of the same order; null unless it has WIDTH numbers."""
-    parts = F.split(F.regexp_replace(sig, r"[\[\]\s]", ""), ",")
-    whole = sig.rlike(r"^\s*\[\s*\d+(\s*,\s*\d+)*\s*\]\s*$") & (F.size(parts) == WIDTH)
-    shift = F.expr("cast(9223372036854775808 as decimal(20,0))")
-    return F.when(whole, F.transform(parts, lambda x: (x.cast("decimal(20,0)") - shift).cast("bigint")))
+    @F.pandas_udf("array<bigint>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return pd.Series([parsed(t) for t in texts], dtype=object)
+
+    return parse(sig)
 
 
 def arrivals(spark: SparkSession, root: str) -> DataFrame:
@@ -56,129 +81,199 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
     return merged.select("sample_id", F.col("at.batch_no").alias("batch_no"), F.col("at.pos").alias("pos"), "hash", "sig")
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Differing positions of two signatures, inside generated code; null if one is null."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, d: n + d)
+def _mixed(columns: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of every row of unsigned numbers."""
+    h = np.full(len(columns), 0x632BE59BD9B4E019, dtype=np.uint64)
+    for k in range(columns.shape[1]):
+        h = (h ^ columns[:, k]) * _MIX
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def index_of(sigs: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a matrix of signatures: block keys, packed distances to the pivots, and the two halves of the sketch."""
+    m = np.ascontiguousarray(sigs).view(np.uint64)
+    keys = np.stack([_mixed(np.concatenate([np.full((len(m), 1), i, np.uint64), m[:, a:b]], axis=1)) for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))], axis=1)
+    near = np.zeros(len(m), dtype=np.int64)
+    for k, p in enumerate(pivots):
+        near |= (sigs != p).sum(1).astype(np.int64) << (8 * k)
+    bits = ((m * _MIX) >> np.uint64(63)).astype(np.uint64)
+    half = [(bits[:, a : a + 64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64) for a in (0, 64)]
+    return keys.view(np.int64), near, half[0], half[1]
+
+
+def _indexed(pivots: list[list[int]]):
+    p = np.array(pivots, dtype=np.int64).reshape(-1, WIDTH)
 
+    @F.pandas_udf("struct<keys:array<bigint>,near:bigint,b0:bigint,b1:bigint>")
+    def index(sigs: pd.Series) -> pd.DataFrame:
+        has = sigs.notna().to_numpy()
+        out = pd.DataFrame({"keys": [[] for _ in sigs], "near": None, "b0": None, "b1": None}, dtype=object)
+        if has.any():
+            keys, near, b0, b1 = index_of(np.stack(sigs[has].to_numpy()).astype(np.int64), p)
+            out.loc[has, "keys"] = pd.Series(list(keys), index=out.index[has], dtype=object)
+            for name, x in (("near", near), ("b0", b0), ("b1", b1)):
+                out.loc[has, name] = x
+        return out.astype({"near": "Int64", "b0": "Int64", "b1": "Int64"})
 
-def block_keys(sig: Column) -> Column:
-    """Keys of the RADIUS + 1 blocks of positions of a signature."""
-    edges = [i * WIDTH // (RADIUS + 1) for i in range(RADIUS + 2)]
-    blocks = [F.struct(F.xxhash64(F.lit(i), F.slice(sig, a + 1, b - a)).alias("key"), F.lit(False).alias("by_hash")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.array(*blocks)
+    return index
 
 
-def sketch(sig: Column) -> Column:
-    """One bit of every number, as bigints of 64 bits."""
-    bits = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit(1).cast("bigint"))))
-    return F.array(*[bits(F.slice(sig, a + 1, 64)) for a in range(0, WIDTH, 64)])
+def distance(a: Column, b: Column) -> Column:
+    """Differing positions of two signatures; WIDTH + 1 if one is null."""
+
+    @F.pandas_udf("int")
+    def differing(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.full(len(x), WIDTH + 1, dtype=np.int32)
+        both = (x.notna() & y.notna()).to_numpy()
+        if both.any():
+            out[both] = (np.stack(x[both].to_numpy()) != np.stack(y[both].to_numpy())).sum(1)
+        return pd.Series(out)
 
+    return differing(a, b)
 
-def _as_old(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of a batch in the form of the index: keys and signatures."""
-    names = {"sample_id": "old_id", "hash": "old_hash", "near": "old_near", "bits": "old_bits", "at": "old_at"}
-    keys = rows.select(*[F.col(c).alias(old) for c, old in names.items() if c in rows.columns], F.inline("keys"))
-    return keys, rows.select(F.col("sample_id").alias("old_id"), F.col("sig").alias("old_sig"))
+
+def _close():
+    """Whether distances to the pivots and the sketches allow a pair of rows n and o to be close; true without them."""
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255).cast("bigint"))
+    inside = [F.abs(byte("n.near", k) - byte("o.near", k)) <= RADIUS for k in range(PIVOTS)]
+    differing = sum((F.bit_count(F.col(f"n.{b}").bitwiseXOR(F.col(f"o.{b}"))) for b in ("b0", "b1")), F.lit(0))
+    return F.coalesce(reduce(lambda x, y: x & y, inside, differing <= RADIUS), F.lit(True))
 
 
 class History:
-    """Accepted samples as an index. Its tables (keys, leaders, signatures) lie in the shared checkpoint folder and are
-    only ever appended to."""
+    """Accepted samples as an index below a folder that all executors share. open() an old one, create() a new one."""
+
+    def __init__(self, spark: SparkSession, folder: str, pivots: list[list[int]], batches: int):
+        self.spark, self.folder, self.pivots, self.batches = spark, folder.rstrip("/"), pivots, batches
 
-    def __init__(self, batch: DataFrame):
-        """batch: rows of batch 0 (sample_id, batch_no, pos, hash, sig), all of them accepted."""
+    @classmethod
+    def create(cls, batch: DataFrame, folder: str) -> History:
+        """A history that begins with batch (sample_id, batch_no, pos, hash, sig), all of it accepted."""
         usable = batch.filter("sig is not null")
-        self.pivots = [list(r.sig) for r in usable.groupBy("sig").agg(F.min(F.struct("batch_no", "pos")).alias("at")).orderBy("at", "sig").limit(PIVOTS).collect()]
-        self.spark = batch.sparkSession
-        ensure_checkpoint_dir(self.spark)
-        self.folder, self.batches = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/history-{uuid.uuid4().hex}", 0
-        self._append(self._keyed(batch))
+        first = usable.orderBy("batch_no", "pos", "sample_id").limit(64 * PIVOTS).groupBy("sig").agg(F.min(F.struct("batch_no", "pos", "sample_id")).alias("at"))
+        pivots = [list(r.sig) for r in first.orderBy("at").limit(PIVOTS).collect()]
+        spark = batch.sparkSession
+        spark.createDataFrame(list(enumerate(pivots)), "k int, sig array<bigint>").coalesce(1).write.parquet(f"{folder.rstrip('/')}/pivots")
+        out = cls(spark, folder, pivots, 0)
+        rows = out._keyed(batch)
+        # Of rows alike in hash and signature the earliest stands for all.
+        alike = rows.groupBy("hash", F.xxhash64("sig").alias("s"), "near", "b0", "b1").agg(F.min(F.struct("pos", "sample_id")).alias("first"))
+        out._append(rows.join(alike.select(F.col("first.sample_id").alias("sample_id")), "sample_id", "left_semi"))
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> History:
+        """The history that an earlier session left in folder."""
+        pivots = [list(r.sig) for r in spark.read.parquet(f"{folder.rstrip('/')}/pivots").orderBy("k").collect()]
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/leaders/batch=*/_SUCCESS")
+        done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in (done or [])]
+        return cls(spark, folder, pivots, max(numbers, default=-1) + 1)
+
+    def table(self, name: str) -> DataFrame:
+        """One table of the index, without batches whose writing was broken off: leaders are written last."""
+        paths = [f"{self.folder}/{name}/batch={b}" for b in range(self.batches)]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
 
     def _keyed(self, batch: DataFrame) -> DataFrame:
-        """Rows of the batch with their keys, distances to the pivots (near) and sketch (bits)."""
-        # Each pivot is one foldable expression, not WIDTH literals.
-        near = F.array(*[distance(F.col("sig"), F.split(F.lit(",".join(map(str, p))), ",").cast("array<bigint>")) for p in self.pivots]).cast("array<int>")
-        by_hash = F.struct(F.xxhash64(F.lit("hash"), F.col("hash")).alias("key"), F.lit(True).alias("by_hash"))
-        by_hash = F.array_compact(F.array(F.when(F.col("hash").isNotNull(), by_hash)))
-        usable = F.col("sig").isNotNull()
-        rows = batch.withColumn("near", F.when(usable, near)).withColumn("bits", F.when(usable, sketch(F.col("sig"))))
-        return cut(rows.withColumn("keys", F.when(usable, F.concat(by_hash, block_keys(F.col("sig")))).otherwise(by_hash)))
+        """Rows of the batch with keys (the last one is that of the hash), packed distances (near) and sketch (b0, b1)."""
+        rows = batch.withColumn("i", _indexed(self.pivots)("sig"))
+        by_hash = F.array_compact(F.array(F.when(F.col("hash").isNotNull(), F.xxhash64(F.lit("hash"), F.col("hash")))))
+        return cut(rows.select("sample_id", "pos", "hash", "sig", F.concat("i.keys", by_hash).alias("keys"), F.col("hash").isNotNull().alias("hashed"), "i.near", "i.b0", "i.b1"))
+
+    @staticmethod
+    def _exploded(rows: DataFrame, name: str = "sample_id", *more: str) -> DataFrame:
+        """One row per key; the key of the hash has no distances and no sketch, so it is never pruned."""
+        cells = rows.select(F.col("sample_id").alias(name), *more, "near", "b0", "b1", "hashed", F.size("keys").alias("n"), F.posexplode("keys").alias("k", "key"))
+        own = lambda c: F.when(~(F.col("hashed") & (F.col("k") == F.col("n") - 1)), F.col(c)).alias(c)
+        return cells.select("key", name, *more, own("near"), own("b0"), own("b1"))
 
     def _append(self, accepted: DataFrame) -> None:
-        """Add accepted rows of one batch. Of rows alike in hash and signature the earliest stands for all."""
-        alike = accepted.groupBy("hash", "sig").agg(F.min_by(F.struct("sample_id", "near", "bits", "keys"), F.struct("batch_no", "pos", "sample_id")).alias("r"))
-        rows = cut(alike.select("r.*", "hash", "sig"))
-        keyed = rows.select(F.inline("keys"), F.col("sample_id").alias("old_id"), F.col("hash").alias("old_hash"), F.col("near").alias("old_near"), F.col("bits").alias("old_bits"))
-        lead = keyed.groupBy("key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "key"]), "old_id").alias("l")).select("key", "l.*")
-        sigs = rows.filter("sig is not null").select(F.col("sample_id").alias("old_id"), F.col("sig").alias("old_sig"))
-        # One folder per batch below each table: a read is one scan however many batches there are.
-        for name, part in (("keys", keyed), ("leaders", lead), ("signatures", sigs)):
-            part.write.parquet(f"{self.folder}/{name}/batch={self.batches}")
-            setattr(self, name, self.spark.read.schema(part.schema).parquet(f"{self.folder}/{name}"))
+        """Add accepted rows as one batch: keys in ranges and sorted, leaders (one row per key) last."""
+        keyed = self._exploded(accepted, "old_id").select("key", "old_id", "near", "b0", "b1")
+        lead = keyed.groupBy("key").agg(F.min_by(F.struct("old_id", "near", "b0", "b1"), "old_id").alias("l")).select("key", "l.*")
+        at = f"batch={self.batches}"
+        accepted.select(F.col("sample_id").alias("old_id"), "hash", "sig").write.mode("overwrite").parquet(f"{self.folder}/rows/{at}")
+        keyed.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.folder}/keys/{at}")
+        lead.write.mode("overwrite").parquet(f"{self.folder}/leaders/{at}")
         self.batches += 1
 
-    def _pairs(self, new: DataFrame, old: DataFrame, signatures: DataFrame, banded: bool = False) -> DataFrame:
-        """(sample_id, old_id) of new rows and their partners in old: equal hashes, or signatures within RADIUS."""
-        n = new.select("sample_id", "hash", "near", "bits", *(c for c in new.columns if c == "at"), F.inline("keys"))
-        o, on = old.withColumnRenamed("by_hash", "old_by_hash"), ["key"]
-        if banded and self.pivots:
-            band = lambda c: F.floor(F.col(c)[0] / (RADIUS + 1))
-            n = n.withColumn("band", F.explode(F.when(F.col("by_hash"), F.array(F.lit(-9))).otherwise(F.array(*[band("near") + i for i in (-1, 0, 1)]))))
-            o = o.withColumn("band", F.when(F.col("old_by_hash"), F.lit(-9)).otherwise(band("old_near")))
-            on = ["key", "band"]
+    def _met(self, new: DataFrame, old: DataFrame, key_rows: int, ordered: bool = False) -> DataFrame:
+        """Distinct (sample_id, old_id) that share a key and may be close; ordered: old ones that are earlier."""
+        may = _close()
+        if ordered:
+            may = (F.struct("o.pos", "o.old_id") < F.struct("n.pos", "n.sample_id")) & may
+        if key_rows <= BROADCAST:
+            joined = old.alias("o").join(F.broadcast(new.alias("n")), (F.col("n.key") == F.col("o.key")) & may)
+        else:
+            hot = old.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(SALTS).alias("parts"))
+            part = F.pmod(F.xxhash64("old_id"), F.lit(SALTS)).cast("int")
+            o = old.join(F.broadcast(hot), "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), part).otherwise(0))
+            n = new.join(F.broadcast(hot), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+            joined = o.alias("o").join(n.alias("n"), (F.col("n.key") == F.col("o.key")) & (F.col("n.part") == F.col("o.part")) & may)
+        return joined.select("n.sample_id", "o.old_id").distinct()
+
+    @staticmethod
+    def _verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+        """The pairs (written) with equal hashes, or signatures within RADIUS. Only rows that are in pairs are fetched."""
+        few = pairs.count() <= BROADCAST
+        only = lambda rows, name: rows.join(F.broadcast(p) if few else p, name, "left_semi") if (p := pairs.select(name).distinct()) is not None else rows
+        a = only(new.select("sample_id", "hash", "sig"), "sample_id")
+        b = only(old, "old_id").withColumnsRenamed({"hash": "old_hash", "sig": "old_sig"})
+        near = F.broadcast(pairs) if few else pairs
+        joined = a.join(near, "sample_id").join(b, "old_id")
         same = F.coalesce(F.col("hash") == F.col("old_hash"), F.lit(False))
-        differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("old_bits")[i])) for i in range(WIDTH // 64)), F.lit(0))
-        inside = [F.abs(F.col("near")[i] - F.col("old_near")[i]) <= RADIUS for i in range(len(self.pivots))]
-        maybe = reduce(Column.__and__, inside, differing <= RADIUS)
-        joined = n.join(o, on)
-        if "at" in joined.columns:
-            joined = joined.filter(F.col("old_at") < F.col("at"))
-        pairs = joined.withColumn("same", same).filter(F.col("same") | F.coalesce(maybe, F.lit(False)))
-        pairs = pairs.groupBy("sample_id", "old_id").agg(F.max("same").alias("same"))
-        pairs = pairs.join(new.select("sample_id", "sig"), "sample_id").join(signatures, "old_id", "left")
-        return pairs.filter(F.col("same") | (distance(F.col("sig"), F.col("old_sig")) <= RADIUS)).select("sample_id", "old_id")
-
-    def _settle(self, still: DataFrame) -> DataFrame:
-        """The accepted among open rows of one batch that are close to nothing in the history."""
-        order = F.struct("batch_no", "pos", "sample_id")
-        accepted = []
+        return joined.filter(same | (distance(F.col("sig"), F.col("old_sig")) <= RADIUS)).select("sample_id", "old_id")
+
+    def _hits(self, rows: DataFrame, against: str, count: int) -> DataFrame:
+        """Ids of rows that are close to one of a stored table of keys."""
+        pairs = cut(self._met(self._exploded(rows), self.table(against), count * (RADIUS + 2)))
+        return self._verified(pairs, rows, self.table("rows")).select("sample_id").distinct()
+
+    def _settle(self, still: DataFrame, count: int) -> DataFrame:
+        """Ids of the accepted among open rows of one batch that are close to nothing in the history."""
+        old = lambda df: df.select(F.col("sample_id").alias("old_id"), "hash", "sig")
+        accepted, rows, open_ = [], still, still.select("sample_id")
         # Hot keys: leaders only, so that no key ever pairs all its rows.
-        while (largest := still.select(F.inline("keys")).groupBy("key").count().agg(F.max("count")).first()[0]) is not None and largest > GROUP:
-            exploded = still.select("sample_id", order.alias("at"), F.inline("keys")).drop("by_hash")
-            first = exploded.groupBy("key").agg(F.min("at").alias("first"))
-            behind = exploded.join(first, "key").filter(F.col("at") != F.col("first")).groupBy("sample_id").agg(F.count("*").alias("behind"))
+        while (largest := rows.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]) is not None and largest > GROUP:
+            cells = rows.select("sample_id", F.struct("pos", "sample_id").alias("at"), F.explode("keys").alias("key"))
+            first = cells.groupBy("key").agg(F.min("at").alias("first"))
+            behind = cells.join(first, "key").filter(F.col("at") != F.col("first")).select("sample_id").distinct()
             # Accepted now: the earliest open row under every key of its own. The earliest row of all is one of them.
-            marked = cut(still.join(behind, "sample_id", "left"))
-            now = marked.filter("behind is null").drop("behind")
-            rest = marked.filter("behind is not null").drop("behind")
-            accepted.append(now)
-            still = cut(rest.join(self._pairs(rest, *_as_old(now)), "sample_id", "left_anti"))
+            now = cut(rows.join(behind, "sample_id", "left_anti"))
+            accepted.append(now.select("sample_id"))
+            rest = cut(rows.join(behind, "sample_id", "left_semi"))
+            met = cut(self._met(self._exploded(rest), self._exploded(now, "old_id"), count * (RADIUS + 2)))
+            rows = cut(rest.join(self._verified(met, rest, old(now)).select("sample_id").distinct(), "sample_id", "left_anti"))
+            open_ = rows.select("sample_id")
         # Small keys: all verified pairs, then the earliest first.
-        timed = still.withColumn("at", order)
-        pairs = cut(self._pairs(timed, *_as_old(timed)))
+        pairs = cut(self._verified(cut(self._met(self._exploded(rows, "sample_id", "pos"), self._exploded(rows, "old_id", "pos"), count * (RADIUS + 2), True)), rows, old(rows)))
         while not pairs.isEmpty():
-            now = cut(still.join(pairs, "sample_id", "left_anti"))
+            now = cut(open_.join(pairs.select("sample_id"), "sample_id", "left_anti"))
             accepted.append(now)
             gone = pairs.join(now.select(F.col("sample_id").alias("old_id")), "old_id", "left_semi")
-            still = cut(still.join(pairs, "sample_id", "left_semi").join(gone, "sample_id", "left_anti"))
-            ids = still.select("sample_id")
-            pairs = cut(pairs.join(ids, "sample_id", "left_semi").join(ids.withColumnRenamed("sample_id", "old_id"), "old_id", "left_semi"))
-        return reduce(DataFrame.unionByName, accepted, still)
+            open_ = cut(open_.join(pairs.select("sample_id"), "sample_id", "left_semi").join(gone.select("sample_id"), "sample_id", "left_anti"))
+            pairs = cut(pairs.join(open_, "sample_id", "left_semi").join(open_.withColumnRenamed("sample_id", "old_id"), "old_id", "left_semi"))
+        return reduce(DataFrame.unionByName, accepted, open_)
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Settle one batch: its cases (sample_id) are returned, the rest is accepted and appended."""
         rows = self._keyed(batch)
-        left = cut(rows.join(self._pairs(rows, self.leaders, self.signatures), "sample_id", "left_anti"))
-        still = cut(left.join(self._pairs(left, self.keys, self.signatures, banded=True), "sample_id", "left_anti"))
-        kept = self._settle(still)
-        self._append(kept)
-        return rows.join(kept.select("sample_id"), "sample_id", "left_anti").select("sample_id")
+        count = rows.count()
+        left = cut(rows.join(self._hits(rows, "leaders", count), "sample_id", "left_anti"))
+        still = cut(left.join(self._hits(left, "keys", count), "sample_id", "left_anti"))
+        kept = cut(self._settle(still, count))
+        self._append(still.join(kept, "sample_id", "left_semi"))
+        return cut(rows.select("sample_id").join(kept, "sample_id", "left_anti"))
 
 
 def found(spark: SparkSession, root: str) -> DataFrame:
     """p5_found: sample_id of the cases of batches 1 and later, batch after batch."""
     rows = cut(arrivals(spark, root))
-    history = History(rows.filter("batch_no = 0"))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/history-{uuid.uuid4().hex}"
+    history = History.create(rows.filter("batch_no = 0"), folder)
     batches = [r.batch_no for r in rows.filter("batch_no > 0").select("batch_no").distinct().orderBy("batch_no").collect()]
     out = [history.append(rows.filter(F.col("batch_no") == b)) for b in batches]
     none = rows.filter("false").select("sample_id")

@@ -130,9 +130,12 @@ def test_letters_after_a_rule_count():
 
 
 # Problem 5 -------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("group", [2, 512])
-def test_history_equals_sequential(spark, group, monkeypatch):
+@pytest.mark.parametrize("group, broadcast, hot", [(2, 1_000_000, 50_000), (512, 1_000_000, 50_000), (512, 0, 3)])
+def test_history_equals_sequential(spark, tmp_path, group, broadcast, hot, monkeypatch):
+    """Also when the history is opened again for every batch, and by shuffled keys of which some are hot."""
     monkeypatch.setattr(history, "GROUP", group)
+    monkeypatch.setattr(history, "BROADCAST", broadcast)
+    monkeypatch.setattr(history, "HOT", hot)
     r = np.random.default_rng(1)
     bases = r.integers(0, 50, (8, 128))
     rows = []
@@ -142,8 +145,8 @@ def test_history_equals_sequential(spark, group, monkeypatch):
         sig[at] = r.integers(0, 50, len(at))
         rows.append((f"s{i:03}", int(i // 30), i, f"h{r.integers(0, 70)}", None if i % 17 == 0 else sig.tolist()))
     df = spark.createDataFrame(rows, "sample_id string, batch_no int, pos long, hash string, sig array<bigint>")
-    index = history.History(df.filter("batch_no = 0"))
-    got = {x.sample_id for b in (1, 2) for x in index.append(df.filter(F.col("batch_no") == b)).collect()}
+    history.History.create(df.filter("batch_no = 0"), str(tmp_path / "h"))
+    got = {x.sample_id for b in (1, 2) for x in history.History.open(spark, str(tmp_path / "h")).append(df.filter(F.col("batch_no") == b)).collect()}
     hashes, sigs, want = set(), [], set()
     for i, b, _, h, s in rows:
         hit = b > 0 and (h in hashes or (s is not None and any(sum(x == y for x, y in zip(s, t)) >= 102 for t in sigs)))
@@ -162,6 +165,16 @@ def test_signature_spellings(spark):
     assert got[0].v == got[1].v and len(got[0].v) == 128 and all(x.v is None for x in got[2:])
 
 
+def test_history_of_odd_batches(spark, tmp_path):
+    schema = "sample_id string, batch_no int, pos long, hash string, sig array<bigint>"
+    index = history.History.create(spark.createDataFrame([], schema), str(tmp_path / "h"))
+    sig = list(range(128))
+    one = spark.createDataFrame([("a", 1, 0, None, sig), ("b", 1, 1, None, None), ("c", 1, 2, "h", None), ("d", 1, 3, "h", sig)], schema)
+    assert {r.sample_id for r in index.append(one).collect()} == {"d"}
+    assert index.append(spark.createDataFrame([], schema)).count() == 0
+    assert {r.sample_id for r in index.append(one.withColumn("sample_id", F.concat("sample_id", F.lit("2")))).collect()} == {"a2", "c2", "d2"}
+
+
 # Problem 6 -------------------------------------------------------------------------------------------------------
 def test_repetition():
     one = "the small river carries a green boat to the old town before noon."
