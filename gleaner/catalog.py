@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.functions.chunking import semantic_chunks, structure_chunks
+from gleaner import catalog_flows
+from gleaner.functions.chunking import semantic_chunks
 from gleaner.functions.replies import extract_json, validate_trajectory
 from gleaner.operators import judge, render, report, stages
 from gleaner.operators.model import core_text, document_samples, message_samples, validated
-from gleaner.operators.state import State, latest
-from gleaner.plans import generate, planners
-from gleaner.session import table
+from gleaner.operators.state import latest
+from gleaner.plans import planners
+from gleaner.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,21 +107,77 @@ def stats_features(spark, root):
     return df.select("id", *[F.round(found[k], 6).alias(k) for k in ("special_char_ratio", "word_repetition", "ngram_diversity")])
 
 
-@query()
+
+_RUNS = """, ch as (select id, unnest(range(1, length(core) + 1)) i, core from s), cc as (select id, i, substr(core, i, 1) c from ch),
+ cr as (select id, c, i - row_number() over (partition by id, c order by i) g from cc), rl as (select id, max(n) run from (select id, c, g, count(*) n from cr group by all) group by id),
+"""
+_GATE = """ st as (select f.id, f.special_char_ratio sp, coalesce(rl.run, 0) * 1.0 / greatest(f.size, 1) ru, f.word_repetition wo, f.ngram_diversity di from f left join rl using (id)),
+ gt as (select id, case when sp > 0.3 then 'special_char_ratio' when ru > 0.5 then 'char_repetition' when wo > 0.5 then 'word_repetition' when di < 0.2 then 'ngram_diversity' end code,
+  round(case when sp > 0.3 then sp when ru > 0.5 then ru when wo > 0.5 then wo when di < 0.2 then di end, 4) v from st)
+"""
+#: The statistics unrounded, for the gates; an empty text has no special characters.
+_FEATURES = f""" fw as (select id, core, regexp_extract_all(core, '([\\p{{L}}\\p{{N}}_]+)', 1) words, list_distinct(list_transform(range(1, greatest(length(core) - 1, 1)), lambda i: substr(core, i, 3))) grams from s),
+ f as (select id, length(core) size, length(regexp_replace(core, '{_CLASS}', '', 'g')) / length(core) special_char_ratio,
+  case when len(words) = 0 then 0.0 else 1 - (select count(*) from (select x from (select unnest(words) x) group by x having count(*) = 1)) * 1.0 / len(words) end word_repetition,
+  case when length(core) < 3 then 1.0 else len(grams) * 1.0 / (length(core) - 2) end ngram_diversity from fw),
+"""
+
+
+@query(_DOC + _RUNS + _FEATURES + _GATE + "select id, code drop_code, v drop_value from gt")
 def stats_gate(spark, root):
-    """Rows only: the longest run has no plain SQL form; tests compare it with a loop."""
+    """The longest run by islands of equal characters in SQL."""
     return stages.stats_gate()(document_samples(spark, root)).select("id", "drop_code", "drop_value")
 
 
+def _first_wins_sql(nodes: str, pairs: str, rounds: int = 12) -> str:
+    """CTEs that keep the earliest: kept(n), from tables nodes(n) and pairs(a earlier, b) of close ones. Round after round a
+    node is kept if all its earlier neighbours are dropped, and dropped if one is kept; what is open after the last round
+    is in neither, so too few rounds would show."""
+    out = [f"k0 as (select n from {nodes} where n not in (select b from {pairs}))", "d0 as (select n from k0 where false)"]
+    for i in range(1, rounds + 1):
+        out.append(f"d{i} as (select n from d{i - 1} union select b from {pairs} where a in (select n from k{i - 1}))")
+        out.append(f"k{i} as (select n from k{i - 1} union select n from {nodes} where n not in (select n from d{i}) and n not in (select b from {pairs} where a not in (select n from d{i})))")
+    return ", ".join([*out, f"kept as (select n from k{rounds}), gone as (select n from d{rounds})"])
+
+
+#: Word shingles of the rows of table o(id, pos, core), the earliest of each set standing for all, and the close ones.
+_NEAR = r""" mw as (select id, pos, regexp_extract_all(lower(core), '([\p{L}\p{N}_]+)', 1) w from o),
+ mg as (select id, pos, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], chr(31))))) g from mw),
+ ml as (select id, pos, g, first_value(id) over (partition by g order by pos, id) lead from mg), nodes as (select pos n, id, len(g) size, g from ml where id = lead),
+ sh as (select n, size, unnest(g) x from nodes), pairs as (select a.n a, b.n b from sh a join sh b on a.x = b.x and a.n < b.n group by a.n, b.n, a.size, b.size having count(*) >= 0.8 * (a.size + b.size - count(*))),
+"""
+_NEAR_MARKS = """, mby as (select l.id, coalesce(arg_min(k.id, p.a), case when l.id <> l.lead then l.lead end) by_ from ml l join nodes m on m.id = l.lead left join pairs p on p.b = m.n and p.a in (select n from kept) left join nodes k on k.n = p.a group by l.id, l.lead)
+"""
+
+
+@query(_DOC + ", o as (select id, pos, core from s)," + _NEAR + _first_wins_sql("nodes", "pairs") + _NEAR_MARKS + "select s.id, case when mby.by_ is not null then 'near_dup' end drop_code, mby.by_ drop_by from s left join mby on mby.id = s.id")
+def minhash_dedup(spark, root):
+    """All pairs of shingle sets in SQL by an inverted index, and the earliest kept."""
+    return stages.minhash_dedup()(document_samples(spark, root)).select("id", "drop_code", "drop_by")
+
+
+@query("with nodes as (select vec_id n from embeddings), pairs as (select a.vec_id a, b.vec_id b from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.4), "
+       + _first_wins_sql("nodes", "pairs") + " select n id, n in (select n from kept) kept, (select min(a) from pairs where b = nodes.n and a in (select n from kept)) \"by\" from nodes")
+def semantic_dedup_040(spark, root):
+    return stages.semantic_kept(_vectors(spark, root), 0.40)
+
+
+@query(_DOC + """, g as (select *, case when length(instruction) not between 5 and 4000 then 'instruction_len' when length(output) not between 200 and 8000 then 'output_len' end a from s),
+h as (select *, case when a is null then row_number() over (partition by a is null, sha256(core) order by pos, id) end rn, first_value(id) over (partition by a is null, sha256(core) order by pos, id) lead from g)""" + _RUNS + _FEATURES + _GATE
+       + """, o as (select h.id, h.pos, h.core from h join gt on gt.id = h.id where h.a is null and h.rn = 1 and gt.code is null),""" + _NEAR + _first_wins_sql("nodes", "pairs") + _NEAR_MARKS
+       + """select h.id, case when a is not null then 'length' when rn > 1 then 'exact_dedup' when gt.code is not null then 'stats' when mby.by_ is not null then 'minhash_dedup' end drop_stage,
+  case when a is not null then a when rn > 1 then 'duplicate' when gt.code is not null then gt.code when mby.by_ is not null then 'near_dup' end drop_code,
+  case when a is not null then null when rn > 1 then lead when gt.code is not null then null else mby.by_ end drop_by from h join gt on gt.id = h.id left join mby on mby.id = h.id""")
+def full_clean_flow(spark, root):
+    flow = stages.pipeline(stages.length_gate(output=(200, 8000)), stages.exact_dedup(), stages.stats_gate(), stages.minhash_dedup())
+    return flow(document_samples(spark, root)).select("id", "drop_stage", "drop_code", "drop_by")
+
+
 @query(r"select doc_id, regexp_replace(regexp_replace(text, '[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}\p{Cf}]', '', 'g'), '^" + _SPACE + "+|" + _SPACE + r"+$', '', 'g') normalized from documents")
 def normalize_text(spark, root):
     return table(spark, root, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
 
 
-@query("select doc_id, text content, source origin from documents")
-def field_map_rename(spark, root):
-    return table(spark, root, "documents").select("doc_id", "text", "source").withColumnsRenamed({"text": "content", "source": "origin"})
-
 
 @query(_MSG + """select id, cast(generate_subscripts(messages, 1) - 1 as integer) turn, unnest(list_transform(messages, lambda x: case x.role when 'user' then 'human' when 'assistant' then 'gpt' when 'system' then 'system' else 'user' end)) speaker,
   unnest(list_transform(messages, lambda x: coalesce(x.content, ''))) value from m""")
@@ -160,11 +216,6 @@ def render_chatml(spark, root):
     return render.chatml(_flat(spark, root), thinking=True).select("metadata.id", F.explode("messages").alias("m")).select("id", "m.role", "m.content")
 
 
-@query()
-def minhash_dedup(spark, root):
-    """Rows only: signatures are not expressible in SQL; tests compare with a sequential run."""
-    return stages.minhash_dedup()(document_samples(spark, root)).select("id", "drop_code", "drop_by")
-
 
 def _vectors(spark, root):
     return table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), F.col("embedding").alias("vec"))
@@ -175,10 +226,6 @@ def semantic_pairs_040(spark, root):
     return stages.cosine_pairs(_vectors(spark, root), 0.40).withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
-def semantic_dedup_040(spark, root):
-    return stages.semantic_kept(_vectors(spark, root), 0.40)
-
 
 def _plane_sql() -> str:
     # The same normals as numbers; rounding of sums does not reach signs in these tables.
@@ -246,7 +293,7 @@ def local_scorer_fill(spark, root):
     return _gated(spark, root, local=local).select("id", F.round("total", 6).alias("total"))
 
 
-@query("""with t as (select case when total_score >= 20 then 20 when total_score >= 15 then 15 when total_score >= 10 then 10 when total_score >= 5 then 5 else 0 end bucket, total_score from samples where total_score > 0 and not isnan(total_score))
+@query("""with t as (select case when total_score >= 20 then 20 when total_score >= 15 then 15 when total_score >= 10 then 10 when total_score >= 5 then 5 else 0 end bucket, total_score from samples where total_score > 0 and cast(total_score as varchar) <> 'nan')
 select cast(bucket as integer) bucket, count(*) n, round(avg(total_score), 1) mean from t group by 1""")
 def score_distribution(spark, root):
     return report.score_distribution(table(spark, root, "samples"), "total_score")
@@ -272,11 +319,6 @@ def run_summary(spark, root):
     return report.summary(_cleaned(spark, root))
 
 
-@query()
-def full_clean_flow(spark, root):
-    flow = stages.pipeline(stages.length_gate(output=(200, 8000)), stages.exact_dedup(), stages.stats_gate(), stages.minhash_dedup())
-    return flow(document_samples(spark, root)).select("id", "drop_stage", "drop_code", "drop_by")
-
 
 _TOPICS, _LEVELS, _STYLES = ["physics", "history", "music", "law", "cooking"], ["easy", "medium", "hard"], ["short", "long"]
 
@@ -305,11 +347,6 @@ def allocate(spark, root):
 _SEEDS = [{"id": f"s{i}", "instruction": f"question {i}", "output": f"answer {i}"} for i in range(5)]
 
 
-@query()
-def plan_seed(spark, root):
-    """Rows only: the draws follow the standard random generator."""
-    return planners.seed_plan(spark, _SEEDS, 200, 0.3, 0.3, [{"name": "shorten", "prompt": "make it {value}"}], seed=42)
-
 
 @query()
 def plan_evol(spark, root):
@@ -336,10 +373,6 @@ def plan_backtranslation(spark, root):
     return planners.backtranslation_plan(_docs(spark, root), 500).select("pos", "id")
 
 
-@query()
-def structure_chunk_ranges(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.inline(structure_chunks(F.col("text"))))
-
 
 @query()
 def semantic_chunk_ranges(spark, root):
@@ -363,39 +396,10 @@ def ppl_quality(spark, root):
     return table(spark, root, "documents").select("doc_id", T.nll_quality(F.col("n_chars") % 900 / 100.0).alias("quality"))
 
 
-@query()
-def prompt_logprobs(spark, root):
-    payloads = [(1, '{"choices":[{"logprobs":{"prompt_logprobs":[null,{"123":-0.5},{"7":-1.5}]}}]}'), (2, '{"choices":[{"logprobs":{"token_logprobs":[-2.0,null,-1.0]}}]}'), (3, "broken")]
-    df = spark.createDataFrame(payloads, "id int, payload string").withColumn("lp", T.parse_prompt_logprobs(F.col("payload")))
-    return df.select("id", T.mean_token_nll(F.col("lp")).alias("nll"), T.nll_quality(T.mean_token_nll(F.col("lp"))).alias("quality"))
-
-
-@query("select cast(doc_id as varchar) id from documents where doc_id not in (select doc_id from documents where length(text) > 2000)")
-def terminal_anti_join(spark, root):
-    specs, done = _docs(spark, root), _docs(spark, root).filter(F.length("text") > 2000)
-    return specs.join(done.select("id"), "id", "left_anti").select("id")
-
-
-@query("select distinct id from (select id from samples where total_score > 5 union all select sample_id from fingerprints) where id is not null")
-def state_union(spark, root):
-    a = table(spark, root, "samples").filter("total_score > 5").select("id")
-    return a.union(table(spark, root, "fingerprints").select(F.col("sample_id").alias("id"))).filter("id is not null").distinct()
 
 
-@query("""with c as (select text_hash, model, min(vec_id) vec_id from text_vectors where vec is not null group by all), w as (select text_hash, model from text_vectors)
-select w.text_hash, w.model, c.vec_id is not null cached, count(*) n from w left join c on w.text_hash = c.text_hash and w.model = c.model group by all""")
-def cache_lookaside(spark, root):
-    vectors = table(spark, root, "text_vectors")
-    cache = vectors.filter("vec is not null").groupBy("text_hash", "model").agg(F.min("vec_id").alias("vec_id"))
-    joined = vectors.select("text_hash", "model").join(cache, ["text_hash", "model"], "left")
-    return joined.groupBy("text_hash", "model", F.col("vec_id").isNotNull().alias("cached")).agg(F.count("*").alias("n"))
 
 
-@query("""select id, total_score from (select id, total_score, row_number() over (partition by id order by created_at desc, total_score desc nulls last) rn from samples where id is not null) where rn = 1""")
-def state_latest(spark, root):
-    rows = table(spark, root, "samples").filter("id is not null").select("id", "total_score", "created_at")
-    return latest(rows.withColumnRenamed("created_at", "at"), ("id",), order="at").select("id", "total_score")
-
 
 @query("select 'documents' as name, count(*) n from documents union all select 'samples', count(*) from samples union all select 'fingerprints', count(*) from fingerprints")
 def store_stats(spark, root):
@@ -405,33 +409,19 @@ def store_stats(spark, root):
 @query(_DOC + "select id, case when row_number() over (partition by sha256(core) order by pos, id) > 1 then 'duplicate' end drop_code from s")
 def export_round_trip(spark, root):
     """Rows written to and read from the columnar export."""
-    folder = tempfile.mkdtemp(prefix="gleaner-export-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/export-{spark.sparkContext.applicationId}"
+    folder = shared_folder(spark, "export")
     render.write_export(stages.exact_dedup()(document_samples(spark, root)).select("id", "drop_code"), folder)
     return spark.read.parquet(folder)
 
 
-@query()
-def generated_samples(spark, root):
-    """All documents through a backtranslation plan, the stand-in model and the sample filters."""
-    specs = planners.backtranslation_plan(_docs(spark, root), None)
-    done = generate.execute(specs, generate.prompt_for("instruction_backtranslation"))
-    return generate.collect_samples(done, "instruction_backtranslation").select("id", "instruction", "drop_code")
-
+@query("""select id, case when cast(total_score as varchar) <> 'nan' then total_score end total_score, coalesce(cast(total_score as varchar) = 'nan', false) no_number from (select id, total_score, row_number() over (partition by id order by created_at desc, total_score desc nulls last) rn from samples where id is not null) where rn = 1""")
+def state_latest(spark, root):
+    """The last row of every id; a score that is no number is told apart from a missing one. In SQL it is
+    told by its text, since the file's statistics, which leave NaN out, fold comparisons of numbers."""
+    rows = table(spark, root, "samples").filter("id is not null").select("id", "total_score", F.col("created_at").alias("at"))
+    last = latest(rows, ("id",), order="at")
+    return last.select("id", F.when(~F.isnan("total_score"), F.col("total_score")).alias("total_score"), F.coalesce(F.isnan("total_score"), F.lit(False)).alias("no_number"))
 
-@query()
-def streaming_exact_dedup(spark, root):
-    """Documents as a stream; the result equals exact_dedup when files arrive in order."""
-    from gleaner.streaming.flows import stream_dedup
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-stream-")
-    base = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(root))}"
-    source = table(spark, root, "documents")
-    source.repartitionByRange(2, "doc_id").write.mode("overwrite").parquet(f"{base}/in")
-    raw = spark.readStream.schema(source.schema).parquet(f"{base}/in")
-    from gleaner.operators.model import as_samples
 
-    named = F.concat(F.coalesce("source", F.lit("")), F.lit(":"), F.coalesce("lang", F.lit("")))
-    samples = as_samples(raw, id=F.col("doc_id"), strategy=F.lit("document"), instruction=named, output=F.coalesce("text", F.lit("")), pos=F.col("doc_id"))
-    keep = lambda df, n: df.select("id", "drop_code").write.mode("overwrite").parquet(f"{base}/out/batch_id={n}")
-    stream_dedup(samples, State(spark, f"{base}/state"), f"{base}/checkpoint", keep).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("id", "drop_code")
+QUERIES |= catalog_flows.QUERIES
+ORACLE_SQL |= catalog_flows.ORACLE_SQL
