@@ -1,9 +1,11 @@
 """Problem 2: the most similar vectors of every vector, by a robust-pruned directed graph per shard.
 
-Vectors of one model are split by centroids (fitted on a bounded sample) into cells, and large cells by a salt, so that
-a shard stays near SHARD vectors however dense a region is. Inside a shard a directed graph is built: greedy searches
-propose neighbours, relaxed distance pruning (ALPHA) keeps diverse edges, reverse edges are added and pruned again.
-Every vector then beam-searches the shards of its PROBES nearest cells, and the best of all shards are merged.
+Vectors of one model are split by centroids (fitted on a bounded sample) into cells, and dense cells once more by finer
+centroids fitted inside them, so that a shard stays near SHARD vectors however dense a region is and a vector asks only
+the nearest shards. Inside a shard a directed graph is built: greedy searches propose neighbours, relaxed distance pruning
+(ALPHA) keeps diverse edges, reverse edges are added and pruned again. Every vector then beam-searches the shards of its
+PROBES nearest cells, and the best of all shards are merged. A cell that finer centroids can't split is split by a salt,
+and all its parts are asked. Shards other than its own get a vector in single precision.
 
 Vectors that are null, have another length than DIMENSIONS, hold null, NaN or infinity, or are all zero take no part. A
 vec_id counts once. Vectors of equal direction are one node of the graph, so a group of identical vectors of any size
@@ -13,9 +15,11 @@ costs one search: the members are told apart afterwards by their smallest ids. C
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,26 +27,43 @@ from gleaner.llm.tables import cut, table
 
 DIMENSIONS, K = 64, 10
 #: Vectors in a shard; sampled vectors per cell for the centroids and their bound in all; cells searched per vector.
-SHARD, SAMPLE_PER_CELL, SAMPLE, PROBES = 2_000, 40, 20_000, 3
+SHARD, SAMPLE_PER_CELL, SAMPLE, PROBES = 2_000, 40, 20_000, 2
+#: Finer centroids in all, which every task holds (512 bytes each).
+CENTRES = 100_000
+#: A shard whose centroid is up to so many times as far as the nearest one is asked too: where a region has no parts of its
+#: own, neighbours lie in all of its shards.
+AS_NEAR = 1.25
 #: Out-degree, build and search beam width, relaxation of the pruning.
 DEGREE, BEAM, ALPHA = 20, 32, 1.2
 #: One node in so many is an entry point: dense islands far from each other need entries of their own.
 ENTRIES = 6
 
 
+def directions(vec: Column) -> Column:
+    """Struct of the unit vector and a key of its direction (10 decimals); null for a vector that takes no part."""
+
+    @F.pandas_udf("struct<key:string,vec:array<double>>")
+    def unit(vectors: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"key": None, "vec": None}, index=vectors.index, dtype=object)
+        whole = vectors.map(lambda v: v is not None and len(v) == DIMENSIONS).to_numpy(bool)
+        if whole.any():
+            m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors[whole]])
+            most = np.abs(m).max(1)  # NaN, also of null, and infinity show here
+            usable = np.isfinite(most) & (most > 0)
+            m = m[usable] / most[usable, None]
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+            at = vectors.index[whole][usable]
+            out.loc[at, "vec"] = pd.Series(list(m), index=at, dtype=object)
+            out.loc[at, "key"] = [hashlib.blake2b(r.tobytes(), digest_size=16).hexdigest() for r in np.round(m, 10) + 0.0]
+        return out
+
+    return unit(vec)
+
+
 def usable_vectors(df: DataFrame) -> DataFrame:
-    """(vec_id, model, vec) with the unit vector, one row per vec_id."""
-    plain = F.col("vec").isNotNull() & (F.size("vec") == DIMENSIONS)
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    return (
-        df.filter(F.col("vec_id").isNotNull() & F.col("model").isNotNull() & plain)
-        .filter(finite)
-        .withColumn("norm", F.sqrt(square))
-        .filter("norm > 0")
-        .select("vec_id", "model", F.transform("vec", lambda x: x / F.col("norm")).alias("vec"))
-        .dropDuplicates(["vec_id"])
-    )
+    """(vec_id, model, key, vec) of the rows that take part."""
+    rows = df.filter(F.col("vec_id").isNotNull() & F.col("model").isNotNull() & (F.size("vec") == DIMENSIONS))
+    return rows.select("vec_id", "model", directions(F.col("vec")).alias("d")).select("vec_id", "model", "d.*").filter("key is not null")
 
 
 def prune(points: np.ndarray, candidates: np.ndarray, similar: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -170,7 +191,10 @@ def _search_shard(k: int, beam: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
         inside = pdf["inside"].to_numpy(bool)
-        vectors = np.array(pdf["vec"].tolist(), dtype=np.float64)
+        vectors = np.empty((len(pdf), DIMENSIONS))
+        for has, column in ((inside, "vec"), (~inside, "asked")):
+            if has.any():
+                vectors[has] = np.stack(pdf[column][has].to_numpy())
         nodes, points = pdf["node"].to_numpy()[inside], vectors[inside]
         asked, queries = pdf["node"].to_numpy(), vectors
         out = []
@@ -196,45 +220,99 @@ def _search_shard(k: int, beam: int):
     return search
 
 
+def _sampled(rows: DataFrame, share: float, wanted: int) -> np.ndarray:
+    """About a share of the directions of rows (key, vec), at most wanted: those of the smallest hashes of the key."""
+    limit = int(-(1 << 63) + min(1.0, share) * ((1 << 64) - 1))
+    h = F.xxhash64("key")
+    some = rows.filter(h <= F.lit(min(limit, (1 << 63) - 1))).groupBy("key").agg(F.first("vec").alias("vec"))
+    part = some.orderBy(F.xxhash64("key"), "key").limit(wanted).select("vec").toPandas()
+    return np.array(part["vec"].tolist()).reshape(-1, DIMENSIONS)
+
+
+def _finer(routed: DataFrame, dense: dict[tuple[str, int], int], shard: int) -> dict[tuple[str, int], np.ndarray]:
+    """Finer centroids of each dense cell (model, cell: number of vectors), fitted on a bounded sample of the cell."""
+    parts = {cell: max(2, round(n / shard)) for cell, n in dense.items()}
+    scale = min(1.0, CENTRES / sum(parts.values()))
+    plan = [(m, c, max(2, int(p * scale)), min(1.0, 1.5 * min(SAMPLE, p * SAMPLE_PER_CELL) / dense[m, c])) for (m, c), p in parts.items()]
+    wanted = routed.sparkSession.createDataFrame(plan, "model string, cell int, parts int, share double")  # at most one row per cell
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        sample = np.stack(pdf["vec"].to_numpy())
+        centres = _fit_centroids(sample, min(int(pdf["parts"].iat[0]), max(1, len(sample) // 2)))
+        return pd.DataFrame({"model": pdf["model"].iat[0], "cell": pdf["cell"].iat[0], "centre": list(centres)})
+
+    rows = routed.select("model", F.col("asks")[0]["cell"].alias("cell"), "vec", ((F.xxhash64("node") / F.lit(float(1 << 64))) + 0.5).alias("u"))
+    some = rows.join(F.broadcast(wanted), ["model", "cell"]).filter("u <= share")
+    got = some.groupBy("model", "cell").applyInPandas(fit, "model string, cell int, centre array<double>").toPandas()
+    return {cell: np.stack(g["centre"].to_numpy()) for cell, g in got.groupby(["model", "cell"])}
+
+
+def _router(cells: dict[str, np.ndarray], finer: dict[tuple[str, int], np.ndarray], probes: int):
+    """The shards (cell, sub) that a vector asks, nearest first: of the cells, dense ones replaced by their finer ones, the
+    nearest probes and all that are hardly farther than the nearest (AS_NEAR)."""
+
+    @F.pandas_udf("array<struct<cell:int,sub:int>>")
+    def route(model: pd.Series, vec: pd.Series) -> pd.Series:
+        out: list[list[dict]] = [[]] * len(model)
+        for m in model.unique():
+            at = np.flatnonzero((model == m).to_numpy())
+            x = np.stack(vec.iloc[at].to_numpy())
+            cos = x @ cells[m].T
+            close = cos >= 1 - AS_NEAR * (1 - cos.max(1, keepdims=True))
+            np.put_along_axis(close, np.argsort(-cos, axis=1, kind="stable")[:, :probes], True, 1)
+            found: list[list[tuple[float, int, int]]] = [[] for _ in at]
+            for cell in np.flatnonzero(close.any(0)):
+                who = np.flatnonzero(close[:, cell])
+                if (centres := finer.get((m, int(cell)))) is None:
+                    for i in who:
+                        found[i].append((-cos[i, cell], int(cell), 0))
+                    continue
+                sub = x[who] @ centres.T
+                nearest = sub >= 1 - AS_NEAR * (1 - sub.max(1, keepdims=True))
+                np.put_along_axis(nearest, np.argsort(-sub, axis=1, kind="stable")[:, :probes], True, 1)
+                for i, row, near in zip(who, sub, nearest):
+                    found[i] += [(-row[j], int(cell), int(j)) for j in np.flatnonzero(near)]
+            for a, options in zip(at, found):
+                options.sort()
+                limit = AS_NEAR * (1 + options[0][0])
+                out[a] = [{"cell": c, "sub": b} for k, (d, c, b) in enumerate(options) if k < probes or 1 + d <= limit]
+        return pd.Series(out, dtype=object)
+
+    return route
+
+
 def nearest(vectors: DataFrame, k: int = K, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
-    """(vec_id, model, vec as unit vectors) to rows (vec_id, neighbour, cosine, place): the k most similar vectors."""
-    spark = vectors.sparkSession
+    """vectors as of usable_vectors to rows (vec_id, neighbour, cosine, place): the k most similar vectors."""
     # Nodes: vectors of equal direction, named by their smallest id; members beyond the first k + 1 matter only as
     # askers. The rank limit works before the shuffle, so a huge group sends k + 1 rows a partition.
-    keyed = cut(vectors.withColumn("key", F.md5(F.concat_ws(",", F.transform("vec", lambda x: (F.round(x, 10) + 0.0).cast("string"))))))
+    keyed = cut(vectors.groupBy("vec_id").agg(F.min(F.struct("model", "key")).alias("c")).select("vec_id", "c.*"))
     by_key = W.partitionBy("model", "key").orderBy("vec_id")
-    few = keyed.select("model", "key", "vec_id").withColumn("place", F.row_number().over(by_key)).filter(F.col("place") <= k + 1)
+    few = keyed.withColumn("place", F.row_number().over(by_key)).filter(F.col("place") <= k + 1)
     names = cut(few.groupBy("model", "key").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("members")))
-    nodes = keyed.join(names.select(F.col("node").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("node"), "model", "vec")
 
     cells: dict[str, np.ndarray] = {}
-    for model, n in nodes.groupBy("model").count().orderBy("model").collect():
+    for model, n in names.groupBy("model").count().orderBy("model").collect():
         count = max(1, round(n / shard))
         wanted = min(SAMPLE, max(count * SAMPLE_PER_CELL, 256))
-        count = min(count, wanted // 2)
-        part = nodes.filter(F.col("model") == model).orderBy(F.xxhash64("node"), "node").limit(wanted).select("vec").toPandas()
-        sample = np.array(part["vec"].tolist())
-        cells[model] = _fit_centroids(sample, min(count, len(sample)))
-
-    @F.pandas_udf("array<int>")
-    def nearest_cells(model: pd.Series, vec: pd.Series) -> pd.Series:
-        out: list[list[int]] = [[]] * len(model)
-        for m in model.unique():
-            at = np.flatnonzero((model == m).to_numpy())
-            cos = np.array(vec.iloc[at].tolist()) @ cells[m].T
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :probes]
-            for i, b in zip(at, best.tolist()):
-                out[i] = b
-        return pd.Series(out, dtype=object)
+        sample = _sampled(vectors.filter(F.col("model") == model), 1.5 * wanted / n, wanted)
+        cells[model] = _fit_centroids(sample, max(1, min(count, wanted // 2, len(sample))))
 
-    routed = cut(nodes.withColumn("cells", nearest_cells("model", "vec")))
-    # A cell much larger than a shard is split by salt; a vector asks every part of its cells.
-    sizes = routed.groupBy("model", F.col("cells")[0].alias("cell")).agg(F.ceil(F.count("*") / (2 * shard)).cast("int").alias("parts"))
-    asks = routed.select("node", "model", "vec", F.posexplode("cells").alias("rank", "cell")).join(sizes, ["model", "cell"])
-    own = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    asks = asks.select("node", "vec", "model", "cell", "rank", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    shards = asks.select("node", "vec", "model", "cell", "part", ((F.col("rank") == 0) & (F.col("part") == F.col("own"))).alias("inside"))
-    hits = shards.groupBy("model", "cell", "part").applyInPandas(_search_shard(k, beam), "node long, near long, cosine double")
+    nodes = vectors.groupBy("model", "key").agg(F.first("vec").alias("vec")).join(names.select("model", "key", "node"), ["model", "key"]).select("node", "model", "vec")
+    routed = cut(nodes.withColumn("asks", _router(cells, {}, probes)("model", "vec")))
+    own = [F.col("asks")[0]["cell"].alias("cell"), F.col("asks")[0]["sub"].alias("sub")]
+    sizes = {(r.model, r.cell): r["count"] for r in routed.groupBy("model", own[0]).count().filter(F.col("count") > 2 * shard).collect()}
+    if sizes:
+        routed = routed.withColumn("asks", _router(cells, _finer(routed, sizes, shard), probes)("model", "vec"))
+        routed = cut(routed)
+    # What finer centroids could not split is split by salt; a vector asks every part of it.
+    parts = routed.groupBy("model", *own).agg(F.ceil(F.count("*") / (4 * shard)).cast("int").alias("parts")).filter("parts > 1")
+    asks = routed.select("node", "model", "vec", F.posexplode("asks").alias("rank", "a")).select("node", "model", "vec", "rank", "a.*")
+    asks = asks.join(F.broadcast(parts), ["model", "cell", "sub"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # salted cells are few
+    mine = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    asks = asks.select("node", "vec", "model", "cell", "sub", "rank", mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = (F.col("rank") == 0) & (F.col("part") == F.col("own"))
+    shards = asks.select("node", "model", "cell", "sub", "part", inside.alias("inside"), F.when(inside, F.col("vec")).alias("vec"), F.when(~inside, F.col("vec").cast("array<float>")).alias("asked"))
+    hits = shards.groupBy("model", "cell", "sub", "part").applyInPandas(_search_shard(k, beam), "node long, near long, cosine double")
     best = W.partitionBy("node").orderBy(F.desc("cosine"), "near")
     hits = cut(hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place"))
 

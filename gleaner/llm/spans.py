@@ -28,6 +28,8 @@ from gleaner.llm.tables import cut, table
 MIN_SPAN, GRAM = 200, 100
 #: Distinct windows of one anchor beyond which it takes the counted path; characters in an index shard.
 HOT, SHARD_CHARS = 4_000, 1_000_000
+#: Rows up to which anchors, document ids and found intervals are broadcast; documents from which a window is hot.
+BROADCAST, HOT_DOCS = 2_000_000, 50_000
 #: Characters hashed at once; positions fit the low bits of a packed value.
 _POS_BITS = 24
 _BLOCK = 1 << 20
@@ -297,6 +299,21 @@ def _hot_spans(hot: DataFrame, span: int) -> DataFrame:
     return cells.join(shared, ["anchor", "key"], "left_semi").select("anchor", "window_key", "start", (F.col("start") + span).alias("end"))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
+def _meet(windows: DataFrame, cells: DataFrame, hot: DataFrame) -> DataFrame:
+    """windows with their cells. Few cells are broadcast; of many, those of hot windows (at most one for every HOT_DOCS
+    windows), which a third of the documents may hold, and only the other windows are shuffled by their key."""
+    on = ["anchor", "window_key"]
+    if cells.count() <= BROADCAST:
+        return windows.join(F.broadcast(cells), on)
+    spread = windows.join(F.broadcast(cells.join(F.broadcast(hot), on, "left_semi")), on)
+    return spread.unionByName(windows.join(F.broadcast(hot), on, "left_anti").join(cells, on))
+
+
 def shared_spans(docs: DataFrame, span: int = MIN_SPAN, gram: int = GRAM, hot: int = HOT, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id long, text) to rows (doc_id, start, end): stretches of each document, in code points, every span of which
     lies in another document too. Stretches of one document can overlap."""
@@ -310,8 +327,10 @@ def shared_spans(docs: DataFrame, span: int = MIN_SPAN, gram: int = GRAM, hot: i
                 yield pd.DataFrame({"doc_id": ids, "at": np.concatenate([a for a, _ in found]), "anchor": np.concatenate([h for _, h in found])})
 
     all_anchors = cut(docs.mapInPandas(find, "doc_id long, at int, anchor long"))
-    shared = all_anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("anchor")
-    places = all_anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))
+    shared = cut(all_anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("anchor"))
+    places = cut(all_anchors.join(_small(shared), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places")))
+    # Only texts of documents with a shared anchor are moved.
+    docs = docs.join(_small(places.select("doc_id")), "doc_id", "left_semi")
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = span - gram
@@ -330,7 +349,7 @@ def shared_spans(docs: DataFrame, span: int = MIN_SPAN, gram: int = GRAM, hot: i
         .mapInPandas(around, "anchor long, doc_id long, begin int, text string")
         .withColumn("window_key", F.xxhash64("text"))
     )
-    distinct = windows.groupBy("anchor", "window_key").agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("last_doc"), F.first("text").alias("text"))
+    distinct = windows.groupBy("anchor", "window_key").agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("holders"), F.first("text").alias("text"))
     distinct = cut(distinct)
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     hot_anchors = sizes.filter(F.col("n") > hot).select("anchor")
@@ -342,7 +361,8 @@ def shared_spans(docs: DataFrame, span: int = MIN_SPAN, gram: int = GRAM, hot: i
         .applyInPandas(_search_shard(span), _CELL)
         .unionByName(_hot_spans(distinct.join(hot_anchors, "anchor", "left_semi"), span))
     )
-    return windows.join(cells, ["anchor", "window_key"]).select("doc_id", (F.col("begin") + F.col("start")).alias("start"), (F.col("begin") + F.col("end")).alias("end"))
+    met = _meet(windows.select("anchor", "window_key", "doc_id", "begin"), cut(cells), distinct.filter(F.col("holders") > HOT_DOCS).select("anchor", "window_key"))
+    return met.select("doc_id", (F.col("begin") + F.col("start")).alias("start"), (F.col("begin") + F.col("end")).alias("end"))
 
 
 def _covered(spans: DataFrame) -> DataFrame:

@@ -44,6 +44,22 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(neighbours.usable_vectors(df.filter("false"))).count() == 0
 
 
+@pytest.mark.parametrize("islands, least", [(40, 0.98), (1, 0.9)])
+def test_nearest_in_a_dense_region(spark, islands, least):
+    """Most vectors lie in one cell, which finer centroids split; vectors that no centroid can part are salted."""
+    r = np.random.default_rng(3)
+    near, far = r.normal(size=64), r.normal(size=(6, 64))
+    centres = near + 0.3 * r.normal(size=(islands, 64))
+    v = np.concatenate([centres[r.integers(0, islands, 2400)] + 0.12 * r.normal(size=(2400, 64)), far[r.integers(0, 6, 300)] + 0.25 * r.normal(size=(300, 64)), 5 * far[0] + 1e-7 * r.normal(size=(900, 64))])
+    df = spark.createDataFrame([(i, "h", "m", x.tolist()) for i, x in enumerate(v)], "vec_id long, text_hash string, model string, vec array<double>")
+    got = {(x.vec_id, x.neighbour) for x in neighbours.nearest(neighbours.usable_vectors(df), shard=150).collect()}
+    u = v[:2700] / np.linalg.norm(v[:2700], axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -9)
+    want = {(i, int(j)) for i in range(2400) for j in np.argsort(-cos[i], kind="stable")[:10]}
+    assert len(got & want) / len(want) > least, len(got & want) / len(want)
+
+
 # Problem 3 -------------------------------------------------------------------------------------------------------
 def test_truncation_on_held_out_cuts():
     r = random.Random(5)
@@ -223,8 +239,10 @@ def test_mixing(spark):
 
 
 # Problem 10 ------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("hot", [2, 4000])
-def test_spans_against_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, broadcast", [(2, 2_000_000), (4000, 2_000_000), (4000, 0)])
+def test_spans_against_brute_force(spark, hot, broadcast, monkeypatch):
+    monkeypatch.setattr(spans, "BROADCAST", broadcast)
+    monkeypatch.setattr(spans, "HOT_DOCS", 5)
     r, span, gram = random.Random(2), 40, 20
     text = lambda n: "".join(r.choice("abcd 中\U0001f600") for _ in range(n))
     shared = [text(n) for n in (39, 40, 41, 90)]
