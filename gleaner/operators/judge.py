@@ -11,7 +11,7 @@ AGGREGATIONS = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median}
 
 def clamp(value: Column, most: Column | float) -> Column:
     """A judge's value inside [1, most]; NaN and null count as not scored."""
-    return F.when(~F.isnan(value), F.greatest(F.lit(1.0), F.least(value, most if isinstance(most, Column) else F.lit(float(most)))))
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(1.0), F.least(value, most if isinstance(most, Column) else F.lit(float(most)))))
 
 
 def per_dimension(scores: DataFrame, how: str = "mean", dims: list[str] | None = None) -> DataFrame:
