@@ -25,7 +25,7 @@ MIN_CHARS = 40
 PROSE_LINE = 0.1
 #: Common function words of the five languages; single characters in Chinese.
 COMMON = {
-    "en": "the a an and or but of to in on at by for from with without as is are was were be been it its this that these those each every one not no if when while because so than then there which who what how we you i they he she his her their our my can will would do does did has have had before after about into up out all some any more most only rarely once until since both such other than very please am should could something anything else me ask again whether where next".split(),
+    "en": "the a an and or but of to in on at by for from with without as is are was were be been it its this that these those each every one not no if when while because so than then there which who what how we you i they he she his her their our my can will would do does did has have had before after about into up out all some any more most only once until since both such other than very please am should could something anything else me again whether where".split(),
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine in im an am auf aus bei mit nach von vom zu zum zur für über unter vor hinter neben ist sind war waren wird werden wurde es er sie wir ich man dass wenn weil während damit bis als wie was welche wer so auch nur noch schon sich sein hat haben kann dieser diese dieses jede jeder beide denn ohne trotz laut".split(),
     "fr": "le la les l un une des du de d et ou mais ne pas non que qu qui quand comment pourquoi si car donc dans sur sous avec sans pour par en au aux à est sont était a ont il elle nous vous je on ce cet cette ces se sa son ses leur plus même tandis avant après chez y c s n j m t".split(),
     "es": "el la los las un una unos unas y o pero no ni que qué quien cuando cómo como por para con sin en de del al a se su sus lo le es son era fue ha han hay está si porque mientras antes después según durante este esta esto ese esa cada más muy ya también nos me mi tu dice entre sobre cuándo cuál puede pasa sea algo así tras otra otro".split(),
@@ -134,6 +134,16 @@ def _grow(x: np.ndarray, y: np.ndarray) -> Rule:
     return tuple(rule)
 
 
+def tightest(rule: Rule) -> Rule:
+    """The rule with one condition per statistic and direction, the tightest, which holds for the same documents."""
+    best: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        old = best.get((c.feature, c.at_most))
+        if old is None or (c.threshold < old.threshold) == c.at_most:
+            best[c.feature, c.at_most] = c
+    return tuple(best.values())
+
+
 def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> tuple[Rule, float]:
     """The beginning of the rule that is worth most on held-out documents, and its share of right cases."""
     best, best_worth, right = rule, -2.0, 0.0
@@ -162,7 +172,7 @@ def induce(x: np.ndarray, y: np.ndarray, seed: int = 0) -> list[Rule]:
         inside = covers(rule, x) & left
         if not inside.any():
             break
-        rules.append(rule)
+        rules.append(tightest(rule))
         left &= ~inside
     return rules
 
