@@ -15,6 +15,7 @@ from gleaner.operators import embedding
 from gleaner.operators.state import IncompatibleState
 from gleaner.plans.generate import BreakerOpen
 from gleaner.plans.planners import PlanError, allocate, preview
+from gleaner.session import ship
 from gleaner.sources.readers import FORMATS
 
 #: Where a configuration is looked for if none is named.
@@ -80,7 +81,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for name, n in preview(split, cfg["run"]["preview_count"]) if args.preview else split:
                 print(name, n)
         elif args.command != "validate":
-            print(_flow(args, cfg, spark or SparkSession.builder.getOrCreate()).text())
+            spark = spark or SparkSession.builder.getOrCreate()
+            ship(spark)
+            print(_flow(args, cfg, spark).text())
     except (config.ConfigError, PlanError, IncompatibleState, ValueError, OSError, RuntimeError) as e:
         code = 3 if isinstance(e, BreakerOpen) else 2
         print(f"error: {e}", file=sys.stderr)

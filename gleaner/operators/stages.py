@@ -31,6 +31,8 @@ DROPS = {"drop_stage": "string", "drop_code": "string", "drop_value": "double",
 MARKS = "id string, pos bigint, code string, value double, by string"
 #: Rows of one key from which the key is hot: they are met by a broadcast. At most rows / HOT keys are.
 HOT = 100_000
+#: Rows of keys up to which they are broadcast instead of shuffled with what they pick from.
+BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -120,7 +122,11 @@ def copies(rows: DataFrame, key: str, seen: DataFrame | None = None) -> DataFram
     broadcast of the hot keys, at most one for every HOT rows; only the others are shuffled by key."""
     groups = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("pos", "id")).alias("lead"), F.count("*").alias("n"))
     if seen is not None:
-        groups = groups.join(seen.select(F.col(seen.columns[0]).alias(key)).distinct().withColumn("old", F.lit(True)), key, "left")
+        # Of what was seen before only keys of these rows are moved; few of them are looked up without a shuffle.
+        groups = cut(groups)
+        keys = groups.select(key)
+        old = seen.select(F.col(seen.columns[0]).alias(key)).join(F.broadcast(keys) if groups.count() <= BROADCAST else keys, key, "left_semi").distinct()
+        groups = groups.join(old.withColumn("old", F.lit(True)), key, "left")
     else:
         groups = groups.withColumn("old", F.lit(None).cast("boolean"))
     groups = cut(groups.filter((F.col("n") > 1) | F.col("old")))
@@ -211,8 +217,6 @@ def band_keys(sig: Column, threshold: float, permutations: int) -> Column:
 
 #: Cells of the counts by which shingles are ordered; a power of two. The order changes the work, never the result.
 CELLS = 1 << 18
-#: Sets up to which those to be made again are picked without a shuffle of all.
-BROADCAST = 500_000
 
 
 def shingle_counts(texts: DataFrame, n: int, unit: str) -> np.ndarray:

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import os
+import site
+import sys
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session, where they could not import it by themselves: neither installed
+    nor on PYTHONPATH, which workers inherit."""
+    sc, home = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages(), site.getusersitepackages()]
+    if getattr(sc, "_gleaner_shipped", False) or home in map(os.path.abspath, filter(None, known)):
+        return
+    sc._gleaner_shipped = True
+    path = os.path.join(tempfile.mkdtemp(prefix="gleaner-"), "gleaner.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(os.path.join(home, "gleaner")):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, home))
+    before = list(sys.path)
+    sc.addPyFile(path)
+    sys.path[:] = before  # the driver keeps the package it runs from
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of a data folder; column pruning and filters reach the scan from here."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
