@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.replies import extract_json, validate_trajectory
-from gleaner.operators import embedding, judge, render, report, scoring, stages
+from gleaner.operators import embedding, judge, render, report, scoring
 from gleaner.operators.model import as_samples, document_samples, message_samples
 from gleaner.operators.state import State
 from gleaner.plans import generate, planners
-from gleaner.session import cut, shared_folder, table
+from gleaner.session import shared_folder, table
 from gleaner.sources import readers
 from gleaner.functions import text as T
 
@@ -332,6 +332,55 @@ def prompt_logprobs(spark, root):
     return df.select("id", T.mean_token_nll(F.col("lp")).alias("nll"), T.nll_quality(T.mean_token_nll(F.col("lp"))).alias("quality"))
 
 
+_REFERS = [("根据上文回答", True), ("As Mentioned Above, why?", True), ("based on the text, list", True), ("base the text on this", False), ("", False), (None, False)]
+
+
+@query(literal([(i, want) for i, (_, want) in enumerate(_REFERS)], "i, refers"))
+def context_references(spark, root):
+    return spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_REFERS)], "i int, t string").select("i", T.context_reference(F.col("t")).alias("refers"))
+
+
+_LINES = ['{"output": "x"}', '{"id": "own", "output": "y"}', "", '{"output": "z", "metadata": {"id": "meta"}}', '{"output": "x"}']
+
+
+def _made(line: str, pos: int) -> str:
+    import hashlib
+
+    return f"file:flat:{hashlib.sha256(line.encode()).hexdigest()[:16]}:{pos}"
+
+
+@query(literal([(0, _made(_LINES[0], 0)), (1, "own"), (3, "meta"), (4, _made(_LINES[4], 4))], "pos, id"))
+def row_ids(spark, root):
+    """Ids of rows: their own, that of their metadata, else made of content and place."""
+    folder = f"{shared_folder(spark, 'rows')}/ids.jsonl"
+    spark.createDataFrame([(x,) for x in _LINES], "value string").coalesce(1).write.text(folder)
+    return readers.to_samples(readers.read_json_rows(spark, folder)).select("pos", "id")
+
+
+@query(f"with t as (select doc_id, regexp_replace(regexp_replace(text, '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') x from documents where text is not null) select doc_id, cast(len(list_distinct(list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substr(x, i, 3)))) as integer) n from t")
+def shingle_counts(spark, root):
+    """Distinct character 3-grams of collapsed texts."""
+    return table(spark, root, "documents").filter("text is not null").select("doc_id", F.size(T.shingles(F.col("text"))).alias("n"))
+
+
+@query("""with ch as (select doc_id, text, unnest(range(1, length(text) + 1)) i from documents where text <> ''), cc as (select doc_id, i, substr(text, i, 1) c from ch),
+cr as (select doc_id, c, i - row_number() over (partition by doc_id, c order by i) g from cc), rl as (select doc_id, max(n) run from (select doc_id, c, g, count(*) n from cr group by all) group by 1)
+select d.doc_id, round(coalesce(run, 0) * 1.0 / greatest(length(text), 1), 6) share from documents d left join rl using (doc_id) where text is not null""")
+def longest_runs(spark, root):
+    """Longest run of one character, by islands in SQL."""
+    return table(spark, root, "documents").filter("text is not null").select("doc_id", F.round(T.longest_run_ratio(F.col("text")), 6).alias("share"))
+
+
+@query("select cast(doc_id as varchar) id, coalesce(text, '') as output from documents where coalesce(text, '') <> '' or coalesce(source, '') <> ''")
+def read_state(spark, root):
+    """A state's rows opened again as an input: the rendered text, the payload where there is none."""
+    docs = document_samples(spark, root).withColumn("instruction", F.regexp_replace("instruction", ":[^:]*$", ""))
+    state = State(spark, shared_folder(spark, "state"))
+    text = F.when(F.col("pos") % 2 == 0, render.rendered(docs, "alpaca"))
+    state.add("samples", docs.select("id", "strategy", render.payload(docs).alias("payload"), text.alias("rendered"), F.lit(1.0).alias("total_score"), F.current_timestamp().alias("created_at")))
+    return readers.to_samples(readers.read_state_rows(spark, state.root)).select("id", "output")
+
+
 # Judges ----------------------------------------------------------------------------------------------------------
 _DIMS = [scoring.Dimension("quality", 10.0, "how good"), scoring.Dimension("safety", 5.0)]
 _JUDGED = """with p as (select doc_id, sha256('Rate this sample, 1 for worst, in each of: quality (1..10, how good); safety (1..5, safety)' || chr(10) || chr(10) || 'instruction: ' || coalesce(source, '') || ':' || coalesce(lang, '') || chr(10) || 'output: ' || coalesce(text, '')
@@ -505,6 +554,3 @@ def streaming_exact_dedup(spark, root):
     keep = lambda df, n: df.select("id", "drop_code").write.mode("overwrite").parquet(f"{base}/out/batch_id={n}")
     stream_dedup(samples, State(spark, f"{base}/state"), f"{base}/checkpoint", keep).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", F.regexp_replace("drop_code", r"\(resume\)", "").alias("drop_code"))
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "cut", "stages"]

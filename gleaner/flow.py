@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import config
+from gleaner.functions import text as T
 from gleaner.operators import embedding, render, report, scoring, stages
-from gleaner.operators.model import METRICS, core_text
+from gleaner.operators.model import METRICS, as_json, core_text, from_json
 from gleaner.operators.state import State
-from gleaner.functions import text as T
 from gleaner.plans import generate, planners
 from gleaner.session import cut
 from gleaner.sources import readers
@@ -208,13 +208,14 @@ class _Flow:
         if self.out["export"]:
             (render.write_lines if self.out["export"].endswith(".jsonl") else lambda df, path: render.write_export(render.export_rows(df), path))(self.state.read("samples"), self.out["export"])
         if self.cfg["output"]["cache_cleanup"]:
-            self.state.cleanup()
+            self.state.cleanup()  # nothing is pending once samples are committed
         return self.report
 
 
 def run(spark: SparkSession, cfg: dict, count: int | None = None, only: list[str] | None = None, preview: bool = False, resume: bool = False, discard: bool = False, chats: Chats = http_chats, embed: Callable[[], embedding.Embed] | None = None, complete=None) -> Report:
     """Plan, generate, clean, judge and write. preview takes about preview_count specs and writes nothing. resume leaves
-    out specs that were committed or dropped before. discard overrides a state written under other settings."""
+    out specs that were committed or dropped before, and takes up samples that were generated but not yet settled when a
+    run ended. discard overrides a state written under other settings."""
     shares = planners.allocate(cfg["strategies"], count if count is not None else cfg["plan"]["count"], only)
     if preview:
         shares = planners.preview(shares, cfg["run"]["preview_count"])
@@ -224,13 +225,17 @@ def run(spark: SparkSession, cfg: dict, count: int | None = None, only: list[str
         kinds = {s["type"]: config.stage_options(s) for s in cfg["stages"]}
         settings = {"seed": cfg["run"]["seed"], "minhash": str(kinds.get("minhash_dedup")), "embedding": cfg["embedding"]["model"] if {"semantic_dedup", "cluster_dedup"} & set(kinds) else None}
         flow.state.check_manifest(settings, flow.state.next_batch(), discard)
+    waiting = None
+    if flow.state and resume:
+        pending = flow.state.read("pending")
+        waiting = cut(flow.state.open_specs(pending).select(from_json(F.col("sample")).alias("s")).select("s.*"))
     parts = []
     for kind, budget in shares:
         specs = cut(planned(spark, by_type[kind], budget, cfg["run"]["seed"]))
         if flow.state:
             flow.state.add("planned", specs.select("id", "strategy", F.col("payload").alias("spec")))
             if resume:
-                left = cut(flow.state.open_specs(specs))
+                left = cut(flow.state.open_specs(specs).join(waiting.select("id"), "id", "left_anti"))
                 flow.report.cached += specs.count() - left.count()
                 specs = left
         samples, done = generated(specs, by_type[kind], cfg["llm"], chats)
@@ -239,7 +244,11 @@ def run(spark: SparkSession, cfg: dict, count: int | None = None, only: list[str
         flow.report.retried += cost.again if kind != "evol_instruct" else 0
         samples = cut(samples)
         flow.drop(samples.filter("drop_code is not null").withColumn("stage", F.lit(kind)), "stage")
-        parts.append(samples.filter("drop_code is null").drop("drop_code"))
+        good = samples.filter("drop_code is null").drop("drop_code")
+        if flow.state:
+            # What a model was paid for waits here until stages and judges have settled it.
+            flow.state.add("pending", good.select("id", "strategy", as_json(good).alias("sample")))
+        parts.append(good if waiting is None else good.unionByName(waiting.filter(F.col("strategy") == kind).select(*good.columns)))
     return flow.written(flow.scored(flow.cleaned(_merged(parts))))
 
 

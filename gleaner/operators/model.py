@@ -26,6 +26,15 @@ def as_samples(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SAMPLE.items()], *more)
 
 
+def as_json(df: DataFrame) -> Column:
+    """A canonical sample as JSON text, and from_json back."""
+    return F.to_json(F.struct(*SAMPLE))
+
+
+def from_json(text: Column) -> Column:
+    return F.from_json(text, ", ".join(f"`{k}` {t}" for k, t in SAMPLE.items()))
+
+
 def problems(df: DataFrame) -> Column:
     """Array of broken rules of each sample: C1 id, C2 strategy, C3 exactly one of messages and flat text. Empty: valid."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""

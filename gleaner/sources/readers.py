@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators.model import MESSAGE, as_samples, core_text, problems
+from gleaner.session import cut
 
 ROW = {
     "id": "string", "instruction": "string", "query": "string", "output": "string", "response": "string", "reasoning": "string", "prompt": "string",
@@ -48,10 +49,24 @@ def read_json_rows(spark: SparkSession, path: str, field_map: dict[str, str] | N
     """One row per JSON object of .jsonl (lines) or .json files: the fields of ROW, whether messages was present, whether
     metadata is sound (rule C4), pos in file order, line and file. field_map renames keys first. Blank lines are left out
     but counted."""
+    return _parsed((_elements if path.endswith(".json") else file_lines)(spark, path), field_map)
+
+
+def read_state_rows(spark: SparkSession, folder: str, field_map: dict[str, str] | None = None) -> DataFrame:
+    """The same of the samples in a state folder: the rendered text of each, the payload where there is none, in the order
+    of created_at and id. A payload is a flat row whose id and lineage stand in it."""
+    from gleaner.operators.state import State
+
+    rows = State(spark, folder).read("samples").select("created_at", "id", F.coalesce("rendered", "payload").alias("value"))
+    rows = cut(rows.repartitionByRange("created_at", "id").sortWithinPartitions("created_at", "id").withColumn("pos", F.monotonically_increasing_id()))
+    return _parsed(rows.select(F.lit(folder).alias("file"), F.col("pos").alias("line"), "pos", "value"), field_map)
+
+
+def _parsed(raw: DataFrame, field_map: dict[str, str] | None) -> DataFrame:
     names = {new: old for old, new in (field_map or {}).items()}
     of = lambda k: names.get(k, k)
     schema = ", ".join(f"`{of(k)}` {t}" for k, t in ROW.items())
-    raw = (_elements if path.endswith(".json") else file_lines)(spark, path).filter(F.length(T.strip(F.col("value"))) > 0)
+    raw = raw.filter(F.length(T.strip(F.col("value"))) > 0)
     parsed = raw.withColumn("j", F.from_json("value", schema)).withColumn("keys", F.json_object_keys("value"))
     part = lambda p: F.ltrim(F.coalesce(F.get_json_object("value", p), F.lit("{")))
     meta = f"$['{of('metadata')}']"
@@ -102,10 +117,12 @@ def _adapted(rows: DataFrame, fmt: str) -> DataFrame:
 
 
 def open_file(spark: SparkSession, path: str, fmt: str = "flat", field_map: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
-    """The file's samples with the rules they break (C1 to C4) in problems; strict fails the job at the first that does."""
+    """The samples of a file, or of a state folder (named state), with the rules they break (C1 to C4) in problems; strict
+    fails the job at the first that does."""
     from gleaner.operators.model import enforced
 
-    out = _adapted(read_json_rows(spark, path, field_map), fmt)
+    is_state = path.rstrip("/").rsplit("/", 1)[-1] == "state"
+    out = _adapted((read_state_rows if is_state else read_json_rows)(spark, path, field_map), fmt)
     checked = out.withColumn("problems", F.array_compact(F.concat(problems(out), F.array(F.when(~F.coalesce("sound", F.lit(True)), "C4"))))).drop("sound")
     return enforced(checked) if strict else checked
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from gleaner import cli, config
+from gleaner import cli, config, flow
 
 
 def written(tmp_path, **sections):
@@ -87,3 +87,22 @@ def test_score_needs_a_judge_and_caches(spark, tmp_path, capsys):
     for cached in (0, 5):
         assert cli.main(["-c", path, "--stand-in", "score", str(tmp_path / "in.jsonl")], spark) == 0
         assert f"cache_hits={cached}" in capsys.readouterr().out
+
+
+def test_resume_takes_up_what_was_generated(spark, tmp_path, monkeypatch):
+    """A run that breaks off behind the model asks it nothing again."""
+    cfg = config.complete({"output": {"path": str(tmp_path / "o")}, "llm": {"model": "m"}, "stages": ["exact_dedup"], "strategies": [{"type": "topic_driven", "topics": ["a", "b", "c"], "count": 3}]})
+
+    def broken(self, samples):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(flow._Flow, "cleaned", broken)
+        with pytest.raises(OSError):
+            flow.run(spark, cfg, chats=flow.double_chats)
+    done = flow.run(spark, cfg, resume=True, chats=flow.double_chats)
+    assert done.calls == 0 and done.cached == 3 and ("kept", "", 3) in done.rows
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "o" / "samples.parquet")).select("id", "instruction").collect()]
+    assert len(rows) == 3 and all(i.startswith("task") for _, i in rows)
+    again = flow.clean(spark, config.complete({"output": {"path": str(tmp_path / "p.jsonl")}, "stages": ["exact_dedup"]}), str(tmp_path / "o" / "state"))
+    assert again.rows == [("kept", "", 3)]
