@@ -379,23 +379,79 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+#: Vectors on which the blocks' centres are fitted, and blocks at most (a centre of 64 numbers has 512 bytes, so 10 MB).
+CENTRE_SAMPLE, BLOCKS = 20_000, 20_000
+
+
+def _block_centres(rows: DataFrame, blocks: int, n: int) -> np.ndarray:
+    """Centres of at most blocks compact groups of vectors, fitted on a bounded sample."""
+    wanted = min(CENTRE_SAMPLE, n)
+    limit = int(-(1 << 63) + min(1.0, 1.5 * wanted / n) * ((1 << 64) - 1))
+    h = F.xxhash64("id")
+    part = rows.filter(h <= F.lit(min(limit, (1 << 63) - 1))).orderBy(h, "id").limit(wanted).select("vec").toPandas()
+    sample = _unit(np.array(part["vec"].tolist(), dtype=np.float64))
+    centres = sample[np.random.default_rng(0).choice(len(sample), min(blocks, BLOCKS, max(1, len(sample) // 8)), replace=False)]
+    for _ in range(5):
+        at = np.concatenate([(sample[k : k + 2048] @ centres.T).argmax(1) for k in range(0, len(sample), 2048)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, sample)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
+    return centres
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+
+def block_pairs(rows: DataFrame, threshold: float, block: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """rows (id, vec) with their block b, and the pairs of blocks (i, j, i <= j) of which two vectors may be threshold
+    alike: the angle between two vectors is at least that between the centres of their blocks less the blocks' radii."""
+    spark, blocks = rows.sparkSession, max(1, -(-n // block))
+    centres = _block_centres(rows, blocks, n)
+
+    @F.pandas_udf("struct<cell:int,angle:double>")
+    def nearest(vecs: pd.Series) -> pd.DataFrame:
+        cos = _unit(np.array(vecs.tolist(), dtype=np.float64)) @ centres.T
+        cell = cos.argmax(1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": np.arccos(np.clip(cos[np.arange(len(cell)), cell], -1, 1))})
+
+    placed = rows.withColumn("c", nearest("vec")).select(*rows.columns, "c.*")
+    # A group larger than a block is cut into parts by a hash.
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = cut(placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"))
+    found = placed.groupBy("cell", "part").agg(F.max("angle").alias("radius")).orderBy("cell", "part").toPandas()
+    found["b"] = np.arange(len(found), dtype=np.int32)
+    cells, radius, limit = found["cell"].to_numpy(), found["radius"].to_numpy(), math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def partners(frames):
+        for pdf in frames:
+            for i in pdf["id"]:
+                apart = np.arccos(np.clip(centres[cells[i:]] @ centres[cells[i]], -1, 1))
+                j = i + np.flatnonzero(apart - radius[i:] - radius[i] <= limit)
+                yield pd.DataFrame({"i": np.full(len(j), i, dtype=np.int32), "j": j.astype(np.int32)})
+
+    named = spark.createDataFrame(found[["cell", "part", "b"]], "cell int, part int, b int")
+    return placed.join(F.broadcast(named), ["cell", "part"]).drop("cell", "part", "angle"), spark.range(len(found)).mapInPandas(partners, "i int, j int")
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """(id, other, cosine) of vectors (id, at, vec) and earlier ones at least threshold alike, in blocks.
-
-    Every vector meets every earlier one: blocks of rows are multiplied as matrices and only pairs over the threshold
-    leave a task. The number of blocks follows the row count; vectors are compared in double precision."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select("id", "at", F.transform("vec", lambda x: x.cast("double")).alias("vec")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # A row of block b goes to the cells (b, *) and (*, b) of the upper triangle.
-    cell = lambda other: F.struct(F.least("b", other).alias("i"), F.greatest("b", other).alias("j"))
-    spread = rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), cell))).select("id", "at", "vec", "b", "cell.*")
+    """(id, other, cosine) of vectors (id, at, vec) and earlier ones at least threshold alike, in compact blocks.
+
+    Exact: pairs of blocks too far apart for any pair of their vectors are left out, blocks of the others are multiplied
+    as matrices, and only pairs over the threshold leave a task. Vectors are compared in double precision."""
+    rows = cut(vectors.select("id", "at", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
+    n = rows.count()
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    schema = f"id {kinds['id']}, other {kinds['id']}, cosine double"
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    placed, pairs = block_pairs(rows, threshold, block, n)
+    touched = pairs.select(F.col("i").alias("b"), "i", "j").unionByName(pairs.filter("i <> j").select(F.col("j").alias("b"), "i", "j"))
+    spread = placed.join(touched, "b")
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        m = np.array(pdf["vec"].tolist(), dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+        m = _unit(np.array(pdf["vec"].tolist(), dtype=np.float64))
         left, right = np.flatnonzero(pdf["b"].to_numpy() == i), np.flatnonzero(pdf["b"].to_numpy() == j)
         cos = m[left] @ m[right].T
         a, b = np.nonzero(cos >= threshold)
@@ -406,7 +462,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> Dat
         first, second = np.where(later, a, b)[keep], np.where(later, b, a)[keep]
         return pd.DataFrame({"id": ids[first], "other": ids[second], "cosine": value[keep]})
 
-    return spread.groupBy("i", "j").applyInPandas(multiply, f"id {kinds['id']}, other {kinds['id']}, cosine double")
+    return spread.groupBy("i", "j").applyInPandas(multiply, schema)
 
 
 Vectors = Callable[[DataFrame], DataFrame]

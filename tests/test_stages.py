@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,20 @@ def test_custom_stage_parts_the_chain(spark):
     df = samples(spark, [(i, str(i), "question", x, None) for i, x in enumerate(["short", *texts(2)])])
     out = stages.pipeline(stages.length_gate(output=(10, 1000)), own, stages.exact_dedup())(df)
     assert seen == [2] and out.filter("drop_stage is null").count() == 2
+
+
+def test_cosine_pairs_in_blocks(spark):
+    """Exact in many small blocks, most of whose pairs are too far apart to be compared."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, 16))
+    v = centres[r.integers(0, 12, 400)] + 0.1 * r.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(v)], "id long, at long, vec array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = u @ u.T
+    for threshold in (0.97, 0.3):
+        got = {(x.id, x.other) for x in stages.cosine_pairs(df, threshold, 20).collect()}
+        assert got == {(i, j) for i in range(400) for j in range(i) if cos[i, j] >= threshold}
+    _, near = stages.block_pairs(df.select("id", "vec"), 0.97, 20, 400)
+    _, far = stages.block_pairs(df.select("id", "vec"), -1.0, 20, 400)
+    assert near.count() * 3 < far.count()
+    assert stages.cosine_pairs(df.filter("false"), 0.9).count() == 0
