@@ -259,6 +259,8 @@ def rare_first(text: Column, counts, threshold: float, n: int, unit: str) -> Col
     return F.when(text.isNotNull(), first(text))
 
 
+#: Shared shingles up to which they are broadcast (8 bytes each).
+SHINGLES = 4_000_000
 #: Bits of the sketch of a set, a multiple of 64.
 BITS = 1024
 
@@ -291,14 +293,16 @@ def exact_keys(sets: DataFrame, threshold: float, group: int = GROUP) -> DataFra
     shingle of pre, which still every close pair shares."""
     least = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") - 1e-9)).cast("int")
     o = least(threshold)
-    cells = sets.select("id", F.posexplode(F.slice("pre", F.lit(1), F.greatest(F.lit(0), F.col("n") - o + 1))).alias("at", "shingle"))
-    known = cells.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle")
+    cells = sets.select("id", "n", F.posexplode(F.slice("pre", F.lit(1), F.greatest(F.lit(0), F.col("n") - o + 1))).alias("at", "shingle"))
+    known = cut(cells.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle"))
+    # Few are looked up where the sets are, without moving all cells once more.
+    known = F.broadcast(known) if known.count() <= SHINGLES else known
     # Sizes of a close pair differ by a factor of at most 1 / threshold, so their classes are equal or neighbours.
     size = F.floor(F.log(F.col("n")) / math.log(1 / min(threshold - 1e-6, 0.999)))
     up = F.when(F.col("at") < F.col("n") - least(2 * threshold / (1 + threshold)) + 1, size + 1)
     places = F.array_compact(F.array(size, up))
-    met = cells.join(known, "shingle").join(sets.select("id", "n"), "id").select("id", "n", "at", "shingle", o.alias("o"), F.explode(places).alias("class"))
-    met = cut(met.withColumn("key", F.xxhash64("shingle", "class")))
+    met = cells.join(known, "shingle").select("id", "at", "shingle", o.alias("o"), F.explode(places).alias("class"))
+    met = cut(met.select("id", "at", "o", F.xxhash64("shingle", "class").alias("key")))
     sized = met.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
     met = met.join(sized, "key")
     plain = met.filter((F.col("sets") <= group) | (F.col("o") == 1)).select("id", "key")
