@@ -13,8 +13,8 @@ What is computed for a batch (parsing, keys, distances, sketches) is computed fo
 to BROADCAST key rows are broadcast to the stored keys, which then are neither shuffled nor split by key, so a hot key is
 no hot task; a larger batch is joined by shuffle in slices of keys, hot keys of the history salted.
 
-A new row is checked against one leader per key first, which settles groups of near-copies in linear work, then, if still
-open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a row
+Where batch 0, all of which is accepted, has keys with over GROUP rows, a new row is checked against one leader per key
+first, which settles groups of near-copies in linear work; then, if still open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a row
 that is the earliest under all its keys is accepted and rows close to a newly accepted one are cases; then the verified
 pairs of the small keys are resolved, earliest first. Equal hashes are keys of their own.
 
@@ -144,8 +144,8 @@ def _close():
 class History:
     """Accepted samples as an index below a folder that all executors share. open() an old one, create() a new one."""
 
-    def __init__(self, spark: SparkSession, folder: str, pivots: list[list[int]], batches: int):
-        self.spark, self.folder, self.pivots, self.batches = spark, folder.rstrip("/"), pivots, batches
+    def __init__(self, spark: SparkSession, folder: str, pivots: list[list[int]], hot: bool, batches: int):
+        self.spark, self.folder, self.pivots, self.hot, self.batches = spark, folder.rstrip("/"), pivots, hot, batches
 
     @classmethod
     def create(cls, batch: DataFrame, folder: str) -> History:
@@ -154,9 +154,11 @@ class History:
         first = usable.orderBy("batch_no", "pos", "sample_id").limit(64 * PIVOTS).groupBy("sig").agg(F.min(F.struct("batch_no", "pos", "sample_id")).alias("at"))
         pivots = [list(r.sig) for r in first.orderBy("at").limit(PIVOTS).collect()]
         spark = batch.sparkSession
-        spark.createDataFrame(list(enumerate(pivots)), "k int, sig array<bigint>").coalesce(1).write.parquet(f"{folder.rstrip('/')}/pivots")
-        out = cls(spark, folder, pivots, 0)
+        out = cls(spark, folder, pivots, False, 0)
         rows = out._keyed(batch)
+        out.hot = (rows.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0] or 0) > GROUP
+        settings = spark.createDataFrame([(out.hot, pivots)], "hot boolean, pivots array<array<bigint>>")
+        settings.coalesce(1).write.parquet(f"{out.folder}/settings")
         # Of rows alike in hash and signature the earliest stands for all.
         alike = rows.groupBy("hash", F.xxhash64("sig").alias("s"), "near", "b0", "b1").agg(F.min(F.struct("pos", "sample_id")).alias("first"))
         out._append(rows.join(alike.select(F.col("first.sample_id").alias("sample_id")), "sample_id", "left_semi"))
@@ -165,14 +167,14 @@ class History:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> History:
         """The history that an earlier session left in folder."""
-        pivots = [list(r.sig) for r in spark.read.parquet(f"{folder.rstrip('/')}/pivots").orderBy("k").collect()]
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/leaders/batch=*/_SUCCESS")
+        settings = spark.read.parquet(f"{folder.rstrip('/')}/settings").first()
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/keys/batch=*/_SUCCESS")
         done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
         numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in (done or [])]
-        return cls(spark, folder, pivots, max(numbers, default=-1) + 1)
+        return cls(spark, folder, [list(p) for p in settings.pivots], settings.hot, max(numbers, default=-1) + 1)
 
     def table(self, name: str) -> DataFrame:
-        """One table of the index, without batches whose writing was broken off: leaders are written last."""
+        """One table of the index, without batches whose writing was broken off: keys are written last."""
         paths = [f"{self.folder}/{name}/batch={b}" for b in range(self.batches)]
         return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
 
@@ -190,13 +192,14 @@ class History:
         return cells.select("key", name, *more, own("near"), own("b0"), own("b1"))
 
     def _append(self, accepted: DataFrame) -> None:
-        """Add accepted rows as one batch: keys in ranges and sorted, leaders (one row per key) last."""
+        """Add accepted rows as one batch: rows, leaders (one row per key) where they are needed, and keys, sorted, last."""
         keyed = self._exploded(accepted, "old_id").select("key", "old_id", "near", "b0", "b1")
-        lead = keyed.groupBy("key").agg(F.min_by(F.struct("old_id", "near", "b0", "b1"), "old_id").alias("l")).select("key", "l.*")
         at = f"batch={self.batches}"
         accepted.select(F.col("sample_id").alias("old_id"), "hash", "sig").write.mode("overwrite").parquet(f"{self.folder}/rows/{at}")
+        if self.hot:
+            lead = keyed.groupBy("key").agg(F.min_by(F.struct("old_id", "near", "b0", "b1"), "old_id").alias("l")).select("key", "l.*")
+            lead.write.mode("overwrite").parquet(f"{self.folder}/leaders/{at}")
         keyed.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.folder}/keys/{at}")
-        lead.write.mode("overwrite").parquet(f"{self.folder}/leaders/{at}")
         self.batches += 1
 
     def _met(self, new: DataFrame, old: DataFrame, key_rows: int, ordered: bool = False) -> DataFrame:
@@ -261,11 +264,11 @@ class History:
         """Settle one batch: its cases (sample_id) are returned, the rest is accepted and appended."""
         rows = self._keyed(batch)
         count = rows.count()
-        left = cut(rows.join(self._hits(rows, "leaders", count), "sample_id", "left_anti"))
+        left = cut(rows.join(self._hits(rows, "leaders", count), "sample_id", "left_anti")) if self.hot else rows
         still = cut(left.join(self._hits(left, "keys", count), "sample_id", "left_anti"))
         kept = cut(self._settle(still, count))
         self._append(still.join(kept, "sample_id", "left_semi"))
-        return cut(rows.select("sample_id").join(kept, "sample_id", "left_anti"))
+        return rows.select("sample_id").join(kept, "sample_id", "left_anti")
 
 
 def found(spark: SparkSession, root: str) -> DataFrame:
