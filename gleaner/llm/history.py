@@ -219,13 +219,9 @@ class History:
 
     @staticmethod
     def _verified(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-        """The pairs (written) with equal hashes, or signatures within RADIUS. Only rows that are in pairs are fetched."""
-        few = pairs.count() <= BROADCAST
-        only = lambda rows, name: rows.join(F.broadcast(p) if few else p, name, "left_semi") if (p := pairs.select(name).distinct()) is not None else rows
-        a = only(new.select("sample_id", "hash", "sig"), "sample_id")
-        b = only(old, "old_id").withColumnsRenamed({"hash": "old_hash", "sig": "old_sig"})
-        near = F.broadcast(pairs) if few else pairs
-        joined = a.join(near, "sample_id").join(b, "old_id")
+        """The pairs (written) with equal hashes, or signatures within RADIUS. Few pairs are broadcast to the signatures."""
+        old = old.withColumnsRenamed({"hash": "old_hash", "sig": "old_sig"}).join(F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs, "old_id")
+        joined = old.join(new.select("sample_id", "hash", "sig"), "sample_id")
         same = F.coalesce(F.col("hash") == F.col("old_hash"), F.lit(False))
         return joined.filter(same | (distance(F.col("sig"), F.col("old_sig")) <= RADIUS)).select("sample_id", "old_id")
 
@@ -239,7 +235,7 @@ class History:
         old = lambda df: df.select(F.col("sample_id").alias("old_id"), "hash", "sig")
         accepted, rows, open_ = [], still, still.select("sample_id")
         # Hot keys: leaders only, so that no key ever pairs all its rows.
-        while (largest := rows.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]) is not None and largest > GROUP:
+        while count > GROUP and (largest := rows.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]) is not None and largest > GROUP:
             cells = rows.select("sample_id", F.struct("pos", "sample_id").alias("at"), F.explode("keys").alias("key"))
             first = cells.groupBy("key").agg(F.min("at").alias("first"))
             behind = cells.join(first, "key").filter(F.col("at") != F.col("first")).select("sample_id").distinct()
