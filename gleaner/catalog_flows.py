@@ -184,7 +184,7 @@ _SHORTEN = [{"name": "shorten", "prompt": "make it {value}", "values": ["short",
 _DRAWN = [(n, op, drawn[0], drawn[1] if op == "crossover" else None) for n, (op, drawn) in enumerate(planners.seed_draws(200, 5, 0.3, 0.3, [2], 42))]
 _SEED_SQL = f"""with d as ({literal(_DRAWN, "n, op, i, j")}), s as (select *, substr(sha256('seed|s' || i || '|' || op || '|' || n), 1, 16) id from d),
 e as (select *, 'Example 1:' || chr(10) || 'instruction: question ' || i || chr(10) || 'output: answer ' || i || case when j is not null then chr(10) || chr(10) || 'Example 2:' || chr(10) || 'instruction: question ' || j || chr(10) || 'output: answer ' || j else '' end
-  || chr(10) || chr(10) || 'Task: ' || case when op = 'crossover' then 'Combine the instruction of example 1 with the style of the output of example 2 into one new sample.' else 'Write one new sample in the style of the examples.' end
+  || chr(10) || chr(10) || 'Task: ' || case when op = 'crossover' then 'Merge what example 1 asks with how example 2 answers into a new sample.' else 'Write another sample that could stand among the examples.' end
   || case when op = 'mutate' then chr(10) || 'Requirement: make it ' || ['short', 'tiny'][cast(('0x' || right(id, 1)) as integer) % 2 + 1] else '' end || chr(10) || 'Return JSON: {{"instruction": "...", "output": "..."}}' prompt from s)
 """
 
@@ -212,7 +212,7 @@ def _evolution() -> str:
     return f"""with d as ({literal(rows, "i, depth, stays")}), w as (select *, (case when depth is null then 0 else 1 end) + 1 + (case when stays then 1 else 0 end) slots from d),
 s as (select *, coalesce(sum(slots) over (order by i rows between unbounded preceding and 1 preceding), 0) start from w),
 t as (select i, start slot, depth mutation, depth prompt from s where depth is not null union all select i, start + case when depth is null then 0 else 1 end, 'breadth', '{breadth}' from s),
-u as (select *, substr(sha256('evol|s' || i || '|r1|' || cast(slot as bigint)), 1, 16) id, 'Original instruction: a question of some length ' || i || chr(10) || 'Evolution [' || mutation || ']: ' || prompt || chr(10) || 'Return JSON: {{"instruction": "..."}}' asked from t)
+u as (select *, substr(sha256('evol|s' || i || '|r1|' || cast(slot as bigint)), 1, 16) id, 'Instruction to evolve: a question of some length ' || i || chr(10) || 'By [' || mutation || ']: ' || prompt || chr(10) || 'Return JSON: {{"instruction": "..."}}' asked from t)
 """
 
 
@@ -384,7 +384,7 @@ def read_state(spark, root):
 # Judges ----------------------------------------------------------------------------------------------------------
 _DIMS = [scoring.Dimension("quality", 10.0, "how good"), scoring.Dimension("safety", 5.0)]
 _JUDGED = """with p as (select doc_id, sha256('Rate this sample, 1 for worst, in each of: quality (1..10, how good); safety (1..5, safety)' || chr(10) || chr(10) || 'instruction: ' || coalesce(source, '') || ':' || coalesce(lang, '') || chr(10) || 'output: ' || coalesce(text, '')
-  || chr(10) || chr(10) || 'Return JSON: {"scores": {"dim": n, ...}}') h from documents),
+  || chr(10) || chr(10) || 'Form of the answer: {"scores": {"dimension": number}}') h from documents),
 s as (select doc_id, case when doc_id % 4 = 0 then 2.0 else 1 + cast('0x' || substr(h, 1, 2) as integer) % 10 end quality, case when doc_id % 4 = 0 then null else 1 + cast('0x' || substr(h, 3, 2) as integer) % 5 end safety from p)
 """
 

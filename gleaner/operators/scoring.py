@@ -38,8 +38,8 @@ def judge_prompt(df: DataFrame, dimensions: list[Dimension], lang: str = "en") -
     turns = F.array_join(F.transform(df["messages"], lambda m: F.concat(F.lit("["), said(m["role"]), F.lit("] "), said(m["content"]))), "\n")
     flat = F.concat(F.lit("instruction: "), F.coalesce(df["instruction"], F.lit("")), F.lit("\noutput: "), F.coalesce(df["output"], F.lit("")))
     body = F.when(F.coalesce(F.size(df["messages"]), F.lit(0)) > 0, turns).otherwise(flat)
-    only = {"zh": "请只返回 JSON。"}.get(lang, "Return JSON only.")
-    form = {"zh": '返回 JSON：{"scores": {"dim": n, ...}}'}.get(lang, 'Return JSON: {"scores": {"dim": n, ...}}')
+    only = {"zh": "只用 JSON 回答。"}.get(lang, "Answer in JSON alone.")
+    form = {"zh": '回答的格式：{"scores": {"维度": 数}}'}.get(lang, 'Form of the answer: {"scores": {"dimension": number}}')
     ask = F.concat(F.lit(f"Rate this sample, 1 for worst, in each of: {scale}\n\n"), body, F.lit(f"\n\n{form}"))
     return messages(f"You judge the quality of training data strictly. {only}", ask)
 

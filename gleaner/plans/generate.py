@@ -176,7 +176,7 @@ def messages(system: str, user: Column) -> Column:
 
 
 #: What each operator of the seed strategy asks for.
-SEED_TASKS = {"crossover": "Combine the instruction of example 1 with the style of the output of example 2 into one new sample.", "fewshot": "Write one new sample in the style of the examples."}
+SEED_TASKS = {"crossover": "Merge what example 1 asks with how example 2 answers into a new sample.", "fewshot": "Write another sample that could stand among the examples."}
 
 
 def prompt_for(strategy: str) -> Column:
@@ -191,7 +191,7 @@ def prompt_for(strategy: str) -> Column:
         "topic_driven": F.concat(F.lit("Topic: "), field("$.topic"), F.lit("\nSlots: "), field("$.dimensions"), F.lit(ask)),
         "deep_thinking": F.concat(F.lit("Reason step by step. Topic: "), field("$.topic"), F.lit("\nSlots: "), field("$.dimensions"), F.lit(ask)),
         "seed_driven": F.concat(examples, F.lit("\n\nTask: "), task, wish, F.lit(f"\n{ask.strip()}")),
-        "evol_instruct": F.concat(F.lit("Original instruction: "), field("$.instruction"), F.lit("\nEvolution ["), field("$.mutation.name"), F.lit("]: "), field("$.mutation.prompt"), F.lit('\nReturn JSON: {"instruction": "..."}')),
+        "evol_instruct": F.concat(F.lit("Instruction to evolve: "), field("$.instruction"), F.lit("\nBy ["), field("$.mutation.name"), F.lit("]: "), field("$.mutation.prompt"), F.lit('\nReturn JSON: {"instruction": "..."}')),
         "document_qa": F.concat(F.lit("Source text:\n"), field("$.chunk"), F.lit(ask)),
         "instruction_backtranslation": F.concat(F.lit("Write the instruction that this text answers:\n"), field("$.text"), F.lit(ask)),
         "tool_call": F.concat(F.lit("Write a dialogue with tool calls about "), field("$.topic"), F.lit(' Return JSON: {"messages": [...]}')),
