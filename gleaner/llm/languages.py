@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from gleaner.llm.prose import COMMON
 
@@ -20,14 +21,13 @@ def scores(text: str | None) -> dict[str, float]:
     if not text:
         return {}
     han = len(_HAN.findall(text))
-    words = _WORD.findall(_HAN.sub(" ", text).lower())
+    words = _WORD.findall((_HAN.sub(" ", text) if han else text).lower())
     letters = sum(map(len, words))
     out = {"zh": 2 * han / (2 * han + letters) if han else 0.0}
-    for w in words:
-        langs = _OF.get(w)
-        if langs:
-            for lang in langs:
-                out[lang] = out.get(lang, 0.0) + 1 / len(langs)
+    uses = Counter(words)
+    for w in sorted(_OF.keys() & uses.keys()):
+        for lang in _OF[w]:
+            out[lang] = out.get(lang, 0.0) + uses[w] / len(_OF[w])
     for lang in ("en", "de", "fr", "es"):
         out[lang] = out.get(lang, 0.0) / max(1, len(words)) * (1 - out["zh"])
     return out
