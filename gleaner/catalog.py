@@ -357,11 +357,6 @@ def _docs(spark, root):
     return table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("pos"))
 
 
-@query()
-def plan_document_qa(spark, root):
-    """Rows only (chunk offsets); budget 500 is the plan's."""
-    return planners.document_plan(_docs(spark, root), 500, "structure")
-
 
 _BT = r"""with d as (select doc_id, length(regexp_replace(regexp_replace(text, '[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}\p{Cf}]', '', 'g'), '^""" + _SPACE + "+|" + _SPACE + r"""+$', '', 'g')) n from documents),
 k as (select doc_id, n, row_number() over (order by doc_id) - 1 pos from d where n between 50 and 4000 order by doc_id limit 500)
@@ -385,8 +380,9 @@ def reply_objects(spark, root):
     return table(spark, root, "documents").select("doc_id", extract_json(F.col("text")).alias("object"))
 
 
-@query()
+@query(_MSG + "select id, case when len(list_filter(messages, lambda x: x.role = 'tool')) > 0 then 'broken_chain:orphan_result' end problem from m")
 def trajectories(spark, root):
+    """The tables hold no tool calls, so a tool's turn answers none."""
     df = message_samples(spark, root)
     return df.select("id", validate_trajectory(F.to_json("messages"), F.coalesce("tools", F.lit("[]"))).alias("problem"))
 

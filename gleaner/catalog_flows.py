@@ -273,6 +273,35 @@ def structure_chunk_ranges(spark, root):
     return table(spark, root, "documents").select("doc_id", F.inline(structure_chunks(F.col("text"))))
 
 
+@query(_PIECES.rsplit("select doc_id, cast", 1)[0] + """, q as (select r.doc_id, b, e from r join documents using (doc_id) where e - b >= 30 and regexp_replace(substr(text, cast(b + 1 as bigint), cast(e - b as bigint)), '^""" + _SPACE + "+|" + _SPACE + """+$', '', 'g') <> ''),
+n as (select *, row_number() over (order by doc_id, b) - 1 pos from q) select pos, substr(sha256('docqa|' || doc_id || '|' || cast(b as bigint) || '|' || cast(e as bigint)), 1, 16) id from n where pos < 500""")
+def plan_document_qa(spark, root):
+    """Structure chunks in document order; the budget of 500 is the plan's."""
+    return planners.document_plan(_docs(spark, root), 500, "structure").select("pos", "id")
+
+
+_TURNS = r"""with t as (select doc_id, text, list_filter(regexp_extract_all(text, '(?s)[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+$'), lambda x: regexp_replace(x, '""" + _SPACE + r"""', '', 'g') <> '') ss from documents where text is not null),
+x as (select doc_id, unnest(ss) x, unnest(range(len(ss))) k, len(ss) many, length(text) size from t where len(ss) > 1),
+bytes_ as (select doc_id, k, length(x) n, unnest(range(1, strlen(x) + 1)) p, hex(encode(x)) h from x),
+bag as (select doc_id, k, (cast('0x' || substr(h, 2 * p - 1, 2) as integer) * 7 + n) % 32 cell, count(*) c from bytes_ group by all),
+nrm as (select doc_id, k, sqrt(sum(c * c)) z from bag group by all), vec as (select bag.doc_id, bag.k, cell, round(c / z, 6) v from bag join nrm using (doc_id, k)),
+len_ as (select doc_id, k, sqrt(sum(v * v)) z from vec group by all),
+cs as (select a.doc_id, b.k, sum(a.v * b.v) dot from vec a join vec b on a.doc_id = b.doc_id and b.k = a.k + 1 and a.cell = b.cell group by all),
+edge as (select x.doc_id, x.k, sum(length(x.x)) over (partition by x.doc_id order by x.k rows between unbounded preceding and 1 preceding) place, x.size from x),
+cuts as (select e.doc_id, e.place from edge e join len_ a on a.doc_id = e.doc_id and a.k = e.k - 1 join len_ b on b.doc_id = e.doc_id and b.k = e.k left join cs on cs.doc_id = e.doc_id and cs.k = e.k where coalesce(dot, 0) / (a.z * b.z) < 0.8),
+every as (select doc_id, place from cuts union select distinct doc_id, 0 from x union select distinct doc_id, size from x),
+rng as (select doc_id, place b, lead(place) over (partition by doc_id order by place) e from every)
+select doc_id, cast(b as integer) "start", cast(e as integer) "end" from rng where e > b union all select doc_id, 0, length(text) from t where len(ss) < 2"""
+
+
+@query(_TURNS.replace("\\n", "\n"))
+def semantic_chunk_turns(spark, root):
+    """Chunks cut only where neighbouring sentences' vectors turn, the stand-in vectors worked out in SQL."""
+    from gleaner.functions.chunking import semantic_chunks
+
+    return table(spark, root, "documents").filter("text is not null").select("doc_id", F.inline(semantic_chunks(F.col("text"), 0.8, 1 << 30)))
+
+
 _BT = _NORM.format("text")
 
 
