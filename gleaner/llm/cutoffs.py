@@ -159,7 +159,7 @@ with latest as (
   from samples where id is not null),
 scores as (
   select l.id, l.strategy, l.total_score, k.keep_share from latest l join keep_targets k on l.strategy = k.strategy
-  where rn = 1 and total_score is not null and not isnan(total_score)),
+  where rn = 1 and total_score is not null and cast(total_score as varchar) <> 'nan'),
 ranked as (
   select *, count(*) over (partition by strategy) n,
          count(*) over (partition by strategy order by total_score desc range between unbounded preceding and current row) at_or_above
