@@ -142,7 +142,7 @@ def test_generated_samples_cover_all_documents(spark, tmp_path):
     rows = [(i, None if i % 7 == 0 else "a" * (45 + i % 11)) for i in range(2500, 0, -1)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = [i for i, t in sorted(rows) if t and len(t) >= 50]
-    got = catalog.generated_samples(spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["generated_samples"](spark, str(tmp_path)).collect()
     assert len(want) > 1000 and len(got) == len({r.id for r in got}) == len(want) and all(r.drop_code is None for r in got)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("pos"))
     everything, first = [[(r.pos, r.id, r.lineage["source_id"]) for r in planners.backtranslation_plan(docs, n).orderBy("pos").collect()] for n in (None, 600)]
