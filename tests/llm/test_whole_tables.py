@@ -30,3 +30,8 @@ def test_truncation_model_of_all_rows(spark, folder):
     assert [x.tolist() for x in (model.key, model.inside, model.stopped, model.last)] == [x[some].tolist() for x in (key, inside, stopped, last)]
     assert ("en", "output") in model.limits
     assert {tuple(r) for r in truncation.found(spark, root).collect()} == {(ids[-1], "output")}
+
+
+def test_cuts_of_pairs_by_all_rows(spark, folder):
+    root, ids = folder
+    assert {tuple(r) for r in pairs.found(spark, root).collect()} == {(ids[-1], "truncated")}
