@@ -2,8 +2,10 @@
 
 The history is an index in a folder that is opened by its path and only ever appended to: per accepted sample its hash and
 signature (rows), and one narrow row per key under which it can be found (keys), with its distances to PIVOTS fixed pivots
-and a sketch. Two signatures of WIDTH numbers that differ in at most RADIUS positions are equal on one of RADIUS + 1 blocks
-of positions, so these blocks are the keys, and none of the partners is missed.
+and a sketch. Of GROUPS groups of positions, two signatures of WIDTH numbers that differ in at most RADIUS positions differ in at
+most RADIUS / GROUPS in one, and so are equal on two of its PARTS parts: all pairs of parts of a group are the keys, and none
+of the partners is missed. They are half as wide again as RADIUS + 1 blocks, one of which would be equal, and chance partners,
+whose number grows with the square of the rows, are an eighth.
 
 The position-wise difference is a metric: a partner x of y has |d(x, p) - d(y, p)| <= RADIUS for every pivot p. Stored
 distances and the sketch (one bit of each number, whose difference never exceeds the true one) prune key partners inside
@@ -14,9 +16,10 @@ to BROADCAST key rows are broadcast to the stored keys, which then are neither s
 no hot task; a larger batch is joined by shuffle in slices of keys, hot keys of the history salted.
 
 Where batch 0, all of which is accepted, has keys with over GROUP rows, a new row is checked against one leader per key
-first, which settles groups of near-copies in linear work; then, if still open, against every partner of its keys. Rows of one batch are settled in rounds: while a key has many open rows, a row
-that is the earliest under all its keys is accepted and rows close to a newly accepted one are cases; then the verified
-pairs of the small keys are resolved, earliest first. Equal hashes are keys of their own.
+first, which settles groups of near-copies in linear work; then, if still open, against every partner of its keys. Rows of
+one batch are settled by their verified pairs, earliest first. Where a batch has more pairs under its keys than ROOM * GROUP a
+row, its earliest rows are settled alone, so many that they have as many, and rows close to those accepted are cases before
+the next ones are taken. Equal hashes are keys of their own.
 
 Signatures that are null, unreadable or of another length only take part by hash; rows without sample_id or batch_no take
 no part; a sample_id counts once, with its earliest (batch_no, pos).
@@ -27,6 +30,7 @@ from __future__ import annotations
 import json
 import uuid
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,13 +44,20 @@ WIDTH, AGREE = 128, 102
 RADIUS = WIDTH - AGREE
 #: Fixed pivots, taken from the earliest distinct signatures of batch 0. Their distances share one integer, a byte each.
 PIVOTS = 6
-#: Open rows under one key of a batch up to which all its pairs are compared; beyond, its leader decides first.
-GROUP = 512
+#: Groups of positions and parts of each, two of which are a key; keys of a row.
+GROUPS = 9
+PARTS = RADIUS // GROUPS + 2
+KEYS = GROUPS * PARTS * (PARTS - 1) // 2
+#: Rows under one key of batch 0 beyond which leaders are kept. ROOM * GROUP: pairs a row up to which open rows of a batch are
+#: settled at once.
+GROUP, ROOM = 512, 4
 #: Key rows of a batch, or candidate pairs, up to which they are broadcast (about 60 bytes each).
 BROADCAST = 1_000_000
 #: Stored rows of one key from which it is hot, and parts into which it is split where keys are shuffled.
 HOT, SALTS = 50_000, 32
-_EDGES = [i * WIDTH // (RADIUS + 1) for i in range(RADIUS + 2)]
+_EDGES = [i * WIDTH // (GROUPS * PARTS) for i in range(GROUPS * PARTS + 1)]
+#: Share of the stored rows, by id, by which hot keys are found: a thousand rows of each.
+_SEEN = 1_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 TABLES = {"rows": "old_id string, hash string, sig array<bigint>", "keys": "key bigint, old_id string, near bigint, b0 bigint, b1 bigint", "leaders": "key bigint, old_id string, near bigint, b0 bigint, b1 bigint"}
 
@@ -91,9 +102,10 @@ def _mixed(columns: np.ndarray) -> np.ndarray:
 
 
 def index_of(sigs: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a matrix of signatures: block keys, packed distances to the pivots, and the two halves of the sketch."""
+    """Of a matrix of signatures: keys, packed distances to the pivots, and the two halves of the sketch."""
     m = np.ascontiguousarray(sigs).view(np.uint64)
-    keys = np.stack([_mixed(np.concatenate([np.full((len(m), 1), i, np.uint64), m[:, a:b]], axis=1)) for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))], axis=1)
+    parts = [_mixed(np.concatenate([np.full((len(m), 1), i, np.uint64), m[:, a:b]], axis=1)) for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))]
+    keys = np.stack([_mixed(np.stack(two, axis=1)) for g in range(GROUPS) for two in combinations(parts[g * PARTS : (g + 1) * PARTS], 2)], axis=1)
     near = np.zeros(len(m), dtype=np.int64)
     for k, p in enumerate(pivots):
         near |= (sigs != p).sum(1).astype(np.int64) << (8 * k)
@@ -210,7 +222,9 @@ class History:
         if key_rows <= BROADCAST:
             joined = old.alias("o").join(F.broadcast(new.alias("n")), (F.col("n.key") == F.col("o.key")) & may)
         else:
-            hot = old.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(SALTS).alias("parts"))
+            one_of = max(1, HOT // _SEEN)
+            seen = old.filter(F.pmod(F.xxhash64("old_id"), F.lit(one_of)) == 0)
+            hot = seen.groupBy("key").count().filter(F.col("count") * one_of > HOT).select("key", F.lit(SALTS).alias("parts"))
             part = F.pmod(F.xxhash64("old_id"), F.lit(SALTS)).cast("int")
             o = old.join(F.broadcast(hot), "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), part).otherwise(0))
             n = new.join(F.broadcast(hot), "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
@@ -227,27 +241,43 @@ class History:
 
     def _hits(self, rows: DataFrame, against: str, count: int) -> DataFrame:
         """Ids of rows that are close to one of a stored table of keys."""
-        pairs = cut(self._met(self._exploded(rows), self.table(against), count * (RADIUS + 2)))
+        pairs = cut(self._met(self._exploded(rows), self.table(against), count * (KEYS + 1)))
         return self._verified(pairs, rows, self.table("rows")).select("sample_id").distinct()
 
     def _settle(self, still: DataFrame, count: int) -> DataFrame:
         """Ids of the accepted among open rows of one batch that are close to nothing in the history."""
-        old = lambda df: df.select(F.col("sample_id").alias("old_id"), "hash", "sig")
-        accepted, rows, open_ = [], still, still.select("sample_id")
-        # Hot keys: leaders only, so that no key ever pairs all its rows.
-        while count > GROUP and (largest := rows.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]) is not None and largest > GROUP:
-            cells = rows.select("sample_id", F.struct("pos", "sample_id").alias("at"), F.explode("keys").alias("key"))
-            first = cells.groupBy("key").agg(F.min("at").alias("first"))
-            behind = cells.join(first, "key").filter(F.col("at") != F.col("first")).select("sample_id").distinct()
-            # Accepted now: the earliest open row under every key of its own. The earliest row of all is one of them.
-            now = cut(rows.join(behind, "sample_id", "left_anti"))
+        accepted, rows = [], still
+        while (last := self._last_at_once(rows, count)) is not None:
+            # The earliest rows; those after them that are close to an accepted one are cases.
+            part = cut(rows.filter(F.col("pos").isNull() | (F.col("pos") <= last)))
+            now = cut(part.join(self._first_of_pairs(part, count), "sample_id", "left_semi"))
             accepted.append(now.select("sample_id"))
-            rest = cut(rows.join(behind, "sample_id", "left_semi"))
-            met = cut(self._met(self._exploded(rest), self._exploded(now, "old_id"), count * (RADIUS + 2)))
-            rows = cut(rest.join(self._verified(met, rest, old(now)).select("sample_id").distinct(), "sample_id", "left_anti"))
-            open_ = rows.select("sample_id")
-        # Small keys: all verified pairs, then the earliest first.
-        pairs = cut(self._verified(cut(self._met(self._exploded(rows, "sample_id", "pos"), self._exploded(rows, "old_id", "pos"), count * (RADIUS + 2), True)), rows, old(rows)))
+            rest = cut(rows.filter(F.col("pos") > last))
+            met = cut(self._met(self._exploded(rest), self._exploded(now, "old_id"), count * (KEYS + 1)))
+            rows = cut(rest.join(self._verified(met, rest, self._as_old(now)).select("sample_id").distinct(), "sample_id", "left_anti"))
+        return reduce(DataFrame.unionByName, accepted, self._first_of_pairs(rows, count))
+
+    @staticmethod
+    def _as_old(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("sample_id").alias("old_id"), "hash", "sig")
+
+    @staticmethod
+    def _last_at_once(rows: DataFrame, count: int) -> int | None:
+        """The pos up to which rows can be settled at once; None for all of them."""
+        if count <= GROUP:
+            return None
+        size = F.col("count")
+        found = rows.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.sum(size * (size - 1) / 2)).first()[0] or 0.0
+        n, room = rows.agg(F.count("*"), F.max("pos")).first(), ROOM * GROUP
+        if found <= room * n[0]:
+            return None
+        last = rows.agg(F.percentile_approx("pos", room * n[0] / found, 100_000)).first()[0]
+        return last if last is not None and last < n[1] else None
+
+    def _first_of_pairs(self, rows: DataFrame, count: int) -> DataFrame:
+        """Ids of rows accepted when all their verified pairs are resolved, earliest first."""
+        accepted, open_ = [], rows.select("sample_id")
+        pairs = cut(self._verified(cut(self._met(self._exploded(rows, "sample_id", "pos"), self._exploded(rows, "old_id", "pos"), count * (KEYS + 1), True)), rows, self._as_old(rows)))
         while not pairs.isEmpty():
             now = cut(open_.join(pairs.select("sample_id"), "sample_id", "left_anti"))
             accepted.append(now)
