@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,54 +216,108 @@ def band_keys(sig: Column, threshold: float, permutations: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), F.slice(sig, b * rows + 1, rows)) for b in range(bands)])
 
 
-#: Cells of the counts by which shingles are ordered; a power of two. The order changes the work, never the result.
+#: Cells of the counts by which tokens are ordered; a power of two. The order changes the work, never the result.
 CELLS = 1 << 18
+#: Bytes of a token, whose highest four bits fall with its size, and tokens of one task that meets them, about.
+TOKEN, MEETING = 6, 4_000_000
+#: Bits of the sketch of a set, a multiple of 64.
+BITS = 1024
+#: Sets under one key up to which it is met alone, and heavier keys of a set of which each pair is one key.
+HEAVY, PAIRED = 256, 32
+#: Tokens that two close sets share among those that are emitted.
+SHARED = 2
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Class c holds the sizes over 2 ** c and up to 2 ** (c + 1), class 0 also 1."""
+    return np.maximum(0, np.frexp(np.maximum(n, 1) - 0.5)[1].astype(np.int64) - 1)
+
+
+def class_plan(n: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For sets of n shingles, class by class from their own upwards: which sets may meet larger ones of that class, the
+    class, into how many parts it divides shingles, and how many tokens such a set emits.
+
+    Sets of a and b >= a shingles that are at least threshold alike differ in (a + b) * (1 - t) / (1 + t) shingles at most, and
+    b <= a / t. So they differ in as many parts at most, k, and in any order that all sets follow, the first SHARED tokens
+    that both have are among the first k + SHARED of each."""
+    apart, largest = (1 - threshold) / (1 + threshold), np.floor(n / threshold + 1e-9)
+    own, out = size_class(n), []
+    for up in range(int((size_class(largest) - own).max(initial=0)) + 1):
+        top = np.exp2(own + up + 1)
+        differ = np.floor((n + np.minimum(top, largest)) * apart + 1e-9).astype(np.int64)
+        which = (n > 0) & (differ > 0) & (np.exp2(own + up) < largest if up else True)
+        out.append((which, own + up, np.ceil(2.7 * apart * top).astype(np.int64) + 2 + SHARED, differ + SHARED))
+    return out
 
 
-def shingle_counts(texts: DataFrame, n: int, unit: str) -> np.ndarray:
-    """How many texts (one string column) have a shingle in each of CELLS cells. Every task sends one row per cell at most."""
+_ODD = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15))
 
-    def count(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
-        for pdf in batches:
-            sets = [x for x in T.hash_shingles([t if isinstance(t, str) else None for t in pdf.iloc[:, 0]], n, unit) if x is not None]
-            if sets:
-                total += np.bincount(np.concatenate(sets) & (CELLS - 1), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at.astype(np.int32), "texts": total[at]})
-
-    got = texts.mapInPandas(count, "cell int, texts bigint").groupBy("cell").agg(F.sum("texts").alias("texts")).toArrow()
-    counts = np.zeros(CELLS, dtype=np.int64)
-    counts[got["cell"].to_numpy()] = got["texts"].to_numpy()
-    return counts
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD[0]
+    return (x ^ (x >> np.uint64(29))) * _ODD[1]
 
-def rare_first(text: Column, counts, threshold: float, n: int, unit: str) -> Column:
-    """Struct of a text's shingle set: n its size, set its hash, pre the rarest shingles, as many as two sets at least
-    threshold alike must share two of, bits a sketch of BITS bits in which every shingle sets one. counts is a broadcast of shingle_counts.
 
-    Of n shingles a partner shares o = ceil(threshold * n) or more, so the first shared one, in any order that all sets
-    follow, is among the first n - o + 1, and the second among the first n - o + 2."""
+def set_tokens(sets: list[np.ndarray], threshold: float) -> list[tuple[list[int], bytes]]:
+    """The tokens of sets of shingles, class by class: how many, and all of them by size, largest first.
 
-    @F.pandas_udf("struct<n:int,set:bigint,pre:array<bigint>,bits:array<bigint>>")
-    def first(texts: pd.Series) -> pd.DataFrame:
+    A class divides all shingles into parts by a hash; what a set has in a part is one token. Few tokens stand in sets that
+    aren't close, because most hold several shingles. Empty parts come last, and only as many as are emitted."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    plan = class_plan(n, threshold)
+    if len(sets) > 1 and max([int(parts[which].max(initial=1)).bit_length() for which, _, parts, _ in plan]) + len(sets).bit_length() > 32 or len(sets) > 4096:
+        return set_tokens(sets[: len(sets) // 2], threshold) + set_tokens(sets[len(sets) // 2 :], threshold)
+    flat = _mixed(np.concatenate([x.view(np.uint64) for x in sets])) if n.sum() else np.zeros(0, np.uint64)
+    at = np.repeat(np.arange(len(sets)), n)
+    ends, found = [[] for _ in sets], [[] for _ in sets]
+    for which, kind, parts, emitted in plan:
+        mine = which[at]
+        x, doc = flat[mine], at[mine].astype(np.uint64)
+        width = np.uint64(32 + int(parts[which].max(initial=1)).bit_length())
+        part = ((x >> np.uint64(32)) * parts[at[mine]].astype(np.uint64)) >> np.uint64(32)
+        x = np.sort(doc << width | part << np.uint64(32) | x & np.uint64(0xFFFFFFFF))
+        if not len(x):
+            continue
+        cell = x >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        size, doc, part = np.diff(first, append=len(x)), x[first] >> width, cell[first] & ((np.uint64(1) << (width - np.uint64(32))) - np.uint64(1))
+        whole = np.bitwise_xor.reduceat(_mixed(x & ((np.uint64(1) << width) - np.uint64(1))), first)
+        name = lambda what, part, kind: _mixed(_mixed(what + part) + kind.astype(np.uint64)) >> np.uint64(20)
+        token = (np.uint64(15) - np.minimum(size, 15).astype(np.uint64)) << np.uint64(44) | name(whole, part, kind[doc.astype(np.int64)])
+        token = np.sort(doc << np.uint64(48) | token)
+        many = np.bincount((token >> np.uint64(48)).astype(np.int64), minlength=len(sets))
+        last = np.cumsum(many)
+        raw = token.view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes()
+        for i in np.flatnonzero(which):
+            body, short = raw[TOKEN * (last[i] - many[i]) : TOKEN * last[i]], int(emitted[i] - many[i])
+            if short > 0:
+                free = np.setdiff1d(np.arange(parts[i], dtype=np.uint64), part[doc == i])[:short]
+                empty = np.uint64(15) << np.uint64(44) | name(np.zeros(len(free), np.uint64), free, np.full(len(free), kind[i]))
+                body += empty.view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes()
+            ends[i].append(len(body) // TOKEN)
+            found[i].append(body)
+    return [(e, b"".join(f)) for e, f in zip(ends, found)]
+
+
+def token_sets(text: Column, threshold: float, n: int, unit: str) -> Column:
+    """Struct of a text's shingle set: n its size, set its hash, tokens and many as set_tokens, bits a sketch of BITS bits in
+    which every shingle sets one."""
+
+    @F.pandas_udf("struct<n:int,set:bigint,many:array<int>,tokens:binary,bits:array<bigint>>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        sets = T.hash_shingles([t if isinstance(t, str) else None for t in texts], n, unit)
+        there = [x for x in sets if x is not None]
+        tokens = iter(set_tokens(there, threshold) if there else [])
         out = []
-        for x in T.hash_shingles([t if isinstance(t, str) else None for t in texts], n, unit):
+        for x in sets:
             if x is None:
-                out.append((None, None, None, None))
+                out.append((None, None, None, None, None))
                 continue
-            order = np.lexsort((x, counts.value[x & (CELLS - 1)]))
-            whole = np.bitwise_xor.reduce((x.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xFF51AFD7ED558CCD)) if len(x) else np.uint64(0)
-            out.append((len(x), int(whole.astype(np.int64)), x[order[: len(x) - needed_overlap(len(x), threshold) + 2]], _sketch(x)))
-        return pd.DataFrame(out, columns=["n", "set", "pre", "bits"]).astype({"n": "Int32", "set": "Int64"})
-
-    return F.when(text.isNotNull(), first(text))
+            whole = np.bitwise_xor.reduce((x.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * _ODD[0]) if len(x) else np.uint64(0)
+            out.append((len(x), int(whole.astype(np.int64)), *next(tokens), _sketch(x)))
+        return pd.DataFrame(out, columns=["n", "set", "many", "tokens", "bits"]).astype({"n": "Int32", "set": "Int64"})
 
-
-#: Shared shingles up to which they are broadcast (8 bytes each).
-SHINGLES = 4_000_000
-#: Bits of the sketch of a set, a multiple of 64.
-BITS = 1024
+    return F.when(text.isNotNull(), made(text))
 
 
 def _sketch(x: np.ndarray) -> np.ndarray:
@@ -279,41 +334,104 @@ def may_be_alike(a: Column, b: Column, threshold: float) -> Column:
     return (a["n"] - alone(a, b) >= least) & (b["n"] - alone(b, a) >= least)
 
 
-def needed_overlap(n: int, threshold: float) -> int:
-    """Shingles that a set of n shares with every set at least threshold alike."""
-    return max(1, math.ceil(threshold * n - 1e-9))
-
-
-def exact_keys(sets: DataFrame, threshold: float, group: int = GROUP) -> DataFrame:
-    """sets (id, n: size, pre: rare_first) to (id, keys), only sets that share a key: all pairs at least threshold alike do.
-
-    A key is one of the first n - o + 1 shingles with a class of sizes: a set's own, where it meets its class and smaller
-    sets, and the next one up. Of a pair the shorter one shares ceil(2 * threshold / (1 + threshold) * n) shingles, so
-    fewer of its shingles go up. Under a heavy key, with more than group sets, sets meet by it together with a later
-    shingle of pre, which still every close pair shares."""
-    least = lambda share: F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n") - 1e-9)).cast("int")
-    o = least(threshold)
-    cells = sets.select("id", "n", F.posexplode(F.slice("pre", F.lit(1), F.greatest(F.lit(0), F.col("n") - o + 1))).alias("at", "shingle"))
-    known = cut(cells.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1").select("shingle"))
-    # Few are looked up where the sets are, without moving all cells once more.
-    known = F.broadcast(known) if known.count() <= SHINGLES else known
-    # Sizes of a close pair differ by a factor of at most 1 / threshold, so their classes are equal or neighbours.
-    size = F.floor(F.log(F.col("n")) / math.log(1 / min(threshold - 1e-6, 0.999)))
-    up = F.when(F.col("at") < F.col("n") - least(2 * threshold / (1 + threshold)) + 1, size + 1)
-    places = F.array_compact(F.array(size, up))
-    met = cells.join(known, "shingle").select("id", "at", "shingle", o.alias("o"), F.explode(places).alias("class"))
-    met = cut(met.select("id", "at", "o", F.xxhash64("shingle", "class").alias("key")))
-    sized = met.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
-    met = met.join(sized, "key")
-    plain = met.filter((F.col("sets") <= group) | (F.col("o") == 1)).select("id", "key")
-    heavy = met.filter(F.col("sets") > group).join(sets.select("id", "pre"), "id")
-    split = heavy.select("id", "key", F.explode(F.expr("slice(pre, at + 2, size(pre))")).alias("second")).select("id", F.xxhash64("key", "second").alias("key"))
-    return plain.unionByName(split).groupBy("id").agg(F.collect_set("key").alias("keys"))
+def _tokens(column: pa.Array) -> np.ndarray:
+    """All tokens of a binary column, one after the other."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, TOKEN)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :TOKEN] = raw
+    return wide.view(np.uint64)[:, 0]
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How many tokens of sets (tokens) fall in each of CELLS cells. Every task sends one row per cell at most."""
+
+    def count(batches):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_cell(_tokens(batch.column(0))), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32), "texts": total[at]})
+
+    got = sets.select("tokens").mapInArrow(count, "cell int, texts bigint").groupBy("cell").agg(F.sum("texts").alias("texts")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[got["cell"].to_numpy()] = got["texts"].to_numpy()
+    return counts
+
+
+def exact_keys(sets: DataFrame, threshold: float, heavy: int = HEAVY) -> DataFrame:
+    """sets (set, n, many, tokens: token_sets), each set once, to (set, keys), only sets that share keys: all pairs at least
+    threshold alike share one.
+
+    A set emits its rarest tokens, as many as class_plan says, so that close sets share SHARED of them. Tokens of one task
+    for another are moved as one block of bytes. Tokens that one set alone has go no farther. Sets that
+    share only tokens of more than heavy sets share a pair of these."""
+    spark, counts = sets.sparkSession, token_counts(sets)
+    usual = counts.mean() + 6 * counts.mean() ** 0.5 + 8
+    level = spark.sparkContext.broadcast(np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / usual))).astype(np.int64))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) // MEETING))
+
+    def emit(batches):
+        for batch in batches:
+            names, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            plan = class_plan(n, threshold)
+            takes = np.array([t for row in zip(*[np.where(w, e, 0) for w, _, _, e in plan]) for t in row if t], dtype=np.int64)
+            many = batch.column(2).flatten().to_numpy().astype(np.int64)
+            tokens = _tokens(batch.column(3))
+            if not len(tokens):
+                continue
+            group = np.repeat(np.arange(len(many)), many)
+            order = np.argsort(group << 6 | level.value[_cell(tokens)], kind="stable")
+            rank = np.arange(len(tokens)) - np.repeat(np.cumsum(many) - many, many)
+            taken = rank < takes[group]
+            tokens, doc = tokens[order[taken]], np.repeat(np.arange(len(n)), [len(x) for x in batch.column(2).to_pylist()])[group[taken]]
+            task = (_mixed(tokens) >> np.uint64(32)).astype(np.int64) % tasks
+            order = np.argsort(task, kind="stable")
+            task, tokens, doc = task[order], tokens[order], doc[order]
+            begins = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            rows = {"task": task[begins].astype(np.int32), "names": [], "counts": [], "tokens": []}
+            for a, b in zip(begins, np.append(begins[1:], len(task))):
+                start = np.flatnonzero(np.append(True, doc[a + 1 : b] != doc[a : b - 1]))
+                rows["names"].append(names[doc[a:b][start]].tobytes())
+                rows["counts"].append(np.diff(start, append=b - a).astype(np.int32).tobytes())
+                rows["tokens"].append(tokens[a:b].view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes())
+            yield pa.RecordBatch.from_pydict(rows)
+
+    def meet(batches):
+        names, tokens = [], []
+        for batch in batches:
+            if batch.num_rows:
+                ids, counts = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=kind) for i, kind in ((1, np.int64), (2, np.int32)))
+                names.append(np.repeat(ids, counts))
+                tokens.append(_tokens(batch.column(3)))
+        if not names:
+            return
+        names, tokens = np.concatenate(names), np.concatenate(tokens)
+        order = np.argsort(tokens)
+        tokens = tokens[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        size = np.diff(first, append=len(tokens))
+        size = np.repeat(size, size)
+        several = size > 1
+        table = pa.table({"set": names[order[several]], "key": tokens[several].astype(np.int64), "sets": size[several]})
+        yield from table.to_batches(max_chunksize=10_000)
+
+    blocks = sets.select("set", "n", "many", "tokens").mapInArrow(emit, "task int, names binary, counts binary, tokens binary")
+    met = blocks.repartitionById(tasks, "task").mapInArrow(meet, "set bigint, key bigint, sets bigint")
+    each = met.groupBy("set").agg(F.collect_set(F.struct("key", "sets")).alias("met")).filter(F.size("met") >= SHARED)
+    plain = F.transform(F.filter("met", lambda x: x["sets"] <= heavy), lambda x: x["key"])
+    hot = F.array_sort(F.transform(F.filter("met", lambda x: x["sets"] > heavy), lambda x: x["key"]))
+    paired = F.flatten(F.transform("hot", lambda x: F.transform(F.filter("hot", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    each = each.select("set", plain.alias("plain"), hot.alias("hot"))
+    return each.select("set", F.concat("plain", F.when(F.size("hot") <= PAIRED, paired).otherwise(F.col("hot"))).alias("keys"))
 
 
 def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, unit: str = "word", verify: bool = True, history: DataFrame | None = None) -> Stage:
     """Near-duplicates, earliest first. verify finds every pair of shingle sets at least threshold alike: candidates share
-    a rare shingle (exact_keys) and the sets themselves are compared. Without it any shared band of the MinHash signature
+    groups of shingles (exact_keys) and the sets themselves are compared. Without it any shared band of the MinHash signature
     drops, also one of history (sample_id, sig), the signatures stored by earlier runs, of which those of another length
     take no part. Rows of equal sets are one row here, so copies are not paired. Texts without shingles share the empty
     set and are alike."""
@@ -323,37 +441,43 @@ def minhash_dedup(threshold: float = 0.8, permutations: int = 128, n: int = 5, u
     def features(df: DataFrame, open_: Column) -> dict[str, Column]:
         text = _open_text(df, open_)
         if verify:
-            counts = shingle_counts(df.select(F.when(F.col("drop_stage").isNull(), core_text(df)).alias("text")), n, unit)
-            found = rare_first(text, df.sparkSession.sparkContext.broadcast(counts), threshold, n, unit)
-            return {k: found[k] for k in ("n", "set", "pre", "bits")}
+            found = token_sets(text, threshold, n, unit)
+            return {k: found[k] for k in ("n", "set", "many", "tokens", "bits")}
         sig = signature(text, permutations, n, unit)
         return {"set": F.when(sig.isNotNull(), F.xxhash64(sig)), "keys": F.when(sig.isNotNull(), band_keys(sig, threshold, permutations))}
 
     def decide(rows: DataFrame, df: DataFrame) -> DataFrame:
-        again = cut(copies(rows.select("id", "pos", "set"), "set").filter(F.struct("pos", "id") != F.col("lead")).select("id", "pos", F.col("lead.id").alias("lead")))
-        lead = cut(rows.join(again.select("id", "pos"), ["id", "pos"], "left_anti"))
+        # One row of each set goes through the rounds, under the set's hash.
+        again = cut(copies(rows.select("id", "pos", "set"), "set").filter(F.struct("pos", "id") != F.col("lead")).select("id", "pos", "set", F.col("lead.id").alias("lead")))
+        copied = again.select("id", "pos")
+        lead = rows.filter("set is not null").join(F.broadcast(copied) if copied.count() <= BROADCAST else copied, ["id", "pos"], "left_anti")
+        at = F.struct("pos", "id").alias("at")
         stored = None
         if verify:
             # Pairs are sorted out by their sketches; only sets of the pairs left are made once more and compared.
-            keys = exact_keys(lead.select("id", "n", "pre"), threshold)
-            meeting = keys.join(lead.select("id", "pos", F.struct("n", "bits").alias("what")), "id").select("id", F.struct("pos", "id").alias("at"), "keys", "what")
+            keys = cut(exact_keys(lead.select("set", "n", "many", "tokens"), threshold))
+            keys = F.broadcast(keys.select("set", "keys")) if keys.count() <= BROADCAST // 10 else keys
+            meeting = lead.select("set", at, F.struct("n", "bits").alias("what")).join(keys, "set").select(F.col("set").alias("id"), "at", "keys", "what")
             alike = lambda x, y: may_be_alike(x, y, threshold)
-            exact = lambda pairs: close_sets(pairs, df, threshold, n, unit)
+            exact = lambda pairs: close_sets(pairs, lead.select("id", "pos", "set"), df, threshold, n, unit)
         else:
             if history is not None:
                 old = history.filter(F.size("sig") == permutations).select("sample_id", F.explode(band_keys(F.col("sig"), threshold, permutations)).alias("key"))
-                met = lead.select("id", F.explode("keys").alias("key")).join(old.groupBy("key").agg(F.min("sample_id").alias("by")), "key")
-                stored = cut(met.groupBy("id").agg(F.min("by").alias("by")))
-                lead = lead.join(stored.select("id"), "id", "left_anti")
-            meeting = lead.select("id", F.struct("pos", "id").alias("at"), "keys", F.lit(None).cast("array<bigint>").alias("what"))
+                met = lead.select("set", F.explode("keys").alias("key")).join(old.groupBy("key").agg(F.min("sample_id").alias("by")), "key")
+                stored = cut(met.groupBy("set").agg(F.min("by").alias("by")))
+                lead = lead.join(stored.select("set"), "set", "left_anti")
+            meeting = lead.select(F.col("set").alias("id"), at, "keys", F.lit(None).cast("array<bigint>").alias("what"))
             alike, exact = lambda x, y: F.lit(True), None
-        verdict = first_wins(meeting, alike, exact=exact).filter("not kept").select(F.col("id").alias("lead"), "by")
+        gone = cut(first_wins(meeting, alike, HEAVY if verify else GROUP, exact).filter("not kept").select(F.col("id").alias("set"), F.col("by").alias("other")))
+        others = gone.select("other").distinct()
+        named = lead.select(F.col("set").alias("other"), F.col("id").alias("by")).join(F.broadcast(others) if gone.count() <= BROADCAST else others, "other", "left_semi")
+        verdict = gone.join(named, "other").select("set", "by")
         if stored is not None:
-            verdict = verdict.unionByName(stored.withColumnRenamed("id", "lead"))
+            verdict = verdict.unionByName(stored)
         verdict = cut(verdict)
         # A copy goes to where the first of its kind went, or to that one. Few sets are dropped, so they are met first.
-        far = again.join(verdict, "lead", "left").select("id", "pos", F.coalesce("by", "lead").alias("by"))
-        near = rows.select("id", "pos").join(verdict.withColumnRenamed("lead", "id"), "id").join(again.select("id", "pos"), ["id", "pos"], "left_anti").select("id", "pos", "by")
+        far = again.join(verdict, "set", "left").select("id", "pos", F.coalesce("by", "lead").alias("by"))
+        near = rows.select("id", "pos", "set").join(verdict, "set").join(copied, ["id", "pos"], "left_anti").select("id", "pos", "by")
         return far.unionByName(near).select("id", "pos", F.lit("near_dup").alias("code"), F.lit(None).alias("value"), "by")
 
     return Stage("minhash_dedup", features, decide)
@@ -369,11 +493,14 @@ def shingle_sets(text: Column, n: int, unit: str) -> Column:
     return made(text)
 
 
-def close_sets(pairs: DataFrame, df: DataFrame, threshold: float, n: int, unit: str) -> DataFrame:
-    """The pairs (id, other) whose texts' shingle sets are at least threshold alike."""
-    ids = cut(pairs.select("id").union(pairs.select("other")).distinct())
-    named = df.select("id", core_text(df).alias("text")).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
-    sets = cut(named.select("id", shingle_sets(F.col("text"), n, unit).alias("what")).dropDuplicates(["id"]))
+def close_sets(pairs: DataFrame, named: DataFrame, df: DataFrame, threshold: float, n: int, unit: str) -> DataFrame:
+    """The pairs (id, other) of sets that are at least threshold alike; named (id, pos, set) says which row has a set."""
+    ids = cut(pairs.select("id").union(pairs.select("other")).distinct().withColumnRenamed("id", "set"))
+    few = ids.count() <= BROADCAST
+    wanted = named.join(F.broadcast(ids) if few else ids, "set")
+    wanted = cut(wanted.groupBy("id", "pos").agg(F.first("set").alias("set")))
+    texts = df.select("id", "pos", core_text(df).alias("text")).join(F.broadcast(wanted) if few else wanted, ["id", "pos"])
+    sets = cut(texts.select(F.col("set").alias("id"), shingle_sets(F.col("text"), n, unit).alias("what")).dropDuplicates(["id"]))
     both = pairs.join(sets, "id").join(sets.withColumnsRenamed({"id": "other", "what": "other_what"}), "other")
     return both.filter(_jaccard(F.col("what"), F.col("other_what")) >= threshold).select("id", "other")
 

@@ -109,3 +109,44 @@ def test_cosine_pairs_in_blocks(spark):
     _, far = stages.block_pairs(df.select("id", "vec"), -1.0, 20, 400)
     assert near.count() * 3 < far.count()
     assert stages.cosine_pairs(df.filter("false"), 0.9).count() == 0
+
+
+def test_close_sets_share_tokens():
+    """Any two sets that are close share SHARED of the tokens each emits, at the bounds of size classes too."""
+    r, close = np.random.default_rng(0), 0
+    draw = lambda n: r.integers(-(2**62), 2**62, n)
+
+    def emitted(x, threshold):
+        (ends, raw), at, out = stages.set_tokens([x], threshold)[0], 0, set()
+        takes = [t[0] for which, _, _, t in stages.class_plan(np.array([len(x)]), threshold) if which[0]]
+        for many, take in zip(ends, takes, strict=True):
+            out |= {raw[stages.TOKEN * i : stages.TOKEN * (i + 1)] for i in range(at, at + take)}
+            at += many
+        return out
+
+    for threshold in (0.8, 0.95, 0.3):
+        for n in [2, 3, 4, 5, 6, 7, 8, 9, 15, 16, 17, 31, 33, 64, 65, 300, 513] * 10:
+            a, less, more = np.unique(draw(n)), int(r.integers(0, n * (1 - threshold) + 1)), int(r.integers(0, n))
+            more = min(more, int((n - less) / threshold) - n)
+            b = np.unique(np.append(r.permutation(a)[: n - less], draw(max(0, more))))
+            if len(b) and (less or more > 0):
+                close += 1
+                assert (n - less) / (n + max(0, more)) >= threshold and len(emitted(a, threshold) & emitted(b, threshold)) >= stages.SHARED
+    assert close > 300
+
+
+def test_texts_of_shared_sentences_hardly_meet(spark, monkeypatch):
+    """Texts that share most sentences with others but aren't close to them stay out of the rounds."""
+    r, met, settle = random.Random(5), [], stages.first_wins
+
+    def seen(rows, *rest, **more):
+        met.append(rows.agg(F.sum(F.size("keys"))).first()[0])
+        return settle(rows, *rest, **more)
+
+    monkeypatch.setattr(stages, "first_wins", seen)
+    said = [" ".join(f"w{r.randrange(3000)}" for _ in range(100)) for _ in range(300)]
+    rows = [(i, str(i), "q", " ".join(r.sample(said, 3)), None) for i in range(1500)]
+    rows += [(1500 + i, str(1500 + i), "q", rows[i][3] + " more", None) for i in range(30)]
+    got = {x.id: x.drop_by for x in stages.minhash_dedup()(samples(spark, rows)).collect()}
+    assert {i: by for i, by in got.items() if by} == {str(1500 + i): str(i) for i in range(30)}
+    assert met[0] < 30 * len(rows), met[0] / len(rows)
